@@ -72,9 +72,9 @@ def test_dedup_ties(spark):
 
 
 def test_flip_rate_crosses_chromosomes(spark):
-    rows = [("m", 0, 1, 10, "a", "AAAB"), ("m", 1, 1, 20, "b", "BAA-"), ("m", 2, 2, 5, "c", "AAAB"), ("m", 3, 2, 6, "d", "AAA")]
+    rows = [("m", 0, 1, 10, "a", "AAAB"), ("m", 1, 1, 20, "b", "BAA-"), ("m", 2, 2, 5, "c", "ABAB"), ("m", 3, 2, 6, "d", "AAA")]
     got = {r["snp_name"]: r["flip_rate"] for r in genotypes.isolated_flips(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {"a": 0.0, "b": 1 / 3, "c": 0.5, "d": 0.0}
+    assert got == {"a": 0.0, "b": 0.5, "c": 0.5, "d": 0.0}
 
 
 def test_ragged_and_empty_maps(spark):
