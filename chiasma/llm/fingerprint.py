@@ -36,6 +36,8 @@ RUN = 64
 POPULAR = 16
 FILTER_BYTES, FILTER_FEATURES, HASHES = 256, 160, 5
 LEVELS = 1001
+#: Share of the room above chance that unrelated texts may fill by luck.
+BLUR = 0.1
 #: Entropies below this level are nearly constant windows.
 LEAST_LEVEL = 100
 _CHARS = 700_000
@@ -170,8 +172,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         return float(len(a) == len(b))
     na, nb = np.bitwise_count(a).sum(axis=1).astype(float), np.bitwise_count(b).sum(axis=1).astype(float)
     both = np.array([np.bitwise_count(a[i] & b).sum(axis=1) for i in range(len(a))], float)
+    most = np.minimum(na[:, None], nb[None, :])
     chance = na[:, None] * nb[None, :] / (FILTER_BYTES * 8)
-    room = np.minimum(na[:, None], nb[None, :]) - chance
+    chance += BLUR * (most - chance)
+    room = most - chance
     score = np.clip((both - chance) / np.maximum(room, 1e-9), 0, 1)
     one = (score.max(axis=1) * na).sum() / na.sum()
     other = (score.max(axis=0) * nb).sum() / nb.sum()
