@@ -136,8 +136,9 @@ CTES: dict[str, str] = SQL | {
     "at_points": """SELECT chrom, bp, (1 + 2 * t) * (1 - t) * (1 - t) * y0 + t * (1 - t) * (1 - t) * h * d0 + t * t * (3 - 2 * t) * y1 + t * t * (t - 1) * h * d1 AS cm FROM (
       SELECT p.chrom, p.bp, (x1 - x0)::DOUBLE AS h, (p.bp - x0) / (x1 - x0)::DOUBLE AS t, y0, y1, d0, d1
       FROM (SELECT chrom, start AS bp FROM map_intervals UNION SELECT chrom, "end" FROM map_intervals) p JOIN pieces q ON q.chrom = p.chrom AND x1 IS NOT NULL AND p.bp >= x0 AND (p.bp < x1 OR (last AND p.bp = x1)))""",
-    "annotated": """SELECT i.chrom, i.start, i."end", sample, marker, a.cm AS start_cM, z.cm AS end_cM, (z.cm - a.cm) / ((i."end" - i.start) / 1e6::DOUBLE) AS cM_per_Mb
-      FROM map_intervals i JOIN at_points a ON a.chrom = i.chrom AND a.bp = i.start JOIN at_points z ON z.chrom = i.chrom AND z.bp = i."end" """,
+    "annotated": """SELECT chrom, start, "end", sample, marker, start_cM, end_cM, (end_cM - start_cM) / (("end" - start) / 1e6::DOUBLE) AS cM_per_Mb FROM (
+      SELECT i.chrom, start, "end", sample, marker, max(cm) FILTER (k = 0) AS start_cM, max(cm) FILTER (k = 1) AS end_cM
+      FROM (SELECT *, unnest([0, 1]) AS k FROM map_intervals) i JOIN at_points a ON a.chrom = i.chrom AND a.bp = CASE k WHEN 0 THEN start ELSE "end" END GROUP BY ALL)""",
     "in_blocks": "SELECT *, bp // 20000 AS block, row_number() OVER (PARTITION BY chrom, bp // 20000 ORDER BY bp) AS u, row_number() OVER (PARTITION BY chrom, bp // 20000 ORDER BY bp DESC) AS v FROM map_markers WHERE bp % 7000 < 3000",
     "length_shares": """SELECT length, (sum(n) OVER (ORDER BY length) - n)::BIGINT AS lo, (sum(n) OVER (ORDER BY length))::BIGINT AS hi FROM (SELECT "end" - start AS length, count(*) AS n FROM signal WHERE "end" > start GROUP BY 1)""",
     "drawn": f"SELECT idx, length FROM (SELECT i AS idx, {_draw('i', 'length', 0, '(SELECT max(hi) FROM length_shares)')} AS pick FROM range(1, {N_REGIONS + 1}) r(i)) JOIN length_shares ON pick >= lo AND pick < hi",
