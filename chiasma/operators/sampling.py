@@ -95,6 +95,7 @@ def uniform_regions(drawn: DataFrame, chroms: DataFrame, seed: int = 25) -> Data
 def points(idx: DataFrame, annotation: DataFrame, kind: str, seed: int = 25) -> DataFrame:
     """A point of the annotation for each idx, every base alike: idx columns, chrom, point. No annotation, no rows."""
     table = cumulative(annotation.select("chrom", "start", "end").withColumn("span", F.col("end") - F.col("start")), [], ["start", "end"], "span")
+    table = table.persist()  # read for its total and for the look-up; spills to disk, and is computed again if lost
     total = _total(table)
     picks = idx.filter(F.lit(total > 0)).withColumn("pick", draw(F.col("idx"), kind, 1, F.lit(max(total, 1)), seed))
     return look_up(picks, table.select("chrom", "start", "lo", "hi"), total).select(*idx.columns, "chrom", (F.col("start") + F.col("pick") - F.col("lo")).alias("point"))
