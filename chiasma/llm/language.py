@@ -1,16 +1,23 @@
 """Language identification by nearest centroids.
 
 A text's letters, lower-cased and with everything else as spaces, give 2- and 3-grams, hashed into ``FEATURES``
-counts; (1 + log count) * idf, normalised, is compared by cosine with several centroids per language, found by
-spherical k-means on labelled rows. A text is rejected when its distance from the nearest centroid is beyond what
-the labelled rows of its length lie within (their largest distance in the same class of text lengths and shorter,
-and a margin).
-
-The classifier is fitted on at most ``SAMPLE`` rows per language, spread over all rows by hash; only their count
-vectors reach the driver. Everything else is one scan and one pass: nothing is shuffled. Defined results: null
-texts and texts without letters are ``und``, score 0; texts under 128 letters are not rejected; rows
-without id are not learned from; repeated rows get equal answers; without labelled rows all are ``und``; an empty
-table gives no rows; other columns are ignored.
+counts. A text of 2 * ``PIECE`` letters or more is cut into equal pieces of ``PIECE`` letters and somewhat more, all
+over its length, and the mean of log(1 + count) over the pieces is its profile, so that a profile does not flatten as
+a text grows. profile * idf, normalised, is compared by cosine with several centroids per language, found by
+spherical k-means on labelled rows.
+
+A text is rejected when its distance from the nearest centroid is beyond the reach of that centroid's language at
+the text's length: the ``QUANTILE`` of the distances of labelled rows that a fit on the other labelled rows gives,
+loosened to ``ENOUGH`` of the cosine there. For every other class of length below a row's own, the first or the last
+letters of its beginning count as a text of that length, so short texts have a reach too. From 2 ** 10 letters on all lengths are one class. A class
+with too few distances takes the largest reach of its neighbours or of the other languages; a shorter class is never
+stricter than a longer one.
+
+The classifier is fitted on at most ``SAMPLE`` rows per language, spread over all rows by hash; only their profiles
+and beginnings reach the driver. Everything else is one scan and one pass: nothing is shuffled. Defined results: null
+texts and texts without letters are ``und``, score 0, rejected; rows without id are not learned from; repeated rows
+get equal answers; without labelled rows all are ``und``, and with too few to hold any out none with letters is
+rejected; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,35 +31,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._chars import joined, letters_lowered, mixed
+from ._chars import code_points, joined, letters_lowered, mixed
 from ._encode import in_batches
 
 FEATURES = 4096
 CENTROIDS = 4
 #: Labelled rows per language that the fit uses at most.
 SAMPLE = 400
-#: Added to the largest distance seen.
-MARGIN = 0.2
+#: Longer texts are judged by pieces of about as many letters.
+PIECE = 1024
+#: Share of the held-out labelled distances that a reach covers, and the part of the cosine there that is enough.
+QUANTILE, ENOUGH = 0.99, 0.8
+#: Distances that a class of length needs, parts of which each is held out once, characters of a row's beginning.
+LEAST, PARTS, HEAD = 20, 4, 2048
+CLASSES = 11
 UND = "und"
 _CHARS = 400_000
+_PIECES = 256
 
 
-def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of hashed 2- and 3-grams per text, and its number of letters."""
+def profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean log(1 + count) of hashed 2- and 3-grams over each text's pieces, and its number of letters."""
     raw, starts = joined(texts, 2)
-    c = letters_lowered()[raw].astype(np.uint64)
+    c = letters_lowered()[raw]
     space = c == 0x20
-    doc = np.repeat(np.arange(len(texts)), np.diff(starts))
-    letters = np.bincount(doc[~space], minlength=len(texts))
-    out = np.zeros(len(texts) * FEATURES)
-    if len(c) > 2:
-        a, b, d = c[:-2], c[1:-1], c[2:]
-        sa, sb, sd = space[:-2], space[1:-1], space[2:]
+    before = np.concatenate([[0], np.cumsum(~space)])[starts]
+    letters = np.diff(before)
+    pieces = np.maximum(letters // PIECE, 1)
+    own = np.repeat(np.arange(len(texts)), pieces)
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    place = np.append(np.flatnonzero(~space), len(c))
+    begin = np.where(nth == 0, starts[own], place[np.minimum(before[own] + nth * letters[own] // pieces[own], len(place) - 1)])
+    begin = np.append(begin, len(c))
+    inside = np.ones(len(c), bool)
+    inside[starts[1:] - 1] = False  # what begins there reaches into the next text
+    out = np.zeros((len(texts), FEATURES))
+    for first in range(0, len(own), _PIECES):
+        of = own[first : first + _PIECES]
+        bounds = begin[first : first + len(of) + 1]
+        lo, hi = bounds[0], min(bounds[-1], len(c) - 2)
+        a, b, d = (c[lo + k : hi + k].astype(np.uint64) for k in range(3))
+        sa, sb, sd = (space[lo + k : hi + k] for k in range(3))
+        row = np.repeat(np.arange(len(of)), np.diff(np.minimum(bounds, hi)))
         two = (a << np.uint64(21)) | b
-        for code, ok in ((two, ~(sa & sb)), ((two << np.uint64(21)) | d | np.uint64(1 << 63), ~(sb & (sa | sd)))):
-            key = (mixed(code[ok]) % np.uint64(FEATURES)).astype(np.int64) + doc[:-2][ok] * FEATURES
-            out += np.bincount(key, minlength=len(out))
-    return out.reshape(len(texts), FEATURES), letters
+        x = np.zeros(len(of) * FEATURES)
+        at = inside[lo:hi]
+        for code, ok in ((two, at & ~(sa & sb)), ((two << np.uint64(21)) | d | np.uint64(1 << 63), at & ~(sb & (sa | sd)))):
+            key = (mixed(code[ok]) % np.uint64(FEATURES)).astype(np.int64) + row[ok] * FEATURES
+            x += np.bincount(key, minlength=len(x))
+        at = np.flatnonzero(np.diff(of, prepend=-1))
+        out[of[at]] += np.add.reduceat(np.log1p(x).reshape(len(of), FEATURES), at, axis=0)
+    return out / pieces[:, None], letters
 
 
 @dataclass
@@ -61,26 +90,28 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # one row each
     of: np.ndarray  # language of each centroid
-    reach: np.ndarray  # largest distance by class of length
+    reach: np.ndarray  # of each language by class of length
 
     def vectors(self, x: np.ndarray) -> np.ndarray:
-        v = np.log1p(x) * self.idf
+        v = x * self.idf
         return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine with the nearest centroid, and whether the distance rejects the text."""
-        x, letters = counts(texts)
+        x, letters = profiles(texts)
         cosine = self.vectors(x) @ self.centroids.T if len(self.of) else np.zeros((len(texts), 1))
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(texts)), best], 0, 1)
         none = (letters == 0) | (len(self.of) == 0)
         score[none] = 0
         lang = [UND if n else self.languages[self.of[b]] for n, b in zip(none, best, strict=True)]
-        return lang, score, none | (1 - score > self.reach[length_class(letters)])
+        if len(self.of) == 0:
+            return lang, score, none
+        return lang, score, none | (1 - score > self.reach[self.of[best], length_class(letters)])
 
 
 def length_class(letters: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(letters, 1)).astype(int), 19)
+    return np.minimum(np.log2(np.maximum(letters, 1)).astype(int), CLASSES - 1)
 
 
 def _clusters(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -96,25 +127,68 @@ def _clusters(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(langs: list[str], x: np.ndarray, letters: np.ndarray, centroids: int = CENTROIDS, margin: float = MARGIN) -> Model:
-    """From labelled count vectors."""
-    keep = letters > 0
-    langs, x, letters = [lang for lang, k in zip(langs, keep, strict=True) if k], x[keep], letters[keep]
+def _centred(names: list[str], label: np.ndarray, x: np.ndarray, centroids: int) -> Model:
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1 if len(x) else np.ones(FEATURES)
+    model = Model(names, idf, np.zeros((0, FEATURES)), np.zeros(0, int), np.full((len(names), CLASSES), 2.0))
+    kept = [i for i in range(len(names)) if (label == i).any()]
+    if kept:
+        own = [_clusters(model.vectors(x[label == i]), centroids) for i in kept]
+        model.centroids, model.of = np.concatenate(own), np.repeat(kept, [len(c) for c in own])
+    return model
+
+
+def _cuts(text: str, k: int) -> list[str]:
+    """The first or last letters of row k's beginning, as many as every other class of length below its own begins with."""
+    place = np.flatnonzero(letters_lowered()[code_points(text)] != 0x20)
+    sizes = [1 << c for c in range(k % 2, CLASSES - 1, 2) if 2 << c <= len(place)]
+    return [text[: place[n - 1] + 1] if k % 4 < 2 else text[place[-n] :] for n in sizes]
+
+
+def _reach(model: Model, label: np.ndarray, x: np.ndarray, letters: np.ndarray, heads: list[str], centroids: int) -> np.ndarray:
+    """The reach of each language in each class of length, from distances of rows that are held out in turn."""
+    far: dict[tuple[int, int], list[float]] = {}
+    part = np.zeros(len(label), int)
+    for i in range(len(model.languages)):
+        part[label == i] = np.arange((label == i).sum()) % PARTS
+    for p in range(PARTS):
+        fitted = _centred(model.languages, label[part != p], x[part != p], centroids)
+        for i in np.unique(label[part == p]):
+            near = fitted.centroids[fitted.of == i].T
+            if not near.size:
+                continue
+            held = np.flatnonzero((part == p) & (label == i))
+            lots = [(x[held], letters[held])]
+            short = [t for k in held for t in _cuts(heads[k], k)]
+            lots += [profiles(short[k : k + _PIECES]) for k in range(0, len(short), _PIECES)]
+            for own, n in lots:
+                for c, d in zip(length_class(n), 1 - (fitted.vectors(own) @ near).max(axis=1), strict=True):
+                    far.setdefault((int(i), int(c)), []).append(d)
+    reach = np.full((len(model.languages), CLASSES), np.nan)
+    for at, d in far.items():
+        if len(d) >= LEAST:
+            reach[at] = 1 - ENOUGH * (1 - np.quantile(d, QUANTILE))
+    if np.isnan(reach).all():
+        return np.full(reach.shape, 2.0)
+    seen = np.where(np.isnan(reach), -1, reach)
+    wide = seen.max(axis=0)  # of all languages
+    for c in range(1, CLASSES):
+        wide[c] = wide[c] if wide[c] >= 0 else wide[c - 1]  # a longer text lies no farther out than a shorter one
+    first = int((wide >= 0).argmax())
+    wide[:first] = 2.0  # nothing is known of so short texts
+    own = np.maximum.accumulate(seen, axis=1)
+    seen = np.where(np.isnan(reach), np.maximum(own, wide), reach)
+    return np.maximum.accumulate(seen[:, ::-1], axis=1)[:, ::-1]
+
+
+def fit(langs: list[str], x: np.ndarray, letters: np.ndarray, heads: list[str], centroids: int = CENTROIDS) -> Model:
+    """From the profiles, numbers of letters and beginnings of labelled rows."""
+    keep = np.flatnonzero(letters > 0)
+    langs, x, letters, heads = [langs[k] for k in keep], x[keep], letters[keep], [heads[k] for k in keep]
     names = sorted(set(langs))
     label = np.array([names.index(lang) for lang in langs], int)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1 if len(x) else np.ones(FEATURES)
-    model = Model(names, idf, np.zeros((0, FEATURES)), np.zeros(0, int), np.full(20, 2.0))
-    if not names:
-        return model
-    v = model.vectors(x)
-    own = [_clusters(v[label == i], centroids) for i in range(len(names))]
-    model.centroids, model.of = np.concatenate(own), np.repeat(np.arange(len(names)), [len(c) for c in own])
-    far = 1 - (v @ model.centroids.T).max(axis=1)
-    seen = np.zeros(20)
-    np.maximum.at(seen, length_class(letters), far)
-    reach = np.maximum.accumulate(seen[::-1])[::-1] + margin  # a shorter text may lie as far out as a longer one
-    reach[:7] = 2.0  # under 128 letters a distance says little
-    model.reach = reach
+    model = _centred(names, label, x, centroids)
+    if names:
+        model.reach = _reach(model, label, x, letters, heads, centroids)
     return model
 
 
@@ -123,8 +197,8 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, count vectors and letters of at most ``sample`` labelled rows per language outside fold 2."""
+def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray, list[str]]:
+    """Languages, profiles, letters and beginnings of at most ``sample`` labelled rows per language outside fold 2."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(sample))
     first = ids.groupBy("lang", part.alias("part")).agg(F.min(F.struct(F.xxhash64(F.lit(1), "doc_id"), "doc_id")).alias("m")).select("m.doc_id", F.col("lang").alias("_lang"))
@@ -135,16 +209,16 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], n
         for batch in batches:
             ids, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, texts in in_batches(batch.column(2).to_pylist(), _CHARS):
-                x, letters = counts(texts)
+                x, letters = profiles(texts)
                 rows = [np.ascontiguousarray(r).tobytes() for r in x.astype("<f4")]
-                yield pa.record_batch([pa.array(ids[at : at + len(texts)], pa.int64()), pa.array(langs[at : at + len(texts)]), pa.array(rows, pa.binary()), pa.array(letters.astype(np.int64))], ["doc_id", "lang", "x", "letters"])
+                yield pa.record_batch([pa.array(ids[at : at + len(texts)], pa.int64()), pa.array(langs[at : at + len(texts)]), pa.array(rows, pa.binary()), pa.array(letters.astype(np.int64)), pa.array([t[:HEAD] for t in texts], pa.string())], ["doc_id", "lang", "x", "letters", "head"])
 
-    rows = chosen.mapInArrow(run, "doc_id long, lang string, x binary, letters long").collect()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["letters"], bytes(r["x"])))
+    rows = chosen.mapInArrow(run, "doc_id long, lang string, x binary, letters long, head string").collect()
+    rows.sort(key=lambda r: (r["lang"], r["doc_id"], r["letters"], bytes(r["x"]), r["head"]))
     once = {(r["lang"], r["doc_id"]): r for r in rows}  # rows that repeat an id count once
     rows = list(once.values())
     x = np.array([np.frombuffer(bytes(r["x"]), "<f4") for r in rows], float).reshape(-1, FEATURES)
-    return [r["lang"] for r in rows], x, np.array([r["letters"] for r in rows], int)
+    return [r["lang"] for r in rows], x, np.array([r["letters"] for r in rows], int), [r["head"] for r in rows]
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:

@@ -155,3 +155,47 @@ def test_licences(spark, odd, make):
     c.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
     want = sorted(c.sql(f"select doc_id, n_matches, licences from ({oracle_sql()['op6_licences']})").fetchall())
     assert sorted(map(tuple, licences.licence_scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect())) == want
+
+
+def test_language_keeps_long_clean_texts(corpus):
+    model = language.train(corpus)
+    clean = {}
+    for r in sorted(corpus.collect(), key=lambda r: r["doc_id"]):
+        clean.setdefault(r["lang"], []).append(r["text"])
+    assert len(clean) == 4
+    for lang, texts in clean.items():
+        once = "\n".join(texts)
+        for letters in (30_000, 120_000, 1_000_000):
+            text = (once + "\n") * (letters * 5 // 4 // len(once) + 1)
+            assert sum(map(str.isalpha, text)) >= letters
+            got, _, rejected = model.predict([text])
+            assert got == [lang] and not rejected[0]
+    # a class of length that no row falls in is as wide as the classes below it
+    short = [(lang, t[:700]) for lang, texts in clean.items() for t in texts]
+    x, letters = language.profiles([t for _, t in short])
+    few = language.fit([lang for lang, _ in short], x, letters, [t for _, t in short])
+    assert (few.reach[:, -1] >= few.reach[:, language.length_class(letters).max()]).all()
+
+
+def test_language_profile_is_the_mean_over_pieces():
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(2500))
+    letters = [i for i, c in enumerate(text) if c != " "]
+    n = len(letters) // language.PIECE
+    cuts = [0, *[letters[k * len(letters) // n] for k in range(1, n)], len(text)]
+    # a piece's last n-grams reach into the next piece by two characters
+    want = np.zeros(language.FEATURES)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        x = np.zeros(language.FEATURES)
+        padded = text + "  "
+        for i in range(a, b):
+            p, q, s = padded[i], padded[i + 1], padded[i + 2] if i + 2 < len(padded) else " "
+            codes = [(ord(p) << 21) | ord(q)] if p != " " or q != " " else []
+            if q != " " or (p != " " and s != " "):
+                codes.append(((((ord(p) << 21) | ord(q)) << 21) | ord(s) | (1 << 63)) % (1 << 64))
+            for code in codes:
+                x[int(language.mixed(np.array([code], np.uint64))[0]) % language.FEATURES] += 1
+        want += np.log1p(x) / n
+    got, count = language.profiles(["x", text, "", "yy zz"])
+    assert count.tolist() == [1, len(letters), 0, 4] and n > 5 and np.allclose(got[1], want)
+    assert np.allclose(got[1], language.profiles([text])[0][0]) and not got[2].any()
