@@ -199,3 +199,26 @@ def test_language_profile_is_the_mean_over_pieces():
     got, count = language.profiles(["x", text, "", "yy zz"])
     assert count.tolist() == [1, len(letters), 0, 4] and n > 5 and np.allclose(got[1], want)
     assert np.allclose(got[1], language.profiles([text])[0][0]) and not got[2].any()
+
+
+def test_language_rejects_latin_gibberish_and_a_foreign_language(corpus):
+    model = language.train(corpus)
+    rng = random.Random(6)
+    gibberish = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(60_000))
+    polish = (
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem "
+        "i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności zawarte w "
+        "niniejszej Deklaracji bez względu na jakiekolwiek różnice rasy, koloru, płci, języka, wyznania, poglądów politycznych "
+        "i innych, narodowości, pochodzenia społecznego, majątku, urodzenia lub jakiegokolwiek innego stanu. "
+    )
+    italian = (
+        "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e "
+        "devono agire gli uni verso gli altri in spirito di fratellanza. Ad ogni individuo spettano tutti i diritti e tutte "
+        "le libertà enunciate nella presente Dichiarazione, senza distinzione alcuna, per ragioni di razza, di colore, di "
+        "sesso, di lingua, di religione, di opinione politica o di altro genere, di origine nazionale o sociale. "
+    )
+    far = [gibberish[:n] for n in (60, 100, 160, 400, 1000, 4000, 300_000)] + [(polish * 1000)[:n] for n in (60, 100, 160, 400, 1000, 4000, 300_000)]
+    far += [(italian * 1000)[:n] for n in (1200, 4000, 300_000)]
+    assert model.predict(far)[2].all()
+    # the reach of each language at each length is below any distance, and wider for shorter texts
+    assert model.reach.shape == (4, language.CLASSES) and (model.reach < 1).all() and (np.diff(model.reach, axis=1) <= 0).all()
