@@ -1,10 +1,16 @@
 """Licence scans by sentence rules, in DataFrame operations only.
 
-A text is cut into sentences (at . ! ? before white space or the end, and at line breaks), each is normalised
-(lower case, runs of anything but a-z and 0-9 as one space) and mapped to the identifier of a known licence
-sentence, or to ``_``. The resulting identifier sequence is matched against rules, each an ordered sequence of
-identifiers that has to occur without a gap. Rules are tried in their order and a match uses up its identifiers,
-so a full licence text does not also count as each of its parts.
+A text is normalised (lower case, runs of anything but a-z and 0-9 as one space) and cut at sentence ends (. ! ?
+before white space or the end), at line breaks and at lines without letters or digits. A known licence sentence is
+found where it fills the space between two cuts; line breaks may lie between its words, so hard-wrapped texts and
+comment blocks count like sentences on one line, and longer sentences go before shorter ones. Where a sentence is two
+others in a row, a line break between the two leaves them two. What is no known sentence is ``_``, line by line. A
+list's number before a known sentence and the licence's address after ``apache-copy`` are left out. The resulting
+identifier sequence is matched against rules, each an ordered sequence of identifiers that has to occur without a gap.
+Rules are tried in their order and a match uses up its identifiers, so a full licence text does not also count as each
+of its parts. The SQL knows sentences on one line only, so it finds fewer in wrapped texts.
+
+Only texts that hold a word of those that some known sentence has each are normalised at all.
 
 Everything is one projection over the scan: nothing is shuffled, exploded or broadcast. The sentence and rule
 tables are parameters of fixed size. Defined results: null or empty texts and texts without known sentences have
@@ -81,20 +87,69 @@ RULES: list[tuple[str, str, list[str]]] = [
     ("ccbync4-work", "CC-BY-NC-4.0", ["ccbync4-work"]),
 ]
 
-BREAK = r"[.!?]+(\s+|$)|\n+"
+# Addresses that may follow a sentence, and both as one sentence; not known to the SQL.
+LINKS: dict[str, list[str]] = {"apache-copy": ["http://www.apache.org/licenses/LICENSE-2.0", "https://www.apache.org/licenses/LICENSE-2.0"]}
+
+END = r"[.!?]+(\s+|$)"
+#: A sentence end or a blank line, and a single line break, in a normalised text.
+HARD, SOFT = "\u0001", "\u0002"
+#: Comment marks that are words.
+MARK = r"(?im)^[ \t]*@?(rem|dnl)[ \t]+"
 
 
 def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def hints(sentences: dict[str, str]) -> list[str]:
+    """Words of which each sentence holds one: long ones, as few as a greedy choice gives."""
+    left, out = [set(normalised(s).split()) for s in sentences.values()], []
+    while left := [words for words in left if not words & set(out)]:
+        longest = [{w for w in words if len(w) >= 7} or {max(sorted(words), key=len)} for words in left if words]
+        if not longest:
+            break
+        out.append(max(sorted(set().union(*longest)), key=lambda w: sum(w in own for own in longest)))
+    return out
+
+
+def pattern(sentence: str, known: set[str]) -> str:
+    """A regular expression of the sentence between cuts, with any line breaks between its words."""
+    words = normalised(sentence).split()
+    gaps = [" " if " ".join(words[:k]) in known and " ".join(words[k:]) in known else f"[ {SOFT}]" for k in range(1, len(words))]
+    return f"(?<=[{HARD}{SOFT}])" + words[0] + "".join(g + w for g, w in zip(gaps, words[1:], strict=True)) + f"(?=[{HARD}{SOFT}])"
+
+
+def cut(text: Column) -> Column:
+    """The normalised text with a mark at each cut, at its beginning and at its end."""
+    t = F.regexp_replace(F.translate(text, SOFT, " "), MARK, "")
+    t = F.lower(F.regexp_replace(t, END, HARD))
+    t = F.regexp_replace(t, f"\n[^a-z0-9{HARD}]*\n", HARD)
+    t = F.regexp_replace(F.translate(t, "\n", SOFT), f"[^a-z0-9{HARD}{SOFT}]+", " ")
+    t = F.regexp_replace(F.concat(F.lit(HARD), t, F.lit(HARD)), f"[ {SOFT}]*{HARD}[ {HARD}{SOFT}]*", HARD)
+    return F.regexp_replace(t, f" *{SOFT}[ {SOFT}]*", SOFT)
+
+
 def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """The text's identifier sequence as one string, e.g. ``_[mit-short]__``."""
-    known = F.create_map(*[F.lit(x) for name, s in sentences.items() for x in (normalised(s), f"[{name}]")])
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), BREAK, "\u0001")
-    plain = F.regexp_replace(F.lower(marked), "[^a-z0-9\u0001]+", " ")
-    parts = F.filter(F.transform(F.split(plain, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
-    return F.array_join(F.transform(parts, lambda s: F.coalesce(F.try_element_at(known, s), F.lit("_"))), "")
+    """The text's identifier sequence as one string, e.g. ``_[mit-short]__``; empty if no word of a sentence occurs."""
+    links = {name: urls for name, urls in LINKS.items() if name in sentences}
+    names = [(s, f"[{name}]") for name, s in sentences.items()]
+    names += [(f"{sentences[name]} {url}", f"[{name}]") for name, urls in links.items() for url in urls]
+    names += [(url, f"[{name}-link]") for name, urls in links.items() for url in urls]
+    names = sorted(((normalised(s), name) for s, name in names if normalised(s)), key=lambda x: (-len(x[0]), x))
+    known = {s for s, _ in names}
+    t = cut(text)
+    for sentence, name in names:
+        t = F.regexp_replace(t, pattern(sentence, known), name)
+    t = F.regexp_replace(t, f"(?<=[{HARD}{SOFT}])([0-9]{{1,2}}|[a-z])[{HARD}{SOFT}](?=\\[)", "")
+    for name in links:
+        t = F.regexp_replace(t, f"(?<=\\[{re.escape(name)}\\])[{HARD}{SOFT}]\\[{re.escape(name)}-link\\]", "")
+    parts = F.filter(F.split(t, f"[{HARD}{SOFT}]"), lambda s: s != "")
+    seq = F.array_join(F.transform(parts, lambda s: F.when(s.startswith("["), s).otherwise(F.lit("_"))), "")
+    low = F.lower(text)
+    some = F.lit(False)
+    for word in hints(sentences):
+        some = some | low.contains(word)
+    return F.when(F.coalesce(some, F.lit(False)), seq).otherwise(F.lit(""))
 
 
 def licence_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> DataFrame:

@@ -222,3 +222,38 @@ def test_language_rejects_latin_gibberish_and_a_foreign_language(corpus):
     assert model.predict(far)[2].all()
     # the reach of each language at each length is below any distance, and wider for shorter texts
     assert model.reach.shape == (4, language.CLASSES) and (model.reach < 1).all() and (np.diff(model.reach, axis=1) <= 0).all()
+
+
+def test_licences_wrapped(make):
+    import textwrap
+
+    s = licences.SENTENCES
+    wrap = lambda t, mark="", first="": "\n".join(mark + line for line in textwrap.wrap(first + t, 70))
+    url = "http://www.apache.org/licenses/LICENSE-2.0"
+    apache = [s["apache-header"] + ".", s["apache-copy"], url, f"{s['apache-basis']}. {s['apache-see']}."]
+    mit = [s["mit-title2"], "Copyright (c) 2020 A B", s["mit-grant-only"], s["mit-notice"] + ".", f"{s['mit-as-is']}. {s['mit-liability']}."]
+    gpl = [f"{s['gpl-free']}.", f"{s['gpl-hope']}. {s['gpl-more']}."]
+    bsd = [s["bsd-redist"], "1. " + s["bsd-source"] + ".", "2. " + s["bsd-binary"] + ".", "3. " + s["bsd-endorse"] + "."]
+    isc = ["Copyright 2020 A B", s["isc-grant"] + "."]
+    cases = [(mit, "MIT:mit-lines:1,MIT:mit-title2:1"), (apache, "Apache-2.0:apache-full:1"), (gpl, "GPL-3.0-or-later:gpl3-full:1"), (bsd, "BSD-3-Clause:bsd3-full:1"), (isc, "ISC:isc-grant:1")]
+    rows, want = [], {}
+    for parts, found in cases:
+        for mark in ("", " * ", "# ", "// ", "REM ", "dnl "):
+            for gap in ("\n" + mark.rstrip() * (mark.strip().isalpha() is False) + "\n", "\r\n\r\n"):
+                rows.append((len(rows), f"/*\n{gap.join(wrap(p, mark) for p in parts)}\n */\nint x = 1;", "en", "s"))
+                want[len(rows) - 1] = found
+    # the header wrapped before (the "License"), where its first line is a sentence too; no blank line after the copyright
+    rows.append((900, 'Copyright 2020 A\nLicensed under the Apache License, Version 2.0\n(the "License"); you may not use this file except\nin compliance with the License. You may obtain a copy of the License at ' + url + "\n\n" + wrap(s["apache-basis"] + ". " + s["apache-see"] + "."), "en", "s"))
+    want[900] = "Apache-2.0:apache-full:1"
+    # once wrapped, once on one line without an end; words of a sentence with others before or after are none
+    rows.append((901, wrap(s["isc-grant"] + ".") + "\nfoo\n" + s["isc-grant"] + "\nbar", "en", "s"))
+    want[901] = "ISC:isc-grant:2"
+    rows.append((902, "We are not licensed under the\nMIT License here", "en", "s"))
+    want[902] = ""
+    got = {r["doc_id"]: r["licences"] for r in licences.licence_scan(make(rows)).collect()}
+    assert got == want
+
+
+def test_licence_hints_cover_every_sentence():
+    words = licences.hints(licences.SENTENCES)
+    assert len(words) < 12 and all(set(words) & set(licences.normalised(s).split()) for s in licences.SENTENCES.values())
