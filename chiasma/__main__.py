@@ -1,4 +1,4 @@
-"""Command line: ``python -m chiasma call|switches|metaplot|simulate|marey|fine-map``. Figures are written as their data."""
+"""Command line: ``python -m chiasma call|switches|metaplot|simulate|marey|lift|fine-map``. Figures are written as their data."""
 
 from __future__ import annotations
 
@@ -39,8 +39,13 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--regions", type=int, default=SimulationParams.regions)
     s.add_argument("--seed", type=int, default=SimulationParams.seed)
     y = sub.add_parser("marey")
-    y.add_argument("input", nargs="?", default="results/co_events_long_filtered.tsv")
+    y.add_argument("input", nargs="?", default="results/co_events_long")
     y.add_argument("output", nargs="?", default="results/marey_map_data")
+    t = sub.add_parser("lift", help="unite interval tables, move them to another assembly and rebuild them")
+    t.add_argument("--chain", required=True)
+    t.add_argument("--output", required=True)
+    for name, what in (("--segments", "segment tables"), ("--crossovers", "crossover tables"), ("--events", "event tables of call or switches"), ("--bed", "BED with sample and id")):
+        t.add_argument(name, nargs="*", default=[], help=what)
     f = sub.add_parser("fine-map")
     for name in ("--intervals", "--map", "--fai", "--output"):
         f.add_argument(name, required=True)
@@ -57,6 +62,8 @@ def main(argv: list[str] | None = None) -> None:
         sinks.write_clean_matrix(out.clean, f"{a.output}/hmm_cleaned_matrices")
         sinks.write_events(out.events, f"{a.output}/hmm_co_events_long")
         sinks.write_qc_summary(out.qc, f"{a.output}/hmm_qc_summary")
+        n = readers.read_events(spark, f"{a.output}/hmm_co_events_long").count()
+        log.info("%d crossover intervals called", n)
     elif a.command == "switches":
         raw, kept = workflows.call_switches(readers.read_markers(spark, a.input, a.format))
         for name, rows in (("co_events_long", raw), ("co_events_long_filtered", kept)):
@@ -76,6 +83,13 @@ def main(argv: list[str] | None = None) -> None:
         rows.unpersist()
     elif a.command == "marey":
         sinks.write_plot_data(workflows.marey_map(readers.read_events(spark, a.input)), a.output)
+    elif a.command == "lift":
+        found = [read(spark, paths) for read, paths in ((readers.read_segment_tables, a.segments), (readers.read_crossover_tables, a.crossovers)) if paths]
+        found += [readers.event_intervals(readers.read_events(spark, path)) for path in a.events] + [readers.read_intervals(spark, path) for path in a.bed]
+        if not found:
+            raise SystemExit("lift needs a table of intervals")
+        moved = workflows.lifted_intervals(workflows.united(found), readers.read_chain(spark, a.chain))
+        sinks.write_bed(moved, a.output, ("chrom", "start", "end", "sample", "id"))
     else:
         markers = readers.read_map_markers(spark, a.map).withColumnRenamed("start", "bp").select("chrom", "bp", "cm")
         rows = readers.read_intervals(spark, a.intervals).withColumnRenamed("id", "marker")

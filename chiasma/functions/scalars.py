@@ -62,6 +62,12 @@ def chrom_name_strict(name: Column) -> Column:
 
 
 def kb_label(x: Column) -> Column:
-    """Kilobases: whole numbers plainly, others in short form."""
-    short = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), "0+$", ""), r"\.$", "")
+    """Kilobases: whole numbers plainly, others with six significant digits."""
+    science = F.format_string("%.5e", x)
+    power = F.regexp_extract(science, "e([+-][0-9]+)$", 1).cast("int")
+    trimmed = lambda s: F.regexp_replace(s, r"\.?0+$", "")
+    short = F.concat(trimmed(F.regexp_extract(science, "^([^e]+)e", 1)), F.regexp_extract(science, "(e.*)$", 1))
+    for k in range(-4, 6):
+        plain = F.format_string(f"%.{5 - k}f", x)
+        short = F.when(power == k, trimmed(plain) if k < 5 else plain).otherwise(short)
     return F.concat(F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(short), F.lit(" kb"))

@@ -16,9 +16,9 @@ from .intervals import point_in_window
 def correct_blocks(markers: DataFrame, blocks: DataFrame) -> DataFrame:
     """cM values reversed among the markers of each block, by position; a block of two is a swap.
 
-    ``markers``: chrom, bp, marker, cm. ``blocks``: chrom, marker, block (a small table).
+    ``markers``: chrom, bp, marker, cm. ``blocks``: chrom, marker, block.
     """
-    rows = markers.join(F.broadcast(blocks), ["chrom", "marker"], "left")
+    rows = markers.join(blocks, ["chrom", "marker"], "left")
     up, down = Window.partitionBy("chrom", "block").orderBy("bp", "marker"), Window.partitionBy("chrom", "block").orderBy(F.col("bp").desc(), F.col("marker").desc())
     inside = rows.filter("block is not null").withColumns({"_u": F.row_number().over(up), "_d": F.row_number().over(down)})
     other = inside.select(F.col("chrom").alias("_c"), F.col("block").alias("_b"), F.col("_d").alias("_o"), F.col("cm").alias("_cm"))

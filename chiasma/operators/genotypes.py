@@ -116,15 +116,19 @@ def staged(markers: DataFrame, p: CleaningParams = CleaningParams()) -> tuple[Da
     return gone.unionByName(left), kept
 
 
-def clean(markers: DataFrame, p: CleaningParams = CleaningParams()) -> DataFrame:
-    """Final markers: map, chromosome, coordinate, snp_name and the kept samples' genotypes."""
-    rows, _ = staged(markers, p)
+def final(rows: DataFrame) -> DataFrame:
+    """Of the staged markers those that stay: map, chromosome, coordinate, snp_name and the kept samples' genotypes."""
     return rows.filter("stage = 'final'").select(*KEYS, F.col("own").alias("genotypes"))
 
 
-def qc_summary(markers: DataFrame, events: DataFrame, p: CleaningParams = CleaningParams()) -> DataFrame:
-    """One row per map; input = deduplicated + duplicates, deduplicated = missing + balance + flip + final."""
-    rows, kept = staged(markers, p)
+def clean(markers: DataFrame, p: CleaningParams = CleaningParams()) -> DataFrame:
+    """Final markers."""
+    return final(staged(markers, p)[0])
+
+
+def qc_summary(markers: DataFrame, rows: DataFrame, kept: DataFrame, events: DataFrame) -> DataFrame:
+    """One row per map, of the markers, what ``staged`` gives of them, and the events called; input = deduplicated +
+    duplicates, deduplicated = missing + balance + flip + final."""
     of = lambda s: F.count_if(F.col("stage") == s).cast("int")
     stages = rows.groupBy("map").agg(F.count("*").cast("int").alias("deduplicated_markers"), of("missing").alias("removed_markers_missingness"), of("balance").alias("removed_markers_allele_balance"), of("flip").alias("removed_markers_isolated_flip"), of("final").alias("final_markers"))
     total = markers.groupBy("map").agg(F.count("*").cast("int").alias("input_markers"))

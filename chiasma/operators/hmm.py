@@ -1,8 +1,10 @@
 """Two-state Viterbi per (map, sample, chromosome), and crossover events from its paths.
 
-A group's markers are collected once in order; the logarithms of the transitions depend on the markers alone and
-are computed once for all samples. Each sample's path is a fold over the markers that keeps two scores and one
-back-pointer character a marker, and a fold back. Ties go to state 0 (A).
+A group is the markers of a (map, chromosome) with the genotypes of ``SAMPLES`` samples. They are collected once in
+order, and all that follows is in one row: the logarithms of the transitions depend on the markers alone and are
+computed once; each sample's path is a fold over the markers that keeps two scores and a back-pointer character a
+marker, and a fold back that keeps the places where the state changes. Nothing is copied per sample, and the
+characters are kept in chunks, so time is in proportion to markers and samples. Ties go to state 0 (A).
 """
 
 from __future__ import annotations
@@ -13,52 +15,87 @@ from pyspark.sql import functions as F
 from ..functions.scalars import emission, midpoint, sample_id, state_label, switch_probability
 from ..params import HmmParams
 
+#: Samples to a row, and characters to a chunk of back-pointers.
+SAMPLES, CHUNK = 64, 512
+
+
+def sample_blocks(markers: DataFrame) -> DataFrame:
+    """map, chromosome, block, n (samples of it), markers (sorted: coordinate, snp, genotypes of the block's samples)."""
+    width = F.length("genotypes")
+    rows = markers.filter(width > 0).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((width - 1) / F.lit(SAMPLES)).cast("int"))))
+    one = F.struct("coordinate", F.col("snp_name").alias("snp"), F.substring("genotypes", F.col("block") * SAMPLES + 1, F.lit(SAMPLES)).alias("genotypes"))
+    g = rows.select("map", "chromosome", "block", one.alias("one")).groupBy("map", "chromosome", "block").agg(F.array_sort(F.collect_list("one")).alias("markers"))
+    return g.withColumn("n", F.array_max(F.transform("markers", lambda m: F.length(m["genotypes"]))))
+
 
 def trellis(clean: DataFrame, p: HmmParams = HmmParams()) -> DataFrame:
-    """map, chromosome, dense_idx, markers (sorted: coordinate, snp, genotypes), steps (stay and switch logs)."""
-    one = F.struct("coordinate", F.col("snp_name").alias("snp"), "genotypes")
-    g = clean.groupBy("map", "chromosome").agg(F.array_sort(F.collect_list(one)).alias("markers"))
+    """The blocks with ``steps``: of each marker but the first the logs of staying and of switching."""
     gaps = F.zip_with(F.slice("markers", 1, F.size("markers") - 1), F.slice("markers", 2, F.size("markers") - 1), lambda a, b: b["coordinate"] - a["coordinate"])
     step = lambda d: F.struct(F.ln(1 - switch_probability(d, p)).alias("stay"), F.ln(switch_probability(d, p)).alias("go"))
-    g = g.withColumn("steps", F.transform(gaps, step)).withColumn("n", F.length(F.get("markers", F.lit(0))["genotypes"]))
-    g = g.filter("n > 0").withColumn("dense_idx", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
-    own = F.transform("markers", lambda m: F.substring(m["genotypes"], F.col("dense_idx") + 1, F.lit(1)))
-    return g.withColumn("observed", own)
+    return sample_blocks(clean).withColumn("steps", F.transform(gaps, step))
 
 
-def viterbi(rows: DataFrame, p: HmmParams = HmmParams()) -> DataFrame:
-    """``path``: one character 0 or 1 a marker."""
+def _back_pointers(seen: Column, first: Column, at: Column, p: HmmParams) -> Column:
+    """Struct of the last state and, from the last marker to the second, a digit each: previous state of 0, plus twice
+    the previous state of 1."""
     half = F.lit(0.5)
-    first = F.get("observed", F.lit(0))
-    back = "back"
-    start = F.struct((F.ln(half) + emission(0, first, p)).alias("s0"), (F.ln(half) + emission(1, first, p)).alias("s1"), F.lit("").alias(back))
-    seen = F.zip_with(F.slice("observed", 2, F.greatest(F.size("observed") - 1, F.lit(0))), "steps", lambda o, s: F.struct(o.alias("o"), s["stay"].alias("stay"), s["go"].alias("go")))
+    own = lambda genotypes: F.substring(genotypes, at + 1, F.lit(1))
+    start = F.struct((F.ln(half) + emission(0, own(first), p)).alias("s0"), (F.ln(half) + emission(1, own(first), p)).alias("s1"), F.lit("").alias("marks"), F.array().cast("array<string>").alias("chunks"))
 
     def forward(a: Column, x: Column) -> Column:
         stay0, come0 = a["s0"] + x["stay"], a["s1"] + x["go"]
         come1, stay1 = a["s0"] + x["go"], a["s1"] + x["stay"]
-        # a digit: previous state of 0, plus twice the previous state of 1
         mark = F.when(come0 > stay0, F.when(stay1 > come1, "3").otherwise("1")).otherwise(F.when(stay1 > come1, "2").otherwise("0"))
-        return F.struct((F.greatest(stay0, come0) + emission(0, x["o"], p)).alias("s0"), (F.greatest(come1, stay1) + emission(1, x["o"], p)).alias("s1"), F.concat(a[back], mark).alias(back))
+        full = F.length(a["marks"]) >= CHUNK
+        return F.struct(
+            (F.greatest(stay0, come0) + emission(0, own(x["g"]), p)).alias("s0"),
+            (F.greatest(come1, stay1) + emission(1, own(x["g"]), p)).alias("s1"),
+            F.when(full, mark).otherwise(F.concat(a["marks"], mark)).alias("marks"),
+            F.when(full, F.concat(a["chunks"], F.array(a["marks"]))).otherwise(a["chunks"]).alias("chunks"),
+        )
+
+    end = lambda f: F.struct((f["s1"] > f["s0"]).cast("int").alias("last"), F.reverse(F.concat(F.array_join(f["chunks"], ""), f["marks"])).alias("marks"))
+    return F.aggregate(seen, start, forward, end)
 
-    rows = rows.withColumn("_f", F.aggregate(seen, start, forward))
-    end = F.struct(F.when(F.col("_f.s1") > F.col("_f.s0"), "1").otherwise("0").alias("at"), F.when(F.col("_f.s1") > F.col("_f.s0"), "1").otherwise("0").alias("path"))
-    marks = F.when(F.length(f"_f.{back}") > 0, F.split(F.reverse(f"_f.{back}"), "")).otherwise(F.array().cast("array<string>"))
+
+def viterbi(rows: DataFrame, p: HmmParams = HmmParams()) -> DataFrame:
+    """map, chromosome, markers and, per sample, ``paths``: dense_idx, last (the state of the last marker), changes
+    (descending; the state at marker i, from 1, is not that of the marker before)."""
+    seen = F.zip_with(F.slice("markers", 2, F.greatest(F.size("markers") - 1, F.lit(0))), "steps", lambda m, s: F.struct(m["genotypes"].alias("g"), s["stay"].alias("stay"), s["go"].alias("go")))
+    first = F.get("markers", F.lit(0))["genotypes"]
 
     def backward(a: Column, m: Column) -> Column:
-        prior = F.when(a["at"] == "0", F.when(m.isin("1", "3"), "1").otherwise("0")).otherwise(F.when(m.isin("2", "3"), "1").otherwise("0"))
-        return F.struct(prior.alias("at"), F.concat(a["path"], prior).alias("path"))
+        prior = F.when(a["at"] == 0, m.isin("1", "3")).otherwise(m.isin("2", "3")).cast("int")
+        changes = F.when(prior != a["at"], F.concat(a["changes"], F.array(a["i"]))).otherwise(a["changes"])
+        return F.struct(prior.alias("at"), (a["i"] - 1).alias("i"), changes.alias("changes"))
+
+    def traced(x: Column) -> Column:
+        marks = F.when(F.length(x["b"]["marks"]) > 0, F.split(x["b"]["marks"], "")).otherwise(F.array().cast("array<string>"))
+        start = F.struct(x["b"]["last"].alias("at"), F.size("markers").alias("i"), F.array().cast("array<int>").alias("changes"))
+        return F.struct((F.col("block") * SAMPLES + x["at"]).alias("dense_idx"), x["b"]["last"].alias("last"), F.aggregate(marks, start, backward, lambda a: a["changes"]).alias("changes"))
+
+    samples = F.sequence(F.lit(0), F.col("n") - 1)
+    # in an array of one, so that it is computed once and not for each sample
+    every = F.transform(F.array(seen), lambda held: F.transform(F.transform(samples, lambda j: F.struct(j.alias("at"), _back_pointers(held, first, j, p).alias("b"))), traced))
+    return rows.select("map", "chromosome", "markers", F.flatten(every).alias("paths"))
+
 
-    return rows.withColumn("path", F.reverse(F.aggregate(marks, end, backward)["path"])).drop("_f")
+def path_strings(paths: DataFrame) -> DataFrame:
+    """map, chromosome, dense_idx, ``path``: one character 0 or 1 a marker."""
+    rows = paths.select("map", "chromosome", F.size("markers").alias("_n"), F.explode("paths").alias("_p"))
+    start = F.struct((F.col("_n") + 1).alias("end"), F.col("_p.last").alias("at"), F.array().cast("array<string>").alias("runs"))
+    run = lambda a, i: F.concat(F.array(F.repeat(a["at"].cast("string"), a["end"] - i)), a["runs"])
+    step = lambda a, i: F.struct(i.alias("end"), (1 - a["at"]).alias("at"), run(a, i).alias("runs"))
+    path = F.aggregate(F.concat("_p.changes", F.array(F.lit(1))), start, step, lambda a: F.array_join(a["runs"], ""))
+    return rows.select("map", "chromosome", F.col("_p.dense_idx").alias("dense_idx"), path.alias("path"))
 
 
-def state_changes(rows: DataFrame) -> DataFrame:
+def state_changes(paths: DataFrame) -> DataFrame:
     """One row per change of state along a path."""
-    at = F.filter(F.sequence(F.lit(1), F.length("path")), lambda i: (i > 1) & (F.substring(F.col("path"), i, F.lit(1)) != F.substring(F.col("path"), i - 1, F.lit(1))))
-    rows = rows.withColumn("_i", F.explode(at))
-    side = lambda k: F.element_at("markers", F.col("_i") - k)
-    state = lambda k: state_label(F.substring(F.col("path"), F.col("_i") - k, F.lit(1)).cast("int"))
-    rows = rows.select("map", "chromosome", "dense_idx", side(1)["coordinate"].alias("left_coordinate"), side(0)["coordinate"].alias("right_coordinate"), side(1)["snp"].alias("left_snp"), side(0)["snp"].alias("right_snp"), state(1).alias("left_state"), state(0).alias("right_state"))
+    side = lambda i, k: F.element_at("markers", i - k)
+    # counted from the last change on, states alternate
+    event = lambda x: F.transform(x["changes"], lambda i, k: F.struct(x["dense_idx"].alias("dense_idx"), side(i, 1)["coordinate"].alias("left_coordinate"), side(i, 0)["coordinate"].alias("right_coordinate"), side(i, 1)["snp"].alias("left_snp"), side(i, 0)["snp"].alias("right_snp"), state_label((x["last"] + k + 1) % 2).alias("left_state"), state_label((x["last"] + k) % 2).alias("right_state")))
+    rows = paths.select("map", "chromosome", F.explode(F.flatten(F.transform("paths", event))).alias("e")).select("map", "chromosome", "e.*")
     return rows.withColumn("event_bp", midpoint(F.col("left_coordinate"), F.col("right_coordinate")))
 
 

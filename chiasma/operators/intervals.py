@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .ordered import WIDTH, stretched, within
 
 #: Positions to a bucket of the joins.
@@ -16,9 +17,9 @@ def merge_intervals(iv: DataFrame, keys: list[str] = ["chrom"], width: int = WID
     rows = stretched(iv.select(*keys, "start", "end"), keys, F.col("start"), {"reached": ("max", F.col("end"))}, width)
     w = within(keys, "start", "end")
     prior = F.greatest(F.col("reached"), F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("opens", F.when(prior.isNull() | (F.col("start") > prior), 1).otherwise(0)).drop("reached")
+    rows = stored(rows.withColumn("opens", F.when(prior.isNull() | (F.col("start") > prior), 1).otherwise(0)).drop("reached", "_stretch"), "merge")
     # the number of the island: islands opened in this stretch so far, and in all before
-    counted = stretched(rows.drop("_stretch"), keys, F.col("start"), {"islands": ("sum", F.col("opens"))}, width)
+    counted = stretched(rows, keys, F.col("start"), {"islands": ("sum", F.col("opens"))}, width)
     number = F.col("islands") + F.sum("opens").over(within(keys, "start", "end", F.col("opens").desc()).rowsBetween(Window.unboundedPreceding, 0))
     return counted.withColumn("_n", number).groupBy(*keys, "_n").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_n")
 
@@ -32,7 +33,7 @@ def coverage_segments(iv: DataFrame, classes: list[str], width: int = WIDTH) ->
     edges = iv.filter("end > start").select("chrom", "class", edge.alias("e")).groupBy("chrom", F.col("e.pos").alias("pos"))
     edges = edges.agg(*[F.sum(F.when(F.col("class") == c, F.col("e.d")).otherwise(0)).alias(f"d_{c}") for c in classes])
     carry = {f"c_{c}": ("sum", F.col(f"d_{c}")) for c in classes} | {"after": ("next", F.col("pos"))}
-    rows = stretched(edges, ["chrom"], F.col("pos"), carry, width)
+    rows = stretched(stored(edges, "edges"), ["chrom"], F.col("pos"), carry, width)
     w = within(["chrom"], "pos")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     end = F.coalesce(F.lead("pos").over(w), F.col("after"))
@@ -43,7 +44,8 @@ def coverage_segments(iv: DataFrame, classes: list[str], width: int = WIDTH) ->
 def subtract_intervals(base: DataFrame, minus: DataFrame, width: int = WIDTH) -> DataFrame:
     """The parts of ``base`` that no interval of ``minus`` covers, merged."""
     both = base.select("chrom", "start", "end", F.lit("base").alias("class")).unionByName(minus.select("chrom", "start", "end", F.lit("minus").alias("class")))
-    return merge_intervals(coverage_segments(both, ["base", "minus"], width).filter("n_base > 0 and n_minus = 0"), width=width)
+    alone = coverage_segments(both, ["base", "minus"], width).filter("n_base > 0 and n_minus = 0")
+    return merge_intervals(stored(alone, "segments"), width=width)
 
 
 def exclusive_partitions(iv: DataFrame, classes: list[str], width: int = WIDTH) -> DataFrame:
@@ -51,7 +53,7 @@ def exclusive_partitions(iv: DataFrame, classes: list[str], width: int = WIDTH)
     seg = coverage_segments(iv, classes, width)
     alone = F.array_compact(F.array(*[F.when((F.col(f"n_{c}") > 0) & sum((F.col(f"n_{o}") for o in classes if o != c), F.lit(0)).eqNullSafe(0), F.lit(c)) for c in classes]))
     rows = seg.select("chrom", "start", "end", F.explode(alone).alias("class"))
-    return merge_intervals(rows, ["class", "chrom"], width)
+    return merge_intervals(stored(rows, "segments"), ["class", "chrom"], width)
 
 
 def clip(iv: DataFrame, low: Column | int, high: Column | int) -> DataFrame:

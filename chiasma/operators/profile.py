@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import midpoint
 from ..params import ProfileParams
-from .intervals import BUCKET, overlapping, point_in_window
+from .intervals import overlapping, point_in_window
 from .ordered import WIDTH, stretched, within
 
 
@@ -55,25 +55,27 @@ def slots(bounded: DataFrame, p: ProfileParams) -> DataFrame:
     return counted.withColumn("s", F.explode(at)).select("input_ord", "chr", "s.part", "s.i", "s.slot", "s.w_start", (F.col("s.w_start") + b).alias("w_end"))
 
 
-def window_sums(windows: DataFrame, signal: DataFrame, uniform: bool = False, bucket: int = BUCKET) -> DataFrame:
+def window_sums(windows: DataFrame, signal: DataFrame, size: int, uniform: bool = False) -> DataFrame:
     """``value`` of each window: of signal midpoints in it, or of signal spread evenly over its interval.
 
-    A window without signal counts with 0.
+    A window without signal counts with 0. The join's buckets are a few times the windows' ``size``, so that few
+    pairs are met that do not belong together, however dense the signal is.
     """
-    keys = ["input_ord", "chr", "part", "i"]
+    keys = windows.columns
+    bucket = size * (8 if uniform else 2)
     w = windows.withColumnRenamed("chr", "chrom")
     s = signal.withColumnRenamed("chr", "chrom")
     if uniform:
         pairs = overlapping(s, w, bucket).withColumn("v", F.col("value") * F.col("overlap") / F.greatest(F.col("end") - F.col("start"), F.lit(1)))
     else:
         pairs = point_in_window(s.withColumn("mid", midpoint(F.col("start"), F.col("end"))).select("chrom", "mid", "value"), w, "mid", bucket).withColumn("v", F.col("value"))
-    sums = pairs.withColumnRenamed("chrom", "chr").groupBy(*keys).agg(F.sum("v").alias("value"))
-    return windows.join(sums, keys, "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    found = pairs.withColumnRenamed("chrom", "chr").select(*keys, F.col("v").cast("double").alias("v"))
+    return found.union(windows.select(*keys, F.lit(0.0).alias("v"))).groupBy(*keys).agg(F.sum("v").alias("value"))
 
 
 def profile(genes: DataFrame, signal: DataFrame, p: ProfileParams) -> DataFrame:
     """slot, mean, se (population), n of all slots; null where no window falls."""
-    values = window_sums(slots(flank_bounds(genes, p.flanking_bp), p), signal, p.uniform)
+    values = window_sums(slots(flank_bounds(genes, p.flanking_bp), p), signal, p.bin_size, p.uniform)
     g = values.groupBy("slot").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"), F.count("*").alias("n"))
     spine = genes.sparkSession.range(p.total).select(F.col("id").cast("int").alias("slot"))
     g = spine.join(F.broadcast(g), "slot", "left")  # one row a slot at most
@@ -84,7 +86,7 @@ def profile(genes: DataFrame, signal: DataFrame, p: ProfileParams) -> DataFrame:
 
 def ticks(p: ProfileParams) -> list[tuple[int, str]]:
     """Slots and labels of the profile's axis: quarters of both flanks and the body's ends; of equal successive slots the first."""
-    kb = lambda x: f"{x:g} kb"
+    kb = lambda x: f"{int(x)} kb" if x == int(x) else f"{x:g} kb"
     flank, n, right = p.flanking_bp / 1000, p.flank_bins, p.right_offset
     out = [(q * n // 4, f"-{kb(flank * (4 - q) / 4)}") for q in range(4)] + [(n, "TSS"), (right, "TTS")]
     out += [(right + q * n // 4, f"+{kb(flank * q / 4)}") for q in range(1, 4)] + [(p.total - 1, f"+{kb(flank)}")]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import SimulationParams
+from ..sources.shared import stored
 from .intervals import exclusive_partitions
 
 
@@ -47,18 +48,20 @@ def cumulative(intervals: DataFrame, keys: list[str], order: list[str], weight:
     return rows.withColumns({"hi": F.col("_before") + F.col("_in"), "lo": F.col("_before") + F.col("_in") - F.col(weight)}).drop("_in", "_before")
 
 
-def look_up(picks: DataFrame, table: DataFrame, total: int, pick: str = "pick", buckets: int = 4096) -> DataFrame:
-    """The row of the cumulative table with lo <= pick < hi, by equi-join on a bucket of the running total."""
-    width = total // buckets + 1
+def look_up(picks: DataFrame, table: DataFrame, total: int, rows: int, pick: str = "pick") -> DataFrame:
+    """The row of the cumulative table (of ``rows`` rows) with lo <= pick < hi, by equi-join on a bucket of the running
+    total; there are as many buckets as rows."""
+    width = total // max(rows, 1) + 1
     at = lambda x: F.floor(x / F.lit(width))
     rows = table.filter("hi > lo").withColumn("_bucket", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi") - 1))))
     p = picks.withColumn("_bucket", at(F.col(pick)))
     return p.join(rows, "_bucket").filter((F.col(pick) >= F.col("lo")) & (F.col(pick) < F.col("hi"))).drop("_bucket")
 
 
-def _total(table: DataFrame) -> int:
-    """One number: the end of the running total."""
-    return table.agg(F.max("hi")).first()[0] or 0
+def _total(table: DataFrame) -> tuple[int, int]:
+    """Two numbers: the end of the running total, and of how many rows."""
+    total, rows = table.agg(F.max("hi"), F.count("*")).first()
+    return total or 0, rows
 
 
 def length_distribution(intervals: DataFrame) -> DataFrame:
@@ -70,16 +73,17 @@ def length_distribution(intervals: DataFrame) -> DataFrame:
 
 def drawn_lengths(lengths: DataFrame, n: int, seed: int = 25) -> DataFrame:
     """idx 1..n with a length from the distribution; all region sets share it. No lengths give no rows."""
-    total = _total(lengths)
+    total, rows = _total(lengths)
     idx = lengths.sparkSession.range(1, n + 1 if total else 1).withColumnRenamed("id", "idx")
     picks = idx.withColumn("pick", draw(F.col("idx"), "length", 0, F.lit(max(total, 1)), seed))
-    return look_up(picks, lengths, total).select("idx", "length")
+    return look_up(picks, lengths, total, rows).select("idx", "length")
 
 
 def uniform_regions(drawn: DataFrame, chroms: DataFrame, seed: int = 25) -> DataFrame:
     """A region of each drawn length anywhere: a chromosome by its number of valid starts, then a start.
 
-    ``chroms``: chrom, length, one row a chromosome; they become one array that each draw walks along.
+    ``chroms``: chrom, length, one row a chromosome (ten, as ``read_lengths`` gives them); they become one array that
+    each draw walks along.
     """
     known = sorted((r["chrom"], r["length"]) for r in chroms.select("chrom", "length").collect())
     names, sizes = F.array(*[F.lit(c) for c, _ in known]), F.array(*[F.lit(n).cast("bigint") for _, n in known])
@@ -95,10 +99,10 @@ def uniform_regions(drawn: DataFrame, chroms: DataFrame, seed: int = 25) -> Data
 def points(idx: DataFrame, annotation: DataFrame, kind: str, seed: int = 25) -> DataFrame:
     """A point of the annotation for each idx, every base alike: idx columns, chrom, point. No annotation, no rows."""
     table = cumulative(annotation.select("chrom", "start", "end").withColumn("span", F.col("end") - F.col("start")), [], ["start", "end"], "span")
-    table = table.persist()  # read for its total and for the look-up; spills to disk, and is computed again if lost
-    total = _total(table)
+    table = stored(table, "cumulative")  # read for its total and for the look-up
+    total, rows = _total(table)
     picks = idx.filter(F.lit(total > 0)).withColumn("pick", draw(F.col("idx"), kind, 1, F.lit(max(total, 1)), seed))
-    return look_up(picks, table.select("chrom", "start", "lo", "hi"), total).select(*idx.columns, "chrom", (F.col("start") + F.col("pick") - F.col("lo")).alias("point"))
+    return look_up(picks, table.select("chrom", "start", "lo", "hi"), total, rows).select(*idx.columns, "chrom", (F.col("start") + F.col("pick") - F.col("lo")).alias("point"))
 
 
 def enriched_regions(drawn: DataFrame, annotation: DataFrame, chroms: DataFrame, kind: str, seed: int = 25) -> DataFrame:
@@ -112,8 +116,8 @@ def enriched_regions(drawn: DataFrame, annotation: DataFrame, chroms: DataFrame,
 
 def simulate(genes: DataFrame, chroms: DataFrame, intervals: DataFrame, p: SimulationParams = SimulationParams()) -> DataFrame:
     """The four sets: set, chrom, start, end, ident. At one index all share a length."""
-    drawn = drawn_lengths(length_distribution(intervals), p.regions, p.seed)
-    parts = gene_partitions(genes, chroms, p.flank)
+    drawn = stored(drawn_lengths(stored(length_distribution(intervals), "lengths"), p.regions, p.seed), "drawn")
+    parts = stored(gene_partitions(genes, chroms, p.flank), "partitions")
     sets = [uniform_regions(drawn, chroms, p.seed).withColumn("set", F.lit("uniform"))]
     for kind in ("five_prime", "body", "three_prime"):
         sets.append(enriched_regions(drawn, parts.filter(F.col("class") == kind), chroms, kind, p.seed).withColumn("set", F.lit(kind)))

@@ -1,41 +1,69 @@
-"""Crossovers called from changes between informative markers, without a model."""
+"""Crossovers called from changes between informative markers, without a model.
+
+The markers of a (map, chromosome) are collected once with the genotypes of some samples (``hmm.sample_blocks``); each
+sample's runs are read off that array, so no row is made per genotype. Markers at one place are in order of name, then
+of genotypes.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import midpoint
 from ..params import SwitchParams
-from .hmm import collapse_close_pairs
+from .hmm import SAMPLES, collapse_close_pairs, sample_blocks
 
 _SAMPLE = ["map", "sample_idx", "chromosome"]
 
 
-def informative(markers: DataFrame) -> DataFrame:
-    """One row per marker and sample with A or B."""
-    rows = markers.select("map", "chromosome", "coordinate", "snp_name", F.posexplode(F.split("genotypes", "")).alias("sample_idx", "state"))
-    return rows.filter(F.col("state").isin("A", "B"))
+def _sample_runs(at: Column) -> Column:
+    """Array of the runs of the block's sample ``at``, each with the last marker and the state of the one before."""
+    seen = F.transform("markers", lambda m, i: F.struct((i + 1).alias("i"), F.substring(m["genotypes"], at + 1, F.lit(1)).alias("s")))
+    seen = F.filter(seen, lambda x: x["s"].isin("A", "B"))
+    # in an array of one, so that each is computed once
+    held = F.transform(F.array(seen), lambda v: F.struct(v.alias("v"), F.filter(F.transform(v, lambda x, k: F.when(F.coalesce(F.get(v, k - 1)["s"] != x["s"], F.lit(True)), k)), lambda k: k.isNotNull()).alias("k")))
 
+    def own_runs(h: Column) -> Column:
+        v, starts = h["v"], h["k"]
+        marker = lambda place: F.element_at("markers", F.get(v, place)["i"])
 
-def raw_calls(markers: DataFrame) -> DataFrame:
-    """A call wherever two successive informative markers of a sample differ."""
-    w = Window.partitionBy(*_SAMPLE).orderBy("coordinate", "snp_name")
-    rows = informative(markers)
-    rows = rows.withColumns({f"left_{b}": F.lag(a).over(w) for a, b in (("coordinate", "coordinate"), ("snp_name", "snp"), ("state", "state"))})
-    rows = rows.filter("left_state <> state").withColumnsRenamed({"coordinate": "right_coordinate", "snp_name": "right_snp", "state": "right_state"})
-    return rows.select(*_SAMPLE, midpoint(F.col("left_coordinate"), F.col("right_coordinate")).alias("event_bp"), "left_coordinate", "right_coordinate", "left_snp", "right_snp", "left_state", "right_state")
+        def run(start: Column, r: Column) -> Column:
+            end = F.coalesce(F.get(starts, r + 1), F.size(v))
+            first, last, left = marker(start), marker(end - 1), F.get(v, start - 1)["i"]
+            prior = lambda name: F.when(r > 0, F.get("markers", left - 1)[name])
+            return F.struct(
+                (F.col("block") * SAMPLES + at).cast("int").alias("sample_idx"), (r + 1).cast("int").alias("run"), F.get(v, start)["s"].alias("state"), (end - start).cast("long").alias("n_markers"),
+                first["coordinate"].alias("first_coordinate"), last["coordinate"].alias("last_coordinate"), first["snp"].alias("first_snp"), last["snp"].alias("last_snp"), (last["coordinate"] - first["coordinate"]).alias("span"),
+                prior("coordinate").alias("left_coordinate"), prior("snp").alias("left_snp"), F.when(r > 0, F.get(v, start - 1)["s"]).alias("left_state"),
+            )
+
+        return F.transform(starts, run)
+
+    return F.flatten(F.transform(held, own_runs))
 
 
 def runs(markers: DataFrame) -> DataFrame:
     """Runs of equal informative states: state, n_markers, first and last marker, span."""
-    w = Window.partitionBy(*_SAMPLE).orderBy("coordinate", "snp_name")
-    rows = informative(markers)
-    rows = rows.withColumn("_new", F.when(F.lag("state").over(w) == F.col("state"), 0).otherwise(1))
-    rows = rows.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    place = F.struct("coordinate", "snp_name")
-    g = rows.groupBy(*_SAMPLE, "run").agg(F.min("state").alias("state"), F.count("*").alias("n_markers"), F.min(place).alias("f"), F.max(place).alias("l"))
-    return g.select(*_SAMPLE, "run", "state", "n_markers", F.col("f.coordinate").alias("first_coordinate"), F.col("l.coordinate").alias("last_coordinate"), F.col("f.snp_name").alias("first_snp"), F.col("l.snp_name").alias("last_snp"), (F.col("l.coordinate") - F.col("f.coordinate")).alias("span"))
+    return _runs_table(markers).drop("left_coordinate", "left_snp", "left_state")
+
+
+def _runs_table(markers: DataFrame) -> DataFrame:
+    names = ["run", "state", "n_markers", "first_coordinate", "last_coordinate", "first_snp", "last_snp", "span", "left_coordinate", "left_snp", "left_state"]
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), _sample_runs))
+    rows = sample_blocks(markers).select("map", "chromosome", F.explode(every).alias("r"))
+    return rows.select("map", F.col("r.sample_idx").alias("sample_idx"), "chromosome", *[F.col(f"r.{n}").alias(n) for n in names])
+
+
+def _calls(runs: DataFrame) -> DataFrame:
+    """A call at the beginning of each run but a sample's first."""
+    rows = runs.filter(F.col("left_state").isNotNull())
+    return rows.select(*_SAMPLE, midpoint(F.col("left_coordinate"), F.col("first_coordinate")).alias("event_bp"), "left_coordinate", F.col("first_coordinate").alias("right_coordinate"), "left_snp", F.col("first_snp").alias("right_snp"), "left_state", F.col("state").alias("right_state"))
+
+
+def raw_calls(markers: DataFrame) -> DataFrame:
+    """A call wherever two successive informative markers of a sample differ."""
+    return _calls(_runs_table(markers))
 
 
 def filtered_calls(markers: DataFrame, p: SwitchParams = SwitchParams()) -> DataFrame:
@@ -43,9 +71,5 @@ def filtered_calls(markers: DataFrame, p: SwitchParams = SwitchParams()) -> Data
 
     The left marker is the last of the run before, whatever that run's length; runs that fail are not merged away.
     """
-    w = Window.partitionBy(*_SAMPLE).orderBy("run")
-    rows = runs(markers)
-    rows = rows.withColumns({"left_coordinate": F.lag("last_coordinate").over(w), "left_snp": F.lag("last_snp").over(w), "left_state": F.lag("state").over(w)})
-    rows = rows.filter(F.col("left_state").isNotNull() & (F.col("n_markers") >= p.min_run_markers) & (F.col("span") >= p.min_run_bp))
-    rows = rows.select(*_SAMPLE, midpoint(F.col("left_coordinate"), F.col("first_coordinate")).alias("event_bp"), "left_coordinate", F.col("first_coordinate").alias("right_coordinate"), "left_snp", F.col("first_snp").alias("right_snp"), "left_state", F.col("state").alias("right_state"))
-    return collapse_close_pairs(rows, _SAMPLE, "event_bp", p.close_bp)
+    rows = _runs_table(markers).filter((F.col("n_markers") >= p.min_run_markers) & (F.col("span") >= p.min_run_bp))
+    return collapse_close_pairs(_calls(rows), _SAMPLE, "event_bp", p.close_bp)

@@ -7,6 +7,7 @@ import re
 from .adapters import SQL
 from .queries import EVENT_GAP, N_REGIONS, PROFILE, _found
 
+_CLASSES = ("five_prime", "three_prime", "body")
 _AB = "IN ('A', 'B')"
 _W = "(PARTITION BY map, sample_idx, chromosome ORDER BY coordinate, snp_name)"
 
@@ -92,10 +93,10 @@ CTES: dict[str, str] = SQL | {
       FROM b JOIN steps s ON s.map = b.map AND s.chromosome = b.chromosome AND s.i = b.i WINDOW w AS (PARTITION BY b.map, b.chromosome, b.d ORDER BY b.i)) WHERE left_s <> state""",
     "co_events": """SELECT format('{}_ind{:03d}', map, dense_idx + 1) AS sample_id, map, chromosome, (row_number() OVER (PARTITION BY map, dense_idx ORDER BY chromosome, event_bp))::INTEGER AS event_index,
       event_bp, left_coordinate, right_coordinate, left_snp, right_snp, left_state, right_state FROM (""" + _collapse("changes", "map, dense_idx, chromosome", "event_bp", 2_000_000, "*") + ")",
-    "informative": f"SELECT map, chromosome, coordinate, snp_name, j::INTEGER AS sample_idx, substr(genotypes, j + 1, 1) AS state FROM dedup, range(32) r(j) WHERE substr(genotypes, j + 1, 1) {_AB}",
+    "informative": f"SELECT map, chromosome, coordinate, snp_name, j::INTEGER AS sample_idx, substr(genotypes, j + 1, 1) AS state FROM markers, range(32) r(j) WHERE substr(genotypes, j + 1, 1) {_AB}",
     "run_rows": f"SELECT *, sum(fresh) OVER {_W[:-1]} ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN lag(state) OVER {_W} = state THEN 0 ELSE 1 END AS fresh FROM informative)",
     "runs": """SELECT map, sample_idx, chromosome, run::INTEGER AS run, min(state) AS state, count(*) AS n_markers, min(coordinate) AS first_coordinate, max(coordinate) AS last_coordinate,
-      arg_min(snp_name, coordinate) AS first_snp, arg_max(snp_name, coordinate) AS last_snp, max(coordinate) - min(coordinate) AS span FROM run_rows GROUP BY ALL""",
+      min({'c': coordinate, 's': snp_name})['s'] AS first_snp, max({'c': coordinate, 's': snp_name})['s'] AS last_snp, max(coordinate) - min(coordinate) AS span FROM run_rows GROUP BY ALL""",
     "run_calls": """SELECT map, sample_idx, chromosome, (left_coordinate + first_coordinate) // 2 AS event_bp, left_coordinate, first_coordinate AS right_coordinate, left_snp, first_snp AS right_snp, left_state, state AS right_state FROM (
       SELECT *, lag(last_coordinate) OVER w AS left_coordinate, lag(last_snp) OVER w AS left_snp, lag(state) OVER w AS left_state FROM runs WINDOW w AS (PARTITION BY map, sample_idx, chromosome ORDER BY run))
       WHERE left_state IS NOT NULL AND n_markers >= 2 AND span >= 1000000""",
@@ -117,11 +118,12 @@ CTES: dict[str, str] = SQL | {
         SELECT chrom, sample, marker AS id, substr(md5(marker), 1, 1) AS h, e.start AS start, e."end" AS "end" FROM (SELECT *, unnest([{'start': start, 'end': start + 1}, {'start': "end" - 1, 'end': "end"}]) AS e FROM map_intervals))
       WHERE NOT (h = '0' AND start % 2 = 0))""",
     "signal_ends": """SELECT chr AS chrom, id, e.start AS start, e."end" AS "end" FROM (SELECT *, unnest([{'start': start, 'end': start + 1}, {'start': "end" - 1, 'end': "end"}]) AS e FROM signal WHERE "end" > start)""",
+    "lifted_ends": """SELECT p.id, t_chrom AS chrom, CASE t_strand WHEN '-' THEN t_start + w_end - 1 - start ELSE t_start + start - w_start END AS start, CASE t_strand WHEN '-' THEN t_start + w_end - 1 - start ELSE t_start + start - w_start END + 1 AS "end"
+      FROM signal_ends p JOIN blocks b ON b.chrom = p.chrom AND p.start >= w_start AND p.start < w_end""",
     "bounded": f"""SELECT *, greatest(start - {_F}, prev_end) AS low, least("end" + {_F}, next_start) AS high FROM (
       SELECT *, coalesce(max("end") OVER (PARTITION BY chr ORDER BY start, "end", input_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS prev_end, lead(start) OVER (PARTITION BY chr ORDER BY start, "end", input_ord) AS next_start FROM stranded)""",
     "counted": f"""SELECT *, CASE WHEN start > low THEN (start - low) // {_B} ELSE 0 END AS nl, CASE WHEN high > "end" THEN (high - "end") // {_B} ELSE 0 END AS nr, least((("end" - start) // {_B}) // 2, {_P.body_bins}) AS k FROM bounded""",
     "slots": _SLOTS,
-    "right_slots": "SELECT * FROM slots WHERE part = 'right'",
     "mids": 'SELECT chr, (start + "end") // 2 AS mid, value FROM signal',
     "knots": """SELECT chrom, bp, min(cm) AS cm FROM (
       SELECT m.chrom, bp, cm - least_cm AS cm FROM map_markers m JOIN (SELECT chrom, min(cm) AS least_cm FROM map_markers GROUP BY chrom) USING (chrom)
@@ -143,13 +145,17 @@ CTES: dict[str, str] = SQL | {
     "length_shares": """SELECT length, (sum(n) OVER (ORDER BY length) - n)::BIGINT AS lo, (sum(n) OVER (ORDER BY length))::BIGINT AS hi FROM (SELECT "end" - start AS length, count(*) AS n FROM signal WHERE "end" > start GROUP BY 1)""",
     "drawn": f"SELECT idx, length FROM (SELECT i AS idx, {_draw('i', 'length', 0, '(SELECT max(hi) FROM length_shares)')} AS pick FROM range(1, {N_REGIONS + 1}) r(i)) JOIN length_shares ON pick >= lo AND pick < hi",
     "rooms": "SELECT idx, d.length, chrom, greatest(l.length - d.length + 1, 0) AS room FROM drawn d, lengths l",
+    "uniform_regions": f"SELECT idx, chrom, (pick - lo)::BIGINT AS start, (pick - lo + length)::BIGINT AS \"end\" FROM (SELECT *, {_draw('idx', 'uniform', 1, 'total::BIGINT')} AS pick FROM room_shares WHERE total > 0) WHERE pick >= lo AND pick < hi",
     "room_shares": "SELECT *, sum(room) OVER (PARTITION BY idx ORDER BY chrom) - room AS lo, sum(room) OVER (PARTITION BY idx ORDER BY chrom) AS hi, sum(room) OVER (PARTITION BY idx) AS total FROM rooms",
 } | {
     f"{kind}_shares": f"""SELECT chrom, start, (sum("end" - start) OVER (ORDER BY chrom, start) - ("end" - start))::BIGINT AS lo, (sum("end" - start) OVER (ORDER BY chrom, start))::BIGINT AS hi FROM gene_parts WHERE class = '{kind}'"""
-    for kind in ("five_prime", "three_prime")
+    for kind in ("five_prime", "three_prime", "body")
+} | {
+    f"{kind}_regions": f"""SELECT idx, chrom, start, least(start + len, size) AS "end" FROM (SELECT idx, p.chrom, p.length AS len, l.length AS size, greatest(least(greatest(point - {_draw('idx', kind, 2, 'p.length')}, 0), l.length - p.length), 0) AS start FROM {kind}_points p JOIN lengths l ON l.chrom = p.chrom)"""
+    for kind in ("five_prime", "three_prime", "body")
 } | {
     f"{kind}_points": f"SELECT idx, length, chrom, start + pick - lo AS point FROM (SELECT *, {_draw('idx', kind, 1, f'(SELECT max(hi) FROM {kind}_shares)')} AS pick FROM drawn) JOIN {kind}_shares ON pick >= lo AND pick < hi"
-    for kind in ("five_prime", "three_prime")
+    for kind in ("five_prime", "three_prime", "body")
 }
 
 
@@ -215,20 +221,20 @@ FINAL: dict[str, str] = {
     "interval_clip": """SELECT chr, greatest(start, 1000000) AS start, least("end", 3000000) AS "end", value, id FROM signal WHERE least("end", 3000000) > greatest(start, 1000000)""",
     "endpoint_explode": """SELECT chr, value, id, e.start AS start, e."end" AS "end" FROM (SELECT *, unnest([{'start': start, 'end': start + 1}, {'start': "end" - 1, 'end': "end"}]) AS e FROM signal WHERE "end" > start)""",
     "rebuild_intervals": """SELECT min(chrom) AS chrom, min(start) AS start, max("end") AS "end", min(sample) AS sample, id FROM scattered GROUP BY id HAVING count(*) = 2 AND count(DISTINCT chrom) = 1""",
-    "liftover_points": """SELECT p.id, t_chrom AS chrom, CASE t_strand WHEN '-' THEN t_start + w_end - 1 - start ELSE t_start + start - w_start END AS start, CASE t_strand WHEN '-' THEN t_start + w_end - 1 - start ELSE t_start + start - w_start END + 1 AS "end"
-      FROM signal_ends p JOIN blocks b ON b.chrom = p.chrom AND p.start >= w_start AND p.start < w_end""",
+    "liftover_points": "SELECT * FROM lifted_ends",
     "gene_flank_bounds": "SELECT input_ord, chr, prev_end, next_start, low, high FROM bounded",
     "tumbling_bins": """SELECT input_ord, bin, start + bin * 1000 AS left_start, "end" - (bin + 1) * 1000 AS right_start FROM (SELECT *, unnest(range(("end" - start) // 1000)) AS bin FROM stranded)""",
     "metaplot_slots": "SELECT * FROM slots",
-    "midpoint_range_join": _value("right_slots", False),
-    "uniform_overlap_join": f"SELECT * REPLACE (round(value, 6) AS value) FROM ({_value('right_slots', True)})",
+    "midpoint_range_join": _value("slots", False),
+    "uniform_overlap_join": f"SELECT * REPLACE (round(value, 6) AS value) FROM ({_value('slots', True)})",
     "metaplot_profile": _PROFILE.format(total=_P.total, sums="sums"),
     "metaplot_profile_uniform": _PROFILE.format(total=_P.total, sums="sums_uniform"),
     "metaplot_ticks": """SELECT slot::INTEGER AS slot, label FROM (VALUES (0, '-1 kb'), (2, '-0.75 kb'), (5, '-0.5 kb'), (7, '-0.25 kb'), (10, 'TSS'), (65, 'TTS'), (67, '+0.25 kb'), (70, '+0.5 kb'), (72, '+0.75 kb'), (74, '+1 kb')) t(slot, label)""",
     "normalize_chrom": "SELECT id, CASE WHEN lower(trim(name)) LIKE 'chr%' THEN 'chr' || substr(trim(name), 4) ELSE trim(name) END AS chrom FROM names",
     "normalize_chrom_sim": "SELECT id, CASE WHEN name LIKE 'Chr%' THEN 'chr' || substr(name, 4) WHEN regexp_full_match(name, '[0-9]+') THEN 'chr' || name ELSE name END AS chrom FROM names",
     "renamed_chroms": "SELECT DISTINCT trim(name) AS name, 'chr' || substr(trim(name), 4) AS chrom FROM names WHERE lower(trim(name)) LIKE 'chr%' AND trim(name) NOT LIKE 'chr%'",
-    "kb_labels": """SELECT DISTINCT p_size / 4 AS x, CASE p_size % 4 WHEN 0 THEN (p_size // 4)::VARCHAR WHEN 1 THEN (p_size // 4) || '.25' WHEN 2 THEN (p_size // 4) || '.5' ELSE (p_size // 4) || '.75' END || ' kb' AS label FROM part""",
+    "kb_labels": """SELECT DISTINCT x, CASE WHEN x = floor(x) THEN floor(x)::BIGINT::VARCHAR ELSE format('{:g}', x) END || ' kb' AS label FROM (
+      SELECT unnest([p_size / 4.0::DOUBLE, k * k * k / 7, k / 3, k / 70000, k * 1000]) AS x FROM (SELECT p_size, p_partkey::DOUBLE AS k FROM part))""",
     "chrom_lengths": "SELECT * FROM lengths",
     "interval_ids": """SELECT chromosome::VARCHAR AS chrom, left_coordinate AS start, right_coordinate AS "end", sample_id AS sample, format('EUROv2_{:06d}', row_number() OVER (ORDER BY map, sample_id, chromosome, event_bp)) AS id FROM co_events""",
     "cm_corrections": """SELECT chrom, bp, marker, cm FROM map_markers WHERE bp % 7000 >= 3000 UNION ALL SELECT a.chrom, a.bp, a.marker, z.cm FROM in_blocks a JOIN in_blocks z ON z.chrom = a.chrom AND z.block = a.block AND z.v = a.u""",
@@ -237,10 +243,30 @@ FINAL: dict[str, str] = {
     "annotated_intervals": 'SELECT chrom, start, "end", sample, marker, round(start_cM, 6) + 0.0::DOUBLE AS start_cM, round(end_cM, 6) + 0.0::DOUBLE AS end_cM, round(cM_per_Mb, 6) + 0.0::DOUBLE AS cM_per_Mb FROM annotated',
     "weighted_mean_rate": 'SELECT round(sum(end_cM - start_cM) / (sum("end" - start) / 1e6::DOUBLE), 6) AS cM_per_Mb FROM annotated',
     "length_distribution": "SELECT * FROM length_shares",
+    "read_bed_lengths": "SELECT * FROM length_shares",
+    "read_gff_genes": 'SELECT chr, start, "end", strand FROM stranded',
+    "read_gff_spans": """SELECT chr AS chrom, start, "end", strand FROM genes WHERE chr <> 'chr3'""",
+    "read_bed_signal": """SELECT chr, start, "end", CASE WHEN id % 5 < 2 THEN 1.0::DOUBLE ELSE value END AS value FROM signal WHERE id % 11 <> 0""",
+    "read_sequence_index": "SELECT * FROM lengths",
+    "read_event_table": "SELECT * FROM co_events",
+    "read_marker_table": "SELECT * FROM dedup",
+    "read_genetic_map": "SELECT replace(chrom, 'Brand#', 'chr') AS chrom, bp AS start, bp + 1 AS \"end\", cm, marker FROM map_markers",
+    "read_segment_tables": """SELECT chrom, start, "end", sample, format('RMv2_{:06d}', row_number() OVER (ORDER BY n, chrom, start, "end")) AS id FROM (
+      SELECT replace(chr, 'chr', '') AS chrom, start, "end", 's' || (id % 50) AS sample, id AS n FROM signal WHERE id % 7 <> 0)""",
+    "read_crossover_tables": """SELECT chrom, start, "end", sample, format('Pennyv2_{:06d}', row_number() OVER (ORDER BY n, chrom, start, "end")) AS id FROM (
+      SELECT chr AS chrom, start, "end", 'p' || (id % 40) AS sample, id AS n FROM signal WHERE id % 9 <> 0)""",
+    "read_chain_blocks": """SELECT chr AS chrom, start + k * 107 AS w_start, start + k * 107 + 100 + k * 50 AS w_end, 't' AS t_chrom,
+      CASE WHEN input_ord % 2 = 0 THEN start + k * 111 ELSE 800000000 - (start + k * 111) - (100 + k * 50) END AS t_start, CASE WHEN input_ord % 2 = 0 THEN '+' ELSE '-' END AS t_strand FROM genes, range(2) r(k)""",
+    "read_centromere_table": """SELECT 'L' AS line, chrom, length // 3 AS start, length // 3 + 1000 AS "end", length % 2 = 0 AS assembled FROM lengths""",
+    "written_matrices": """SELECT map, value, row_number() OVER (PARTITION BY map ORDER BY chromosome NULLS FIRST, coordinate, snp_name) - 1 AS line FROM (
+      SELECT map, concat_ws(chr(9), chromosome, coordinate, snp_name, array_to_string(string_split(genotypes, ''), chr(9))) AS value, chromosome, coordinate, snp_name FROM clean
+      UNION ALL SELECT map, concat_ws(chr(9), 'chromosome', 'coordinate', 'snp_name', array_to_string(list_transform(range(n), lambda j: map || format('_ind{:03d}', j + 1)), chr(9))), NULL, NULL, NULL FROM (SELECT map, max(length(genotypes)) AS n FROM clean GROUP BY map))""",
+    "lifted_intervals": """SELECT min(chrom) AS chrom, min(start) AS start, max("end") AS "end", id::VARCHAR AS sample, id FROM lifted_ends GROUP BY id HAVING count(*) = 2 AND count(DISTINCT chrom) = 1""",
     "sim_lengths": "SELECT * FROM drawn",
-    "sim_uniform": f"SELECT idx, chrom, (pick - lo)::BIGINT AS start, (pick - lo + length)::BIGINT AS \"end\" FROM (SELECT *, {_draw('idx', 'uniform', 1, 'total::BIGINT')} AS pick FROM room_shares WHERE total > 0) WHERE pick >= lo AND pick < hi",
-    "point_sample_lookup": "SELECT idx, chrom, point FROM five_prime_points",
-    "sim_enriched": f"""SELECT idx, chrom, start, least(start + len, size) AS "end" FROM (SELECT idx, p.chrom, p.length AS len, l.length AS size, greatest(least(greatest(point - {_draw('idx', 'three_prime', 2, 'p.length')}, 0), l.length - p.length), 0) AS start FROM three_prime_points p JOIN lengths l ON l.chrom = p.chrom)""",
+    "sim_uniform": "SELECT * FROM uniform_regions",
+    "point_sample_lookup": " UNION ALL ".join(f"SELECT idx, chrom, point, '{c}' AS class FROM {c}_points" for c in _CLASSES),
+    "sim_enriched": " UNION ALL ".join(f"SELECT *, '{c}' AS class FROM {c}_regions" for c in _CLASSES),
+    "sim_regions": " UNION ALL ".join(f"""SELECT '{c}' AS "set", chrom, start, "end", format('{c}_{{:06d}}', idx) AS ident FROM {c}_regions""" for c in ("uniform", *_CLASSES)),
 }
 
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import genmap, genotypes, hmm, intervals, liftover, marey, profile, sampling, switches
-from ..params import ProfileParams
+from ..params import ProfileParams, SimulationParams
+from ..sources.shared import stored
 from . import adapters as A
 
 PROFILE = ProfileParams(bin_size=100, flanking_bp=1000, body_bins=25)
 EVENT_GAP = 86_400_000
-N_REGIONS = 5_000
+SIMULATION = SimulationParams()
+N_REGIONS = SIMULATION.regions
 
 _found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -91,7 +93,9 @@ def _events(spark, d):
 
 @query
 def qc_summary(spark, d):
-    return genotypes.qc_summary(A.markers(spark, d), _events(spark, d))
+    markers = A.markers(spark, d)
+    rows, kept = (stored(t, "cleaning") for t in genotypes.staged(markers))
+    return genotypes.qc_summary(markers, rows, kept, hmm.call_events(genotypes.final(rows)))
 
 
 # ---- model and calls -------------------------------------------------------------------------------------------
@@ -119,7 +123,7 @@ def _paths(spark, d):
 
 @query
 def viterbi_path(spark, d):
-    return _paths(spark, d).select("map", "chromosome", "dense_idx", "path")
+    return hmm.path_strings(_paths(spark, d))
 
 
 @query
@@ -139,17 +143,17 @@ def collapse_close_pairs(spark, d):
 
 @query
 def switch_calls_raw(spark, d):
-    return switches.raw_calls(genotypes.deduplicate(A.markers(spark, d)))
+    return switches.raw_calls(A.markers(spark, d))
 
 
 @query
 def switch_runs(spark, d):
-    return switches.runs(genotypes.deduplicate(A.markers(spark, d)))
+    return switches.runs(A.markers(spark, d))
 
 
 @query
 def switch_calls_filtered(spark, d):
-    return switches.filtered_calls(genotypes.deduplicate(A.markers(spark, d)))
+    return switches.filtered_calls(A.markers(spark, d))
 
 
 @query
@@ -255,14 +259,13 @@ def metaplot_slots(spark, d):
 
 @query
 def midpoint_range_join(spark, d):
-    w = profile.slots(_bounded(spark, d), PROFILE).filter("part = 'right'")
-    return profile.window_sums(w, A.signal(spark, d))
+    return profile.window_sums(profile.slots(_bounded(spark, d), PROFILE), A.signal(spark, d), PROFILE.bin_size)
 
 
 @query
 def uniform_overlap_join(spark, d):
-    w = profile.slots(_bounded(spark, d), PROFILE).filter("part = 'right'")
-    return profile.window_sums(w, A.signal(spark, d), uniform=True).withColumn("value", F.round("value", 6))
+    w = profile.slots(_bounded(spark, d), PROFILE)
+    return profile.window_sums(w, A.signal(spark, d), PROFILE.bin_size, uniform=True).withColumn("value", F.round("value", 6))
 
 
 def _profile(spark, d, uniform):
@@ -307,7 +310,8 @@ def renamed_chroms(spark, d):
 
 @query
 def kb_labels(spark, d):
-    x = (F.col("p_size") / 4).alias("x")
+    k = F.col("p_partkey").cast("double")
+    x = F.explode(F.array(F.col("p_size") / 4, k * k * k / 7, k / 3, k / 70_000, k * 1000)).alias("x")
     return A.table(spark, d, "part").select(x).distinct().select("x", S.kb_label(F.col("x")).alias("label"))
 
 
@@ -391,14 +395,30 @@ def sim_uniform(spark, d):
 
 @query
 def point_sample_lookup(spark, d):
-    five = _partitions(spark, d).filter("class = 'five_prime'")
-    return sampling.points(_drawn(spark, d).select("idx"), five, "five_prime")
+    """A point of each class for each index."""
+    parts, drawn = stored(_partitions(spark, d), "partitions"), stored(_drawn(spark, d).select("idx"), "drawn")
+    return _classes(lambda kind: sampling.points(drawn, parts.filter(F.col("class") == kind), kind))
+
+
+def _classes(of):
+    rows = [of(kind).withColumn("class", F.lit(kind)) for kind in ("five_prime", "three_prime", "body")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query
 def sim_enriched(spark, d):
-    body = _partitions(spark, d).filter("class = 'three_prime'")
-    return sampling.enriched_regions(_drawn(spark, d), body, A.lengths(spark, d), "three_prime")
+    parts, drawn = stored(_partitions(spark, d), "partitions"), stored(_drawn(spark, d), "drawn")
+    return _classes(lambda kind: sampling.enriched_regions(drawn, parts.filter(F.col("class") == kind), A.lengths(spark, d), kind))
+
+
+@query
+def sim_regions(spark, d):
+    """The workflow's four sets."""
+    genes = A.genes(spark, d).withColumnRenamed("chr", "chrom")
+    return sampling.simulate(genes, A.lengths(spark, d), A.signal(spark, d), SIMULATION)
+
+
+from . import source_queries  # noqa: E402, F401  (they register themselves)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

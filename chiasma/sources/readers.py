@@ -6,15 +6,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import chrom_name, chrom_name_strict
+from ..operators.ordered import stretched, within
+from .shared import stored
+
+#: Rows to a stretch of running numbers.
+NUMBERED = 1 << 20
 
 # What counts as missing in tables read with a permissive text reader.
 MISSING = ["", "NA", "N/A", "NULL", "null", "NaN", "nan", "n/a", "None", "#N/A", "<NA>"]
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """line and input_ord: file name, then place in the file. The order is a running number within each file."""
-    rows = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    return rows.select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_id").alias("input_ord"))
+def in_file_order(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of a file scan and ``input_ord``, numbers that ascend by file name and place in the file.
+
+    Spark deals pieces of files to tasks in an order of its own, so a row's running id is taken from where its piece
+    begins; a table of one row a piece has how many rows are before it.
+    """
+    own = rows.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at")).withColumn("_id", F.monotonically_increasing_id())
+    per = own.groupBy("_file", "_at").agg(F.min("_id").alias("_first"), (F.max("_id") - F.min("_id") + 1).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_at")) - F.col("_n") - F.col("_first")
+    return own.join(per.select("_file", "_at", before.alias("_before")), ["_file", "_at"]).select(*columns, (F.col("_id") + F.col("_before")).alias("input_ord"))
+
+
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """line and input_ord, ascending by file name and place in the file."""
+    rows = in_file_order(spark.read.text(path), ["value"])
+    return rows.select(F.regexp_replace("value", "\r$", "").alias("line"), "input_ord")
 
 
 def _field(parts: Column, i: int) -> Column:
@@ -32,19 +49,18 @@ def _long(x: Column) -> Column:
 def read_markers(spark: SparkSession, path: str, fmt: str = "csv", **options: str) -> DataFrame:
     """map, input_ord, chromosome, coordinate, snp_name, genotypes; columns found by name, in any order.
 
-    ``fmt``: csv (header; tab by default), parquet, or xlsx (see ``xlsx``).
+    ``fmt``: csv (header; tab by default), parquet, or xlsx (see ``xlsx.read_sheet``).
     """
     if fmt == "parquet":
         rows = spark.read.parquet(path)
     elif fmt == "xlsx":
-        from .xlsx import register
+        from .xlsx import read_sheet
 
-        register(spark)
-        rows = spark.read.format("xlsx").options(**options).load(path)
+        rows = read_sheet(spark, path, **options)
     else:
         rows = spark.read.options(header=True, sep="\t", **options).csv(path)
     if "input_ord" not in rows.columns:
-        rows = rows.withColumn("input_ord", F.monotonically_increasing_id())
+        rows = in_file_order(rows, ["map", "SNP_name", "chr_phy", "coordinate", "raw_data"])
     return rows.select("map", "input_ord", F.col("chr_phy").cast("string").alias("chromosome"), F.col("coordinate").cast("string").alias("coordinate"), F.col("SNP_name").cast("string").alias("snp_name"), F.col("raw_data").cast("string").alias("genotypes"))
 
 
@@ -146,14 +162,11 @@ def read_map_markers(spark: SparkSession, path: str, columns: tuple[str, str, st
 
 
 def _numbered(rows: DataFrame, prefix: str) -> DataFrame:
-    """``id``: prefix and the running number in input order; files' totals are carried, so no single task sorts all."""
-    part = F.shiftright("input_ord", 33)
-    rows = rows.withColumn("_p", part)
-    per = rows.groupBy("_p").agg(F.count("*").alias("_n"))
-    per = per.select(F.col("_p").alias("_q"), (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    rows = rows.join(F.broadcast(per), F.col("_p") == F.col("_q"))
-    number = F.col("_before") + F.row_number().over(Window.partitionBy("_p").orderBy("input_ord"))
-    return rows.withColumn("id", F.format_string(prefix + "_%06d", number)).drop("_p", "_q", "_before", "input_ord")
+    """``id``: prefix and the running number in input order; totals are carried over stretches of it, so no single task
+    sorts all."""
+    rows = stretched(rows, [], F.col("input_ord"), {"_before": ("sum", F.lit(1))}, NUMBERED)
+    number = F.col("_before") + F.row_number().over(within([], "input_ord"))
+    return rows.withColumn("id", F.format_string(prefix + "_%06d", number)).drop("_before", "_stretch", "input_ord")
 
 
 def read_segment_tables(spark: SparkSession, paths: list[str], prefix: str = "RMv2") -> DataFrame:
@@ -174,6 +187,13 @@ def read_crossover_tables(spark: SparkSession, paths: list[str], prefix: str = "
 
 def event_intervals(events: DataFrame, prefix: str = "EUROv2") -> DataFrame:
     """The event table as intervals: chromosome, left and right coordinate, sample, running id in table order."""
-    w = Window.orderBy("map", "sample_id", "chromosome", "event_bp")
-    rows = events.select(F.col("chromosome").cast("string").alias("chrom"), F.col("left_coordinate").alias("start"), F.col("right_coordinate").alias("end"), F.col("sample_id").alias("sample"), F.row_number().over(w).alias("_n"))
-    return rows.withColumn("id", F.format_string(prefix + "_%06d", "_n")).drop("_n")
+    keys = ["map", "sample_id"]
+    events = stored(events.select(*keys, "chromosome", "event_bp", "left_coordinate", "right_coordinate"), "event-intervals")
+    # events of a sample in one window, and a table of one row a sample with how many are before it
+    per = events.groupBy(*keys).agg(F.count("*").alias("_n"))
+    along = Window.partitionBy("map").orderBy("sample_id")
+    maps = events.groupBy("map").agg(F.count("*").alias("_m")).select("map", (F.sum("_m").over(Window.orderBy("map")) - F.col("_m")).alias("_maps"))
+    per = per.join(maps, "map").select(*keys, (F.col("_maps") + F.sum("_n").over(along) - F.col("_n")).alias("_before"))
+    number = F.col("_before") + F.row_number().over(Window.partitionBy(*keys).orderBy("chromosome", "event_bp"))
+    rows = events.join(per, keys).withColumn("id", F.format_string(prefix + "_%06d", number))
+    return rows.select(F.col("chromosome").cast("string").alias("chrom"), F.col("left_coordinate").alias("start"), F.col("right_coordinate").alias("end"), F.col("sample_id").alias("sample"), "id")

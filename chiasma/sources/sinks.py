@@ -9,12 +9,16 @@ from ..functions.scalars import sample_id
 
 
 def write_clean_matrix(clean: DataFrame, folder: str) -> None:
-    """Final markers, one folder per map, genotypes split by tabs; maps without markers get none.
+    """Final markers, one folder per map with one file: a header, then the rows in order, genotypes split by tabs. Maps
+    without markers get none.
 
-    Maps differ in their number of samples, so a row is one text line; ``matrix_header`` has the column names.
+    Maps differ in their number of samples, so a row is one text line. A map's file is written by one task, which sorts
+    on disk where it has to.
     """
     line = F.concat_ws("\t", "chromosome", "coordinate", "snp_name", F.array_join(F.split("genotypes", ""), "\t"))
-    rows = clean.select("map", line.alias("value"), "chromosome", "coordinate", "snp_name").repartition("map", "chromosome").sortWithinPartitions("map", "chromosome", "coordinate", "snp_name")
+    rows = clean.select("map", line.alias("value"), "chromosome", "coordinate", "snp_name")
+    heads = matrix_header(clean).select("map", F.col("header").alias("value"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("chromosome", "coordinate", "snp_name")])
+    rows = rows.unionByName(heads).repartition("map").sortWithinPartitions("map", F.col("chromosome").asc_nulls_first(), "coordinate", "snp_name")
     rows.select("map", "value").write.mode("overwrite").partitionBy("map").text(folder)
 
 

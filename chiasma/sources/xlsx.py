@@ -1,14 +1,16 @@
-"""A Spark data source for one sheet of a workbook, read with the standard library alone."""
+"""One sheet of a workbook as a table, parsed with the standard library alone."""
 
 from __future__ import annotations
 
+import io
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 from xml.etree import ElementTree
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -25,7 +27,7 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def sheet_rows(path: str, sheet: str) -> Iterator[tuple[int, dict[int, str]]]:
+def sheet_rows(path: str | BinaryIO, sheet: str) -> Iterator[tuple[int, dict[int, str]]]:
     """(row number, value by column) of a sheet, streamed."""
     with zipfile.ZipFile(path) as z:
         strings = []
@@ -55,39 +57,28 @@ def sheet_rows(path: str, sheet: str) -> Iterator[tuple[int, dict[int, str]]]:
             e.clear()
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict, names: list[str]):
-        self.path, self.names = options["path"], names
-        self.sheet, self.header = options.get("sheet", "Table_S3"), int(options.get("headerRow", 3))
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        place: dict[str, int] = {}
-        for row, cells in sheet_rows(self.path, self.sheet):
-            if row == self.header:
-                place = {v: k for k, v in cells.items()}
-            elif row > self.header and place:
-                yield (row, *[cells.get(place[n]) if n in place else None for n in self.names])
-
-
-class XlsxSource(DataSource):
-    """Options: path, sheet (Table_S3), headerRow (3), columns (comma-joined). A workbook is one file, read by one task."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "xlsx"
-
-    def _names(self) -> list[str]:
-        return self.options.get("columns", "map,SNP_name,chr_phy,coordinate,raw_data").split(",")
-
-    def schema(self) -> str:
-        return "input_ord long, " + ", ".join(f"`{n}` string" for n in self._names())
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options), self._names())
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(XlsxSource)
+def read_sheet(spark: SparkSession, path: str, sheet: str = "Table_S3", header: int = 3, columns: tuple[str, ...] = ("map", "SNP_name", "chr_phy", "coordinate", "raw_data")) -> DataFrame:
+    """input_ord (the row number) and ``columns``, found by name in row ``header``, as text.
+
+    Spark reads the files, so the path may be of any store that it knows; a workbook is one file, parsed by one task.
+    """
+    names = [f"`{n}` string" for n in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), *[pa.string()] * len(columns)]
+        for batch in batches:
+            for content in batch.column(0):
+                place: dict[str, int] = {}
+                rows: list[tuple] = []
+                for row, cells in sheet_rows(io.BytesIO(content.as_py()), sheet):
+                    if row == header:
+                        place = {v: k for k, v in cells.items()}
+                    elif row > header and place:
+                        rows.append((row, *[cells.get(place[n]) if n in place else None for n in columns]))
+                    if len(rows) == 1000:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["input_ord", *columns])
+                        rows = []
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["input_ord", *columns])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(["input_ord long", *names]))

@@ -59,7 +59,7 @@ def test_viterbi_matches_loop(spark):
     coords = sorted(rng.sample(range(1, 90_000_000), 40))
     samples = [[("A" if (i // 9 + s) % 2 else "B") if rng.random() < 0.8 else rng.choice("AB-") for i in range(40)] for s in range(8)] + [["-"] * 40]
     rows = [("m", i, 1, c, f"S{i}", "".join(s[i] for s in samples)) for i, c in enumerate(coords)] + [("one", 0, 2, 5, "T", "B-" + "A" * 7)]
-    got = {(r["map"], r["dense_idx"]): r["path"] for r in hmm.viterbi(hmm.trellis(spark.createDataFrame(rows, SCHEMA))).collect()}
+    got = {(r["map"], r["dense_idx"]): r["path"] for r in hmm.path_strings(hmm.viterbi(hmm.trellis(spark.createDataFrame(rows, SCHEMA)))).collect()}
     for s, obs in enumerate(samples):
         assert got[("m", s)] == decode(obs, coords)
     assert got[("m", 8)] == "0" * 40 and got[("one", 0)] == "1" and got[("one", 1)] == "0"
@@ -86,7 +86,7 @@ def test_ragged_and_empty_maps(spark):
     clean = genotypes.clean(df, p)
     assert {r["map"] for r in clean.collect()} == {"m"}
     events = hmm.call_events(clean)
-    qc = {r["map"]: r for r in genotypes.qc_summary(df, events).collect()}
+    qc = {r["map"]: r for r in genotypes.qc_summary(df, *genotypes.staged(df, p), events).collect()}
     assert qc["bare"]["kept_samples"] == 0 and qc["bare"]["final_markers"] == 0 and qc["bare"]["hmm_events"] == 0
     for r in qc.values():
         assert r["input_markers"] == r["deduplicated_markers"] + r["removed_duplicate_markers"]

@@ -49,6 +49,21 @@ def test_interval_tables(spark, tmp_path):
     assert (r["chrom"], r["sample"], r["id"]) == ("1", "sam", "Pennyv2_000001")
 
 
+def test_ids_follow_files_and_lines(spark, tmp_path):
+    """Spark packs the largest pieces first; the ids follow the names of the files all the same."""
+    lines = {"a.txt": [f"1\tx\ts{i}\tq\t{i}\t{i + 1}" for i in range(3)], "b.txt": [f"2\tx\ts{i}\tq\t{i}\t{i + 1}" for i in range(3000)], "c.txt": [f"3\tx\ts{i}\tq\t{i}\t{i + 1}" for i in range(40)]}
+    paths = [put(tmp_path / name, "\n".join(own) + "\n") for name, own in lines.items()]
+    small = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "64"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        got = [(r["chrom"], r["start"]) for r in readers.read_segment_tables(spark, paths).orderBy("id").collect()]
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert got == [("1", i) for i in range(3)] + [("2", i) for i in range(3000)] + [("3", i) for i in range(40)]
+
+
 def test_events_round_trip(spark, tmp_path):
     row = [("m_ind001", "m", 1, 1, 15, 10, 20, "a", "b", "A", "B")]
     names = "sample_id string, map string, chromosome int, event_index int, event_bp long, left_coordinate long, right_coordinate long, left_snp string, right_snp string, left_state string, right_state string"
@@ -62,7 +77,7 @@ def test_events_round_trip(spark, tmp_path):
 def test_matrix_and_bed(spark, tmp_path):
     clean = spark.createDataFrame([("m", 1, 10, "s", "AB-")], "map string, chromosome int, coordinate long, snp_name string, genotypes string")
     sinks.write_clean_matrix(clean, str(tmp_path / "mx"))
-    assert [r["value"] for r in spark.read.text(str(tmp_path / "mx")).collect()] == ["1\t10\ts\tA\tB\t-"]
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "mx")).collect()] == ["chromosome\tcoordinate\tsnp_name\tm_ind001\tm_ind002\tm_ind003", "1\t10\ts\tA\tB\t-"]
     assert sinks.matrix_header(clean).first()["header"].endswith("m_ind001\tm_ind002\tm_ind003")
     sinks.write_bed(spark.createDataFrame([("c", 5, 6, "i")], "chrom string, start long, end long, ident string"), str(tmp_path / "b"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "b")).collect()] == ["c\t5\t6\ti"]

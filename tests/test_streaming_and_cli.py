@@ -26,7 +26,7 @@ def test_command_line(spark, tmp_path):
     main(args)
     rows = spark.read.csv(str(tmp_path / "out"), header=True).collect()
     assert len(rows) == 2 * 5 + 2 * 3 + 5 and sum(float(r["mean"] or 0) for r in rows) == 3
-    assert parser().parse_args(["marey"]).input.endswith("filtered.tsv")
+    assert parser().parse_args(["marey"]).input == parser().parse_args(["switches", "--input", "x"]).output + "/co_events_long"  # what switches writes
 
 
 def test_entry_module(spark):
