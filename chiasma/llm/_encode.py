@@ -1,9 +1,9 @@
 """Exact, memoised encoding with the ``tokenizers`` library.
 
-Both vocabularies used here split a text into pre-tokens that are encoded independently of each other, so
-a pre-token met before need not be encoded again: the library encodes each distinct pre-token once and the
-document's ids are the concatenation. The split below is used only for texts made of ASCII and Latin
-letters, for which it is the tokenizer's own; every other text goes through the library as a whole.
+Both vocabularies used here split a text into pre-tokens that are encoded independently of each other, so a
+pre-token met before need not be encoded again: the library's model is asked for each new one and the document's ids
+are the concatenation. The split below is used only for texts made of ASCII and Latin letters, for which it is the
+tokenizer's own; every other text goes through the library as a whole.
 """
 
 from __future__ import annotations
@@ -17,15 +17,42 @@ import numpy as np
 # Letters and characters for which the split below equals the tokenizers' own.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įıĲ-ňŊ-ž"
 _SAFE = re.compile(rf"[ -~\t\n\r×÷{_LETTERS}]*")
-_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-_BYTE_LEVEL = re.compile(rf"{_CONTRACTIONS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
-_WORD_LEVEL = re.compile(rf"{_CONTRACTIONS}|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
+_CONTRACTIONS = "'(?:s|t|re|ve|m|ll|d)"
+# letters come first, as most pre-tokens are words and no other alternative begins with a letter
+_BYTE_LEVEL = re.compile(rf" ?[{_LETTERS}]+|{_CONTRACTIONS}| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+_WORD_LEVEL = re.compile(rf"[{_LETTERS}]+|{_CONTRACTIONS}|[0-9]|[^\s0-9{_LETTERS}]+")
 
-#: Memo entries kept per Python worker, and the longest pre-token that stays in it.
-MEMO_ENTRIES = 400_000
+#: Entries of the memo's generations per Python worker, and the longest entry that outlives its batch.
+MEMO_ENTRIES = 60_000
 MEMO_CHARS = 64
-#: Characters handled at once.
-BATCH_CHARS = 2_000_000
+#: Characters and texts handled at once.
+BATCH_CHARS = 1_000_000
+BATCH_TEXTS = 2_000
+
+
+def _byte_letters() -> np.ndarray:
+    """Of each byte the code point that stands for it in a byte-level vocabulary: itself if it shows, else 256 upwards."""
+    shows = np.zeros(256, bool)
+    for a, b in ((33, 126), (161, 172), (174, 255)):
+        shows[a : b + 1] = True
+    return np.where(shows, np.arange(256), 255 + np.cumsum(~shows)).astype("<u2")
+
+
+class Memo(dict):
+    """Of two generations: an entry that is not asked for during a whole one is forgotten."""
+
+    def __init__(self, limit: int = MEMO_ENTRIES):
+        super().__init__()
+        self.limit, self._before = limit, {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted``, none of which is in the younger generation, that are in neither; the others move to it."""
+        if len(self) > self.limit:
+            self._before = dict(self)
+            self.clear()
+        known = wanted.intersection(self._before)
+        self.update((k, self._before[k]) for k in known)
+        return list(wanted.difference(known))
 
 
 class Encoder:
@@ -41,36 +68,48 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec["pre_tokenizer"]
+        self._split, self._lower = None, False
         if pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and not spec["normalizer"]:
-            self._split, self._lower = _BYTE_LEVEL, False
+            self._split = _BYTE_LEVEL
         elif pre["type"] == "Sequence" and spec["model"].get("end_of_word_suffix"):
             self._split, self._lower = _WORD_LEVEL, True
-        else:
-            self._split, self._lower = None, False
         self._special = [t["content"] for t in spec.get("added_tokens", [])]
-        self._memo: dict[str, bytes] = {}
+        self._model, self._letters = self._tokenizer.model, _byte_letters()
+        self._letters[0] = 0  # between pre-tokens, none of which holds it
+        self._as_bytes = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
+        self._memo = Memo()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in found]
 
+    def _pre_tokens(self, new: list[str]) -> Iterator[bytes]:
+        """Ids of each pre-token from the library's model, which takes them in the letters of a byte-level vocabulary."""
+        if new:
+            letters = self._letters[np.frombuffer("\0".join(new).encode(), np.uint8)].tobytes().decode("utf-16-le").split("\0")
+            of, ids = self._model.tokenize, self._as_bytes
+            for x in letters:
+                yield b"".join([ids[t.id] for t in of(x)])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        split, odd, words = self._split, [], {}
+        odd, words, new, memo = [], {}, set(), self._memo
         for i, text in enumerate(texts):
-            if split is None or not _SAFE.fullmatch(text) or any(s in text for s in self._special):
+            if self._split is None or not _SAFE.fullmatch(text) or any(s in text for s in self._special):
                 odd.append(i)
+                continue
+            own = self._split.findall(text.lower() if self._lower else text)
+            found = list(map(memo.get, own))
+            if None in found:
+                words[i] = own, found
+                new.update([w for w, ids in zip(own, found, strict=True) if ids is None])
             else:
-                words[i] = split.findall(text.lower() if self._lower else text)
-        memo = self._memo
-        missing = list(set().union(*words.values()).difference(memo))
-        if len(memo) + len(missing) > MEMO_ENTRIES and memo:
-            memo.clear()
-            missing = list(set().union(*words.values()))
-        memo.update(zip(missing, self._whole(missing), strict=True))
-        for i, own in words.items():
-            out[i] = b"".join(map(memo.__getitem__, own))
-        for word in missing:
+                out[i] = b"".join(found)
+        fresh = memo.missing(new)
+        memo.update(zip(fresh, self._pre_tokens(fresh), strict=True))
+        for i, (own, found) in words.items():
+            out[i] = b"".join([memo[w] if ids is None else ids for w, ids in zip(own, found, strict=True)])
+        for word in fresh:
             if len(word) > MEMO_CHARS:
                 del memo[word]
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
@@ -88,12 +127,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def in_batches(texts: Iterable[str | None], limit: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(position of the first, texts) of runs of at most ``limit`` characters; a longer text stands alone."""
+def in_batches(texts: Iterable[str | None], limit: int = BATCH_CHARS, most: int = BATCH_TEXTS) -> Iterator[tuple[int, list[str]]]:
+    """(position of the first, texts) of runs of at most ``most`` texts and ``limit`` characters; a longer text stands alone."""
     start, run, n = 0, [], 0
     for i, text in enumerate(texts):
         text = text if isinstance(text, str) else ""
-        if run and n + len(text) > limit:
+        if run and (n + len(text) > limit or len(run) >= most):
             yield start, run
             start, run, n = i, [], 0
         run.append(text)
