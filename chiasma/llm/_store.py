@@ -1,52 +1,23 @@
-"""The folder that the driver and all executors share, and tables written there to cut lineage."""
+"""The shared folder, and what the session's settings say about partitions and batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.shared import drop_folder, fresh_folder, stored
 
-_own: dict[str, str] = {}
+__all__ = ["drop_folder", "fresh_folder", "shuffle_partitions", "small_batches", "stored"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        app = spark.sparkContext.applicationId
-        named = _own.setdefault(app, "")
-        if not named:
-            named = _own[app] = "file://" + tempfile.mkdtemp(prefix="chiasma-shared-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, deleted when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/chiasma-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(where)
-    fs.deleteOnExit(where)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: a lost executor recomputes one read."""
-    spark = df.sparkSession
-    path = f"{fresh_folder(spark, name)}/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder that no lazy plan reads any more."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+#: Rows of text that go to a Python worker at once.
+ARROW_ROWS = 1000
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds: the session sends ``ARROW_ROWS`` rows at once, if it would send more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
