@@ -1,23 +1,27 @@
 """Personal data: exact patterns, and a character-level bidirectional LSTM with CRF transitions.
 
-Patterns give the base spans (see ``base_spans``). The network, trained in numpy from labelled spans, tags every
-character as outside, or as first or inner character of one of the four kinds, and a CRF decodes each window of
-``WINDOW`` characters. Windows overlap by half; of a character that several windows cover the window in whose
-middle it lies gives the tag, and spans are then read off the whole text's tags, so a span may cross windows. Model
-spans that touch no base span and can be of their kind are added.
-
-A span of the model has to hold a digit or ``@`` and is at most ``REACH`` characters long (see ``plausible``). So
-characters farther than that from any digit and any ``@`` have one admissible tag, outside: windows made of such
-characters alone are known without running the network, and the result is the same as if they were run.
-
-One scan and one pass, nothing is shuffled; the weights (a few kB) go along with the task. Training is seeded and
-independent of the table, so equal texts get equal spans in every table. Defined results: null text counts as
-empty and has no spans; a null ``doc_id`` is carried; repeated rows are answered each; an empty table gives no
-rows; other columns are ignored by ``find`` and kept by ``redact``.
+Patterns give the base spans (see ``base_spans``). The network, trained in numpy from labelled spans, scores every
+character as outside, or as first or inner character of one of the kinds, which are the base kinds and secrets (keys,
+tokens, passwords). It runs on windows of ``WINDOW`` characters that overlap by half; of a character that several
+windows cover the scores are averaged, those nearer to a window's middle counting more, and one Viterbi run with the
+CRF's transitions over the whole text gives all its tags, so no seam is decoded twice. Model spans that touch no base
+span and meet their kind's own terms (``valid``: those of the patterns, a card's checksum say, whatever the form) are
+added.
+
+A span holds a digit or ``@``. Characters farther than ``REACH`` from any are outside, so windows without such a
+character near are not run. The weights come with the package; ``python -m chiasma.llm.pii`` makes them anew from
+generated windows and from a bounded sample of real windows labelled by the patterns, seeded.
+
+One scan and one pass, nothing is shuffled; the weights (0.1 MB) go along with the task. Equal texts get equal spans in
+every table. Defined results: null text counts as empty and has no spans; a very long text is handled alone, in memory
+in proportion to it; a null ``doc_id`` is carried; repeated rows are answered each; an empty table gives no rows; other
+columns are ignored by ``find`` and kept by ``redact``.
 """
 
 from __future__ import annotations
 
+import io
+import pkgutil
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,13 +34,20 @@ from pyspark.sql import functions as F
 
 from ._chars import code_points
 from ._encode import in_batches
+from ._store import small_batches
 
+#: The base kinds, and the one that only the network finds.
 KINDS = ("email", "ip", "card", "phone")
+SECRET = 4
+NAMES = (*KINDS, "secret")
 WINDOW, STRIDE, REACH = 96, 48, 64
-HIDDEN = 16
-TAGS = 1 + 2 * len(KINDS)
-#: Windows run at once.
-ROWS = 2048
+HIDDEN = 24
+TAGS = 1 + 2 * len(NAMES)
+#: Windows run at once, and characters and texts handled at once.
+ROWS, _CHARS, _TEXTS, _CELLS = 1024, 500_000, 500, 1_000_000
+#: Real windows that training takes at most.
+REAL = 1200
+WEIGHTS = "pii_weights.npz"
 
 # ---- base patterns ---------------------------------------------------------------------------------------------
 
@@ -134,19 +145,46 @@ class Model:
         h = np.concatenate([self.states(x, 0), self.states(x, 1)], axis=2)
         return h @ self.out + self.bias
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best tags, rows x time."""
-        e = self.scores(x)
-        t, n, k = e.shape
-        best, back = e[0], np.empty((t, n, k), np.int8)
-        for s in range(1, t):
-            paths = best[:, :, None] + self.trans[None]
-            back[s] = paths.argmax(axis=1)
-            best = np.take_along_axis(paths, back[s][:, None, :].astype(np.int64), axis=1)[:, 0] + e[s]
-        tags = np.empty((n, t), np.int8)
-        tags[:, -1] = best.argmax(axis=1)
-        for s in range(t - 1, 0, -1):
-            tags[:, s - 1] = back[s][np.arange(n), tags[:, s]]
+    def averaged(self, x: list[np.ndarray], starts: np.ndarray, n: int) -> np.ndarray:
+        """Scores of n characters from windows (rows) that begin at ``starts``, weighted towards their middles."""
+        total, weight = np.zeros((n + WINDOW, TAGS), np.float32), np.zeros((n + WINDOW, 1), np.float32)
+        near = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
+        for at in range(0, len(x), ROWS):
+            e = self.scores(np.array(x[at : at + ROWS]))
+            for k, start in enumerate(starts[at : at + ROWS].tolist()):
+                total[start : start + WINDOW] += e[:, k] * near
+                weight[start : start + WINDOW] += near
+        return total[:n] / np.maximum(weight[:n], 1e-9)
+
+    def decode(self, e: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Best tags of the characters of all runs [start, end); what lies between runs is outside.
+
+        Runs are decoded together, longest first, so that a step takes all that are still going.
+        """
+        tags = np.zeros(len(e), np.int8)
+        order, at = np.argsort(starts - ends, kind="stable"), 0
+        while at < len(order):
+            longest = int((ends - starts)[order[at]])
+            own = order[at : at + max(1, min(ROWS, _CELLS // longest))]
+            at += len(own)
+            a, size = starts[own], (ends - starts)[own]
+            best = e[a] + self.trans[0]  # a run follows an outside character
+            back = np.zeros((size[0], len(own), TAGS), np.int8)
+            left = np.zeros((len(own), TAGS), np.float32)
+            for t in range(1, size[0] + 1):
+                going = int(np.searchsorted(-size, -t, side="left"))  # runs longer than t
+                left[going : len(best)] = best[going:]
+                if t == size[0]:
+                    break
+                paths = best[:going, :, None] + self.trans[None]
+                back[t, :going] = paths.argmax(axis=1)
+                best = paths.max(axis=1) + e[a[:going] + t]
+            now = (left + self.trans[:, 0]).argmax(axis=1).astype(np.int8)
+            for t in range(size[0] - 1, -1, -1):
+                going = int(np.searchsorted(-size, -t, side="left"))
+                tags[a[:going] + t] = now[:going]
+                if t:
+                    now[:going] = back[t, np.arange(going), now[:going]]
         return tags
 
 
@@ -159,7 +197,7 @@ def _allowed() -> np.ndarray:
     return ok
 
 
-def train(examples: list[tuple[str, list[tuple[int, int, int]]]], steps: int = 160, batch: int = 64, seed: int = 3, rate: float = 0.02) -> Model:
+def train(examples: list[tuple[str, list[tuple[int, int, int]]]], steps: int = 1200, batch: int = 96, seed: int = 3, rate: float = 0.015) -> Model:
     """From texts with labelled spans (kind, start, end): CRF likelihood, backpropagation through time, Adam."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
@@ -238,111 +276,167 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
 
 
-def labelled_examples(n: int = 1500, seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Generated windows: words with inserted personal data, labelled, and look-alikes, not labelled."""
+def labelled_examples(n: int = 6000, seed: int = 11) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Generated windows: words with inserted personal data in many forms, labelled, and look-alikes, not labelled."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    chars = lambda xs, a, b: "".join(pick(xs) for _ in range(int(rng.integers(a, b))))
     syllables = "an be co der en fi gar ha in ja ker le mo nu or pa qu re st tion un vi wo xe yon zu é ön ção ñe".split()
     word = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(1, 5))))
-    plain = lambda: "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(int(rng.integers(2, 9))))
+    plain = lambda: chars("abcdefghijklmnopqrstuvwxyz", 2, 9)
+    hexes, mixed_ = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    space = lambda: pick(["", "", " "])
 
     def card() -> str:
         body = digits(int(pick([15, 15, 15, 18])))
         body += next(str(c) for c in range(10) if luhn(body + str(c)))
-        gap = pick(["", "", " ", "-"])
+        gap = pick(["", "", " ", "-", ".", "/"])
         return gap.join(body[i : i + 4] for i in range(0, len(body), 4)) if gap else body
 
-    email = lambda: f"{plain()}{pick(['.', '_', '', '-'])}{pick([plain(), digits(2)])}@{plain()}{pick(['', digits(1)])}.{pick(['com', 'org', 'example.com', 'net', 'de'])}"
-    ip = lambda: ".".join(str(int(x)) for x in rng.integers(0, 256, 4))
-    phone = lambda: pick([f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(7)}", f"+{digits(2)}{digits(9)}", f"({digits(3)}) {digits(3)}-{digits(4)}"])
+    def email() -> str:
+        name = f"{plain()}{pick(['.', '_', '', '-'])}{pick([plain(), digits(2)])}"
+        host = f"{plain()}{pick(['', digits(1)])}{pick(['', '', '.' + plain()])}"
+        at, dot = pick([("@", "."), ("@", "."), ("@", "."), (" @ ", "."), ("(@)", "."), ("[@]", "[.]"), (" @ ", " . ")])
+        return (name + at + host + "." + pick(["com", "org", "net", "de", "example.com"])).replace(".", dot)
+
+    def ip() -> str:
+        return pick([".", ".", ".", ".", " . ", "[.]", ". "]).join(str(int(x)) for x in rng.integers(0, 256, 4))
+
+    def phone() -> str:
+        return pick([
+            f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(7)}", f"+{digits(2)}{digits(9)}", f"({digits(3)}) {digits(3)}-{digits(4)}",
+            f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(2)} {digits(7)}", f"0{digits(3)}/{digits(7)}", f"00{digits(2)} {digits(3)} {digits(3)} {digits(3)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"+{digits(2)} {digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}",
+        ])
+
+    def secret() -> tuple[str, str, str]:
+        value = pick([chars(hexes, 32, 49), chars(mixed_, 20, 44) + digits(1), "AKIA" + chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 15, 16) + digits(1), "ghp_" + chars(mixed_, 35, 36) + digits(1), "sk-" + chars(mixed_, 24, 48) + digits(1), plain() + digits(3) + pick("!?#")])
+        name = pick(["token", "api_key", "apikey", "secret", "password", "passwd", "key", "access_token", "auth"])
+        name = name.upper() if rng.random() < 0.2 else name
+        quote = pick(['"', '"', "'", ""])
+        return f"{name}{space()}{pick(['=', '=', ':'])}{space()}{quote}", value.upper() if rng.random() < 0.1 else value, quote
+
     makers = (email, ip, card, phone)
-    # an id, a hash, a version, a year, a price, a date, a failing card, a handle
-    others = (lambda: "".join(pick("0123456789abcdef") for _ in range(32)), lambda: f"{digits(1)}.{digits(1)}", lambda: digits(4), lambda: digits(3) + "." + digits(2), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: digits(int(rng.integers(5, 24))), lambda: "@" + plain(), lambda: plain() + "@", lambda: f"v{digits(1)}.{digits(2)}.{digits(1)}", lambda: f'"{digits(8)}"')
+    # numbers, dates, versions, hashes without a name, handles, times, prices, formulas
+    others = (
+        lambda: chars(hexes, 32, 65), lambda: f"{digits(1)}.{digits(1)}", lambda: digits(4), lambda: digits(3) + "." + digits(2), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: digits(int(rng.integers(1, 13))), lambda: digits(int(rng.integers(20, 40))), lambda: "@" + plain(), lambda: plain() + "@",
+        lambda: f"v{digits(1)}.{digits(2)}.{digits(1)}", lambda: f'"{digits(8)}"', lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{digits(1)},{digits(3)},{digits(3)}", lambda: f"{digits(2)}/{digits(2)}/{digits(4)}", lambda: f"+{digits(2)} %", lambda: f"{plain()} = {digits(4)}", lambda: f'{plain()} = "{plain()}{digits(2)}"', lambda: f"({digits(4)})", lambda: f"{digits(3)}-{digits(2)}", lambda: f"{digits(1)}.{digits(1)}.{digits(1)}",
+    )
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
     out = []
     while len(out) < n:
         text, spans = "", []
-        cut = int(rng.integers(0, 6))
-        while len(text) < WINDOW + 8:
+        cut = int(rng.integers(0, 40))
+        noise, loud = pick(["", "", "", pick(marks) * int(rng.integers(1, 4))]), rng.random() < 0.06
+        while len(text) < WINDOW + 48:
             r = rng.random()
-            if r < 0.17:
-                kind = int(rng.integers(4))
-                made = makers[kind]()
-                spans.append((kind, len(text), len(text) + len(made)))
-            elif r < 0.32:
+            if r < 0.14:
+                kind = int(rng.integers(5))
+                lead, made, tail = secret() if kind == SECRET else ("", makers[kind](), "")
+                spans.append((kind, len(text) + len(lead), len(text) + len(lead) + len(made)))
+                made = lead + made + tail
+            elif r < 0.3:
                 made = pick(others)()
-                if made.isdigit() and 16 <= len(made) <= 19 and luhn(made):
-                    spans.append((2, len(text), len(text) + len(made)))
             else:
-                made = word() + pick(["", "", "", ".", ",", "###", "&&&", "!!"])
-                made = made.capitalize() if rng.random() < 0.2 else made.upper() if rng.random() < 0.05 else made
-            text += made + pick([" ", " ", " ", "\n"])
+                made = word() + pick(["", "", "", ".", ","])
+                made = made.capitalize() if rng.random() < 0.2 else made
+            made = made.upper() if loud else made
+            text += made + (noise if rng.random() < 0.7 else "") + pick([" ", " ", " ", "\n"])
         text, end = text[cut:], cut + WINDOW
         out.append((text[:WINDOW], [(k, max(0, a - cut), min(b, end) - cut) for k, a, b in spans if a < end and b > cut]))
     return out
 
 
+#: What labels secrets in real windows: a long value after a name that says so.
+_NAMED = re.compile(r"(?i)(?:token|key|secret|passw\w*)\s*[=:]\s*[\"']?([a-z0-9_+/-]{16,})")
+
+
+def real_examples(texts: list[str], most: int = REAL, seed: int = 5) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """At most ``most`` windows of real texts, each about a span of the patterns and labelled by them, and by ``_NAMED``."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for text in texts:
+        spans = base_spans(text) + [(SECRET, *m.span(1)) for m in _NAMED.finditer(text)]
+        for _, a, b in spans:
+            start = max(0, a - int(rng.integers(0, max(1, WINDOW - (b - a)))))
+            inside = [(k, max(x, start) - start, min(y, start + WINDOW) - start) for k, x, y in spans if x < start + WINDOW and y > start]
+            out.append((text[start : start + WINDOW], inside))
+    return [out[i] for i in rng.permutation(len(out))[:most].tolist()]
+
+
+def saved(model: Model) -> bytes:
+    out = io.BytesIO()
+    np.savez_compressed(out, **{f"table{d}": model.table[d].astype(np.float16) for d in (0, 1)}, **{f"recur{d}": model.recur[d].astype(np.float16) for d in (0, 1)}, out=model.out, bias=model.bias, trans=model.trans)
+    return out.getvalue()
+
+
+def loaded(content: bytes) -> Model:
+    w = {k: v.astype(np.float32) for k, v in np.load(io.BytesIO(content)).items()}
+    return Model([w["table0"], w["table1"]], [w["recur0"], w["recur1"]], w["out"], w["bias"], w["trans"])
+
+
 @cache
 def default_model() -> Model:
-    return train(labelled_examples())
+    """The weights that come with the package."""
+    return loaded(pkgutil.get_data(__package__, WEIGHTS))
 
 
 # ---- spans of a whole text -------------------------------------------------------------------------------------
 
 
-def plausible(kind: int, own: str) -> bool:
-    """What a model span has to look like, whatever its scores."""
-    n = len(_DIGIT.findall(own))
-    if len(own) > REACH:
-        return False
+def valid(kind: int, own: str) -> bool:
+    """Whether a model span meets the terms of its kind, in whatever form it is written."""
+    numbers = re.findall("[0-9]+", own)
+    n = sum(map(len, numbers))
     if kind == 0:
-        at = own.find("@")
-        return 0 < at and "." in own[at + 2 : -1] and not re.search(r"\s", own)
+        return "@" in own[1:-1] and "." in own[own.find("@") :]
     if kind == 1:
-        parts = own.split(".")
-        return len(parts) == 4 and all(p.isascii() and p.isdigit() and int(p) <= 255 for p in parts)
-    strange = re.search(r"[^0-9 ().+-]", own)
+        return len(numbers) == 4 and all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in numbers)
     if kind == 2:
-        digits = "".join(_DIGIT.findall(own))
-        return not strange and 13 <= n <= 19 and luhn(digits)
-    return not strange and 8 <= n <= 15 and own[0] in "+("
+        return 16 <= n <= 19 and luhn("".join(numbers))
+    return 8 <= n <= 15 if kind == 3 else n > 0
 
 
-def model_spans(texts: list[str], model: Model) -> list[list[tuple[int, int, int]]]:
-    """Spans read off the tags of whole texts."""
-    rows, place = [], []
-    tags: dict[int, np.ndarray] = {}
+def model_spans(texts: list[str], model: Model, every: bool = False, checked: bool = True) -> list[list[tuple[int, int, int]]]:
+    """Spans read off the tags of whole texts. ``every``: run all windows; not ``checked``: without ``valid``."""
+    windows, begins = [], []
+    runs: list[tuple[int, int, int, int]] = []  # text, its first character, where its scores begin and end
+    end = 0
     for i, text in enumerate(texts):
-        near = np.fromiter((m.start() for m in _TRIGGER.finditer(text)), np.int64)
+        near = np.arange(len(text)) if every else np.fromiter((m.start() for m in _TRIGGER.finditer(text)), np.int64)
         if not len(near):
             continue
-        x = classes(text)
-        n = len(x)
-        tags[i] = np.zeros(n, np.int8)
-        # windows whose middle holds a character within REACH of a digit or @
+        own = classes(text)
+        n = len(own)
+        # windows from each multiple of STRIDE that come within REACH of a digit or @
         last = max(0, -(-(n - WINDOW) // STRIDE))
-        lo = np.clip((near - REACH - STRIDE // 2) // STRIDE - 1, 0, last)
-        hi = np.clip((near + REACH) // STRIDE + 1, 0, last)
+        lo = np.clip((near - REACH - WINDOW) // STRIDE + 1, 0, last)
+        hi = np.clip((near + REACH) // STRIDE, 0, last)
         mark = np.zeros(last + 2, np.int64)
         np.add.at(mark, lo, 1)
         np.add.at(mark, hi + 1, -1)
-        for k in np.flatnonzero(np.cumsum(mark)[: last + 1]).tolist():
-            own = np.full(WINDOW, _PAD, np.uint8)
-            part = x[k * STRIDE : k * STRIDE + WINDOW]
-            own[: len(part)] = part
-            rows.append(own)
-            place.append((i, k * STRIDE, 0 if k == 0 else STRIDE // 2, len(part) if k == last else WINDOW - STRIDE // 2))
-    for at in range(0, len(rows), ROWS):
-        found = model.decode(np.array(rows[at : at + ROWS]))
-        for (i, start, a, b), own in zip(place[at : at + ROWS], found, strict=True):
-            tags[i][start + a : start + b] = own[a:b]
+        picked = np.flatnonzero(np.cumsum(mark)[: last + 1])
+        own = np.concatenate([own, np.full(WINDOW + STRIDE, _PAD, np.uint8)])
+        for part in np.split(picked, np.flatnonzero(np.diff(picked) > 2) + 1):
+            first = int(part[0]) * STRIDE
+            windows += [own[k * STRIDE : k * STRIDE + WINDOW] for k in part.tolist()]
+            begins += (end + part * STRIDE - first).tolist()
+            size = min(n, int(part[-1]) * STRIDE + WINDOW) - first
+            runs.append((i, first, end, end + size))
+            end += size + WINDOW  # a gap, so that no window reaches into the next run
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for i, own in tags.items():
-        kind = (own + 1) // 2
-        edge = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (own[1:] % 2 == 1)]))
-        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(own)], strict=True):
-            if kind[a] and plausible(int(kind[a]) - 1, texts[i][a:b]):
-                out[i].append((int(kind[a]) - 1, a, b))
+    if not windows:
+        return out
+    a, b = np.array([r[2:] for r in runs], np.int64).T
+    tags = model.decode(model.averaged(windows, np.array(begins), end), a, b)
+    kind = (tags + 1) // 2
+    edge = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (tags[1:] % 2 == 1), [True]]))
+    for p in np.flatnonzero(kind[edge[:-1]]).tolist():
+        start, stop = int(edge[p]), int(edge[p + 1])
+        i, first, begin, _ = runs[int(np.searchsorted(a, start, side="right")) - 1]
+        span = (int(kind[start]) - 1, first + start - begin, first + stop - begin)
+        if not checked or valid(span[0], texts[i][span[1] : span[2]]):
+            out[i].append(span)
     return out
 
 
@@ -357,12 +451,13 @@ def all_spans(texts: list[str], model: Model) -> list[tuple[list[tuple[int, int,
 
 
 def shown(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+    return ",".join(f"{NAMES[k]}:{a}:{b}" for k, a, b in spans)
 
 
 def _mapped(docs: DataFrame, answer, extra: str, model: Model | None, keep: list[str]) -> DataFrame:
     """One pass over the documents: the columns ``keep``, then those that ``answer(text, base, every)`` gives."""
     model = model or default_model()
+    small_batches(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     at = docs.columns.index("text")
     places = [docs.columns.index(c) for c in keep]
@@ -374,7 +469,7 @@ def _mapped(docs: DataFrame, answer, extra: str, model: Model | None, keep: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in in_batches(batch.column(at).to_pylist()):
+            for first, texts in in_batches(batch.column(at).to_pylist(), _CHARS, _TEXTS):
                 rows = [answer(t, *s) for t, s in zip(texts, all_spans(texts, share.value), strict=True)]
                 own = batch.slice(first, len(texts))
                 new = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -384,13 +479,15 @@ def _mapped(docs: DataFrame, answer, extra: str, model: Model | None, keep: list
 
 
 def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (of all spans), base and spans as text, kind:start:end by kind and start."""
+    """doc_id, n_email, n_ip, n_card, n_phone, n_secret (of all spans), base and spans (of the base kinds) and secrets as
+    text, kind:start:end by kind and start."""
 
     def answer(text, base, every):
-        return (*[sum(k == i for k, _, _ in every) for i in range(len(KINDS))], shown(base), shown(every))
+        own = [s for s in every if s[0] < SECRET]
+        return (*[sum(k == i for k, _, _ in every) for i in range(len(NAMES))], shown(base), shown(own), shown(every[len(own) :]))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    extra = ", ".join([f"n_{k} long" for k in KINDS] + ["base string", "spans string"])
+    extra = ", ".join([f"n_{k} long" for k in NAMES] + ["base string", "spans string", "secrets string"])
     return _mapped(own, answer, extra, model, ["doc_id"])
 
 
@@ -399,7 +496,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     out, free = [], 0
     for k, a, b in sorted(spans, key=lambda s: (s[1], s[2])):
         if a >= free:
-            out += [text[free:a], f"<{KINDS[k].upper()}>"]
+            out += [text[free:a], f"<{NAMES[k].upper()}>"]
         free = max(free, b)
     return "".join(out) + text[free:]
 
@@ -415,4 +512,34 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+    every = sum((F.col(f"n_{k}") for k in NAMES[1:]), F.col("n_email"))
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "n_secret", every.alias("n_found"), "secrets")
+
+
+def main(argv: list[str]) -> None:
+    """Make the weights: ``python -m chiasma.llm.pii documents.parquet``; rows of fold 2 are held out and judged."""
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(argv[0], columns=["doc_id", "text"]).to_pylist()
+    fold = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 4
+    learn, held = ([r["text"] for r in rows if r["text"] and (fold(r) == 2) == out] for out in (False, True))
+    model = train(labelled_examples() + real_examples(learn))
+    content = saved(model)
+    with open(__file__.rsplit("/", 1)[0] + "/" + WEIGHTS, "wb") as f:
+        f.write(content)
+    found, base = model_spans(held, loaded(content), checked=False), [base_spans(t) for t in held]
+    kept = [[s for s in own if valid(s[0], t[s[1] : s[2]])] for t, own in zip(held, found, strict=True)]
+    wanted = sum(map(len, base))
+    hit = sum(len(set(a) & set(b)) for a, b in zip(found, base, strict=True))
+    extra = [(t, s) for t, own, b in zip(held, found, base, strict=True) for s in own if s[0] < SECRET and s not in b]
+    print(f"held-out texts {len(held)}, base spans {wanted}, of them found by the network alone {hit}; its other spans of the base kinds {len(extra)}, valid {sum(valid(s[0], t[s[1] : s[2]]) for t, s in extra)}; secrets {sum(s[0] == SECRET for own in kept for s in own)}")
+    for t, s in extra[:20]:
+        print(NAMES[s[0]], repr(t[max(0, s[1] - 20) : s[1]]), repr(t[s[1] : s[2]]), repr(t[s[2] : s[2] + 12]))
+
+
+if __name__ == "__main__":
+    import sys
+
+    main(sys.argv[1:])
