@@ -1,16 +1,17 @@
 """Token ids in bit-plane files.
 
 A file holds whole documents in ascending ``doc_id`` order. Their ids are laid end to end and cut into blocks
-of ``BLOCK`` ids. A block is transposed into as many bit planes as its largest id has bits (or into byte planes),
-each plane is compressed by zstandard on its own, and the index at the file's end says where each plane lies,
+of ``BLOCK`` ids. A block is transposed into as many byte planes as its largest id has bytes (or into bit planes, which
+take more room and time with these vocabularies), each plane is compressed by zstandard on its own, and the index at the file's end says where each plane lies,
 so a reader can fetch one block, or the documents of one block, alone.
 
     magic | planes ... | index (zstandard) | index length, 8 bytes | magic
     index: counts (blocks, documents, planes, first id of the file within its bucket, unit), then per block its
     ids and planes, per plane its length, per document its id, whether it has one, and its number of ids
 
-Files are named by bucket and number, are written whole before they get their name, and do not depend on which
-executor writes them, so a task run again leaves the same files. Defined results: a null or empty text is the
+Files are named by bucket, number and the attempt that writes them. The manifest has one row a bucket, from the attempt
+that ended well, and says which attempt's files count; what a lost executor left is never read and no file is moved or
+replaced. Defined results: a null or empty text is the
 end id alone; rows with equal or null ``doc_id`` are kept (null first, ties by text); an empty table writes no
 file; other columns are ignored.
 """
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ._encode import encoder, in_batches
 from ._order import in_order
+from ._store import small_batches
 
 MAGIC = b"CHIBPL01"
 #: Ids in a block, and ids after which a file is closed.
@@ -63,7 +65,7 @@ def join_planes(planes: list[bytes], n: int, unit: str = "bit") -> np.ndarray:
     return raw.reshape(-1).view("<u4").astype(np.uint32)
 
 
-def encode_file(doc_ids: list[int | None], ids: list[bytes], first: int = 0, unit: str = "bit", level: int = 3) -> bytes:
+def encode_file(doc_ids: list[int | None], ids: list[bytes], first: int = 0, unit: str = "byte", level: int = 3) -> bytes:
     """A file's bytes. ``ids``: of each document, as little-endian unsigned 32-bit."""
     import zstandard
 
@@ -110,32 +112,29 @@ def decode_file(content: bytes) -> tuple[list[int | None], list[bytes], int]:
     return [d if ok else None for d, ok in zip(docs, known, strict=True)], parts, first
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, unit: str = "bit", file_ids: int = FILE_IDS) -> DataFrame:
-    """Write the documents' ids below ``folder`` (any URI that pyarrow opens); one row per bucket with its ids.
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, unit: str = "byte", file_ids: int = FILE_IDS) -> DataFrame:
+    """Write the documents' ids below ``folder`` (any URI that pyarrow opens); one row per bucket: its number of ids and
+    the attempt whose files count.
 
     The rows (as many as tasks) are the manifest that places each bucket among all ids.
     """
+    small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        enc = encoder(tokenizer)
+        enc, attempt = encoder(tokenizer), uuid.uuid4().hex
         store, base = fs.FileSystem.from_uri(folder)
         state = {"bucket": None, "file": 0, "first": 0, "n": 0}
         held_docs: list[int | None] = []
         held_ids: list[bytes] = []
-        done: list[tuple[int, int]] = []
+        done: list[tuple[int, int, str]] = []
 
         def close() -> None:
             if held_ids:
-                name = f"{base}/bucket-{state['bucket']:07d}-{state['file']:06d}.bpl"
-                part = f"{base}/.{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as f:
+                with store.open_output_stream(f"{base}/bucket-{state['bucket']:07d}-{state['file']:06d}-{attempt}.bpl") as f:
                     f.write(encode_file(held_docs, held_ids, state["first"], unit))
-                if store.get_file_info(name).type != fs.FileType.NotFound:  # of an attempt whose executor was lost
-                    store.delete_file(name)
-                store.move(part, name)
                 state["file"] += 1
                 state["first"] += state["n"]
                 state["n"] = 0
@@ -149,7 +148,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, unit
                     if buckets[i] != state["bucket"]:
                         close()
                         if state["bucket"] is not None:
-                            done.append((state["bucket"], state["first"]))
+                            done.append((state["bucket"], state["first"], attempt))
                         state.update(bucket=buckets[i], file=0, first=0)
                     held_docs.append(doc_ids[i])
                     held_ids.append(ids + end)
@@ -158,24 +157,30 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int, unit
                         close()
         close()
         if state["bucket"] is not None:
-            done.append((state["bucket"], state["first"]))
-        yield pa.record_batch([pa.array([d[k] for d in done], pa.int64()) for k in (0, 1)], ["bucket", "n_ids"])
+            done.append((state["bucket"], state["first"], attempt))
+        types = (pa.int64(), pa.int64(), pa.string())
+        yield pa.record_batch([pa.array([d[k] for d in done], t) for k, t in enumerate(types)], ["bucket", "n_ids", "attempt"])
 
-    return in_order(docs).select("bucket", "doc_id", "text").mapInArrow(run, "bucket long, n_ids long")
+    return in_order(docs).select("bucket", "doc_id", "text").mapInArrow(run, "bucket long, n_ids long, attempt string")
 
 
-def read_tokens(spark: SparkSession, folder: str, manifest: dict[int, int]) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids of every document in the folder's files."""
+def read_tokens(spark: SparkSession, folder: str, manifest: dict[int, tuple[int, str]]) -> DataFrame:
+    """doc_id, start (ids of all documents before it) and ids of every document in the files of the manifest, which has
+    the number of ids and the attempt of each bucket."""
     starts, total = {}, 0
     for bucket in sorted(manifest):
         starts[bucket] = total
-        total += manifest[bucket]
+        total += manifest[bucket][0]
+    valid = {(bucket, attempt) for bucket, (_, attempt) in manifest.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                bucket, _, attempt = path.rsplit("bucket-", 1)[1].removesuffix(".bpl").split("-")
+                if (int(bucket), attempt) not in valid:
+                    continue
                 docs, ids, at = decode_file(content.as_py())
-                at += starts[int(path.rsplit("bucket-", 1)[1][:7])]
+                at += starts[int(bucket)]
                 counts = np.array([len(x) // 4 for x in ids], np.int64)
                 start = at + np.cumsum(counts) - counts
                 for k in range(0, len(ids), 2000):
@@ -186,10 +191,10 @@ def read_tokens(spark: SparkSession, folder: str, manifest: dict[int, int]) -> D
     return files.select("path", "content").mapInArrow(run, "doc_id long, start long, ids binary")
 
 
-def token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, unit: str = "bit", file_ids: int = FILE_IDS) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, unit: str = "byte", file_ids: int = FILE_IDS) -> DataFrame:
     """Write the files, then the documents as read back from them."""
     rows = write_tokens(docs, tokenizer, folder, end_id, unit, file_ids).collect()
-    return read_tokens(docs.sparkSession, folder, {r["bucket"]: r["n_ids"] for r in rows})
+    return read_tokens(docs.sparkSession, folder, {r["bucket"]: (r["n_ids"], r["attempt"]) for r in rows})
 
 
 def digest(tokens: DataFrame) -> DataFrame:
