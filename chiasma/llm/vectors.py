@@ -1,13 +1,15 @@
 """Nearest neighbours by a block matrix join.
 
-Vectors are packed into blocks. A block of queries meets a block of candidates as one tile: the unit vectors,
-rounded to int8, are multiplied as a matrix, which gives every cosine with a proven error (from the rounding
-residues of both vectors). Only pairs whose upper bound reaches the k-th lower bound are computed again, in double
-precision on the original vectors; each task keeps a heap of k per query over all its tiles, and the heaps of all
-tasks are merged. The result is exact.
-
-The query set is stated (ids divisible by ``every``). Candidates are read once; query blocks, cut to about
-``QUERIES`` rows, are sent to ``salts`` groups of candidate blocks, and candidates to each query block. Defined
+Queries and candidates are dealt to the cells of a grid: a query to one of the query blocks, which hold about
+``QUERY_BYTES`` each, a candidate to one of ``salts`` groups, and every pair of a block and a group is a cell. In a cell
+the block comes first, then its candidates pass by, some hundred at a time. Each such tile is a product of matrices of
+the unit vectors rounded to int8, which gives every cosine with a proven error (from the rounding residues of both
+vectors). Only pairs whose upper bound reaches the k-th lower bound are computed again, in double precision on the
+original vectors; each task keeps a heap of k per query over all its tiles, and the heaps of all tasks are merged. The
+result is exact, and equal vectors, however many, keep k in a heap.
+
+The query set is stated (ids divisible by ``every``). A candidate is sent once for each query block, a query once for
+each group: candidates stay where they are few blocks, and blocks grow before there are more of them. Defined
 results: vectors that are null, zero, or hold null or non-finite components take no part, as do null ids; vectors
 meet those of their own length only; rows that repeat an id are candidates each, the smallest of their vectors asks, and an id never meets itself;
 ties go to the smaller id; an empty table gives no rows; other columns are ignored.
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import shuffle_partitions
+from ._store import shuffle_partitions, small_batches
 
-QUERIES = 2048
-CANDIDATES = 4096
+#: Bytes of a query block's vectors, and queries to a tile.
+QUERY_BYTES, QUERIES = 16 << 20, 1024
 #: Pairs computed again at once.
 PAIRS = 200_000
 
@@ -55,6 +57,14 @@ class Block:
         self.q = np.rint(unit / self.scale[:, None]).astype(np.int8)
         self.left = np.sqrt(((unit - self.q * self.scale[:, None]) ** 2).sum(axis=1))
 
+    def parts(self, n: int) -> Iterator[Block]:
+        """The block cut to ``n`` vectors each."""
+        for at in range(0, len(self.ids), n):
+            own = Block.__new__(Block)
+            for name, x in vars(self).items():
+                setattr(own, name, x[at : at + n])
+            yield own
+
 
 def tile(a: Block, b: Block) -> tuple[np.ndarray, np.ndarray]:
     """Cosines of all pairs from int8 products, and what they are off by at most."""
@@ -89,61 +99,51 @@ def search(queries: Block, candidates: Block, heaps: dict[int, list], k: int) ->
                 heapq.heapreplace(heap, item)
 
 
-def _packed(batch: pa.RecordBatch, dim: int) -> tuple[bytes, bytes]:
-    ids = np.asarray(batch.column("vec_id").to_numpy(zero_copy_only=False), "<i8")
-    flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
-    return ids.tobytes(), np.asarray(flat, "<f8").reshape(-1, dim).tobytes()
-
-
-def _block(ids: bytes, v: bytes) -> Block:
-    own = np.frombuffer(ids, "<i8")
-    return Block(own, np.frombuffer(v, "<f8").reshape(len(own), -1))
+def _block(batch: pa.RecordBatch) -> Block:
+    ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+    v = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+    return Block(ids, np.asarray(v, "<f8").reshape(len(ids), -1))
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest by cosine."""
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = usable(vectors)
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    n_queries = queries.count()
-    salts = max(8, min(shuffle_partitions(spark), 64))
-    n_blocks = max(1, -(-n_queries // QUERIES))
-
-    def pack_queries(table: pa.Table) -> pa.Table:
-        batch = table.combine_chunks().to_batches()[0]
-        dim, qb = batch.column("dim")[0].as_py(), batch.column("qb")[0].as_py()
-        ids, v = _packed(batch, dim)
-        return pa.table({"dim": pa.array([dim], pa.int32()), "qb": pa.array([qb], pa.int32()), "q_ids": [ids], "q_v": [v]})
-
-    deal = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
-    q = queries.withColumn("qb", deal).groupBy("dim", "qb").applyInArrow(pack_queries, "dim int, qb int, q_ids binary, q_v binary")
-    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-    def pack_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        n = TaskContext.get().partitionId()
-        for batch in batches:
-            dims = np.asarray(batch.column("dim"))
-            for dim in np.unique(dims).tolist():
-                own = batch.filter(pa.array(dims == dim))
-                for at in range(0, own.num_rows, CANDIDATES):
-                    ids, v = _packed(own.slice(at, CANDIDATES), dim)
-                    yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([n % salts], pa.int32()), pa.array([ids], pa.binary()), pa.array([v], pa.binary())], ["dim", "salt", "c_ids", "c_v"])
-                    n += 1
-
-    c = rows.select("vec_id", "v", "dim").mapInArrow(pack_candidates, "dim int, salt int, c_ids binary, c_v binary")
-    c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    tiles = c.join(q.hint("merge"), ["dim", "qb", "salt"]).select("q_ids", "q_v", "c_ids", "c_v")
+    size = queries.agg(F.sum(8 * F.col("dim").cast("long"))).first()[0] or 0
+    blocks, salts = -(-size // QUERY_BYTES) or 1, max(8, shuffle_partitions(spark))
+    deal = lambda n, *what: F.pmod(F.xxhash64(*what), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = ["dim", "block", "salt"]
+    q = queries.withColumn("block", deal(blocks, "vec_id")).withColumn("salt", spread(salts))
+    c = rows.withColumn("salt", deal(salts, "vec_id", "v")).withColumn("block", spread(blocks))
+    shape = lambda t, kind: t.select(*cells, F.lit(kind).alias("kind"), "vec_id", "v")
+    tiles = shape(q, 0).unionByName(shape(c, 1)).repartition(*cells).sortWithinPartitions(*cells, "kind")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[int, list] = {}
-        last, block = None, None
+        cell, asking, ready = None, [], []
         for batch in batches:
-            for q_ids, q_v, c_ids, c_v in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                if q_ids != last:
-                    last, block = q_ids, _block(q_ids, q_v)
-                search(block, _block(c_ids, c_v), heaps, k)
+            key = np.stack([np.asarray(batch.column(i)) for i in range(4)])
+            edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if b == a:
+                    continue
+                *where, kind = key[:, a].tolist()
+                if where != cell:
+                    cell, asking, ready = where, [], []
+                own = batch.slice(a, b - a)
+                if kind == 0:
+                    asking.append(_block(own))
+                    continue
+                if asking:
+                    whole = Block(np.concatenate([x.ids for x in asking]), np.concatenate([x.v for x in asking]))
+                    asking, ready = [], list(whole.parts(QUERIES))
+                if ready:
+                    candidates = _block(own)
+                    for part in ready:
+                        search(part, candidates, heaps, k)
         yield from _heap_rows(heaps)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
