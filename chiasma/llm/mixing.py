@@ -67,17 +67,18 @@ def _chance(*what) -> Column:
 
 def _settle(level: int, seed: int) -> Column:
     """Of the sorted array ``units``: struct(rest, done) after all pivotal steps from left to right."""
-    kind = "struct<doc_id:bigint,occ:int,size:bigint,base:int,q:double>"
-    done = "array<struct<doc_id:bigint,occ:int,size:bigint,copies:int>>"
+    kind = "struct<doc_id:bigint,key:bigint,occ:int,size:bigint,base:int,q:double>"
+    done = "array<struct<doc_id:bigint,key:bigint,occ:int,size:bigint,copies:int>>"
 
     def step(state: Column, b: Column) -> Column:
         a = state["rest"]
-        unit = lambda x, q: F.struct(x["doc_id"].alias("doc_id"), x["occ"].alias("occ"), x["size"].alias("size"), x["base"].alias("base"), q.alias("q"))
-        out = lambda x, up: F.struct(x["doc_id"].alias("doc_id"), x["occ"].alias("occ"), x["size"].alias("size"), (x["base"] + F.lit(up)).alias("copies"))
+        own = lambda x, *names: [x[n].alias(n) for n in names]
+        unit = lambda x, q: F.struct(*own(x, "doc_id", "key", "occ", "size", "base"), q.alias("q"))
+        out = lambda x, up: F.struct(*own(x, "doc_id", "key", "occ", "size"), (x["base"] + F.lit(up)).alias("copies"))
         a_up, a_down = (1 - a["q"]) * a["size"], a["q"] * a["size"]
         b_up, b_down = (1 - b["q"]) * b["size"], b["q"] * b["size"]
         rise, fall = F.least(a_up, b_down), F.least(a_down, b_up)
-        u = _chance(F.lit(seed), F.lit(level), a["doc_id"], a["occ"], F.lit("-"), b["doc_id"], b["occ"])
+        u = _chance(F.lit(seed), F.lit(level), a["key"], a["occ"], F.lit("-"), b["key"], b["occ"])
         up = u * (rise + fall) < fall
         pair = lambda rest, one: F.struct(rest.alias("rest"), F.concat(state["done"], F.array(one)).alias("done"))
         return (
@@ -93,15 +94,15 @@ def _settle(level: int, seed: int) -> Column:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """``_mix_key`` of (doc_id, source, size) and ``_mix_occ``, the number among rows that are equal in them."""
-    flags = [F.isnull("doc_id"), F.col("doc_id"), F.isnull("source"), F.col("source"), F.col("_mix_size")]
+    """``_mix_key`` of (doc_id, source, size, text) and ``_mix_occ``, the number among rows that are equal in them."""
+    flags = [F.isnull("doc_id"), F.col("doc_id"), F.isnull("source"), F.col("source"), F.col("_mix_size"), F.col("_mix_tie")]
     same = Window.partitionBy("_mix_key", "doc_id", "source", "_mix_size").orderBy("_mix_tie")
     rows = rows.withColumn("_mix_key", F.xxhash64(*flags)).repartition("_mix_key")
     return rows.withColumn("_mix_occ", F.row_number().over(same))
 
 
 def decide(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 20) -> DataFrame:
-    """Per document: doc_id, source, size, occ, source_size, target, copies."""
+    """Per document: doc_id, source, size, key and occ (see ``numbered``), source_size, target, copies."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_mix_tie"))
     rows = stored(rows, "mix-sizes")
     sources = stored(source_targets(rows, weights, share, cap), "mix-sources")
@@ -109,24 +110,24 @@ def decide(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
     small = F.broadcast(sources) if n <= BROADCAST_SOURCES else sources
     p = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     base = F.floor(p + F.lit(EPS)).cast("int")
-    units = numbered(rows.withColumn("_mix_size", F.col("size"))).withColumnRenamed("_mix_occ", "occ")
+    units = numbered(rows.withColumn("_mix_size", F.col("size"))).withColumnsRenamed({"_mix_key": "key", "_mix_occ": "occ"})
     units = units.join(small.withColumnsRenamed({"source": "_s"}), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_mix_tie", "_mix_size")
     units = units.withColumn("base", base).withColumn("q", p - F.col("base"))
     blocks = F.greatest(F.ceil(F.col("n_docs") / F.lit(BLOCK)), F.lit(1))
-    units = units.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "_mix_key", "occ"), blocks))
+    units = units.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "key", "occ"), blocks))
     whole = (F.col("size") == 0) | (F.col("q") < F.lit(EPS))
-    facts = ["doc_id", "occ", "source", "size"]
+    facts = ["doc_id", "key", "occ", "source", "size"]
     settled = [units.filter(whole).select(*facts, F.when(F.col("size") == 0, 0).otherwise(F.col("base")).alias("copies"))]
 
-    unit = F.struct("doc_id", "occ", "size", "base", "q")
-    ordered = F.struct((-F.col("size")).alias("less"), F.xxhash64(F.lit(seed + 1), "doc_id", "occ").alias("h"), unit.alias("unit"))
+    unit = F.struct("doc_id", "key", "occ", "size", "base", "q")
+    ordered = F.struct((-F.col("size")).alias("less"), F.xxhash64(F.lit(seed + 1), "key", "occ").alias("h"), unit.alias("unit"))
     level = units.filter(~whole).select("source", "block", ordered.alias("u"))
     depth = max(1, math.ceil(math.log(max(2, -(-(largest or 1) // BLOCK)), BLOCK))) + 1 if (largest or 0) > BLOCK else 1
     for k in range(depth):
         node = level.groupBy("source", "block").agg(F.transform(F.array_sort(F.collect_list("u")), lambda x: x["unit"]).alias("units"))
         node = stored(node.select("source", "block", _settle(k, seed).alias("s")), f"mix-level{k}")
         done = node.select("source", F.explode("s.done").alias("d"))
-        settled.append(done.select("d.doc_id", "d.occ", "source", "d.size", "d.copies"))
+        settled.append(done.select("d.doc_id", "d.key", "d.occ", "source", "d.size", "d.copies"))
         rest = node.select("source", F.expr(f"block div {BLOCK}").alias("block"), "s.rest", F.col("block").alias("h"))
         level = rest.select("source", "block", F.struct((-F.col("rest.size")).alias("less"), "h", F.col("rest").alias("unit")).alias("u"))
     last = rest.select("source", "rest.*")
@@ -140,18 +141,20 @@ def decide(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = S
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents, each as often as it is taken; documents without words stay once, as they take none.
 
-    The texts are shuffled once: the numbering and the join share one partitioning.
+    The texts are shuffled once: the numbering and the join share one partitioning. Rows that are equal share what
+    they take together: of m rows with t copies row r has t * r / m less t * (r - 1) / m, both rounded down.
     """
-    chosen = decide(docs, **options).withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")))
-    flags = [F.isnull("doc_id"), F.col("doc_id"), F.isnull("source"), F.col("source"), F.col("size")]
-    chosen = chosen.filter("copies > 0").select(F.xxhash64(*flags).alias("_mix_key"), F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_of"), F.col("occ").alias("_mix_no"), F.col("copies").alias("_mix_copies"))
+    taken = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
+    chosen = decide(docs, **options).groupBy("key", "doc_id", "source", "size").agg(F.sum(taken).alias("_mix_copies"), F.count("*").alias("_mix_rows"))
+    chosen = chosen.filter("_mix_copies > 0").withColumnsRenamed({"key": "_mix_key", "doc_id": "_mix_id", "source": "_mix_source", "size": "_mix_of"})
     rows = docs.withColumns({"_mix_size": word_count(F.col("text")), "_mix_tie": F.xxhash64("text"), "doc_id": F.col("doc_id").cast("long")})
     rows = numbered(rows)
     same = (F.col("_mix_id").eqNullSafe(F.col("doc_id"))) & (F.col("_mix_source").eqNullSafe(F.col("source")))
-    # the other equalities stay conditions, not join keys, so that the partitioning by _mix_key serves the join
-    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1
-    rows = rows.alias("l").join(chosen.alias("r"), F.col("l._mix_key") == F.col("r._mix_key")).filter(near("_mix_of", "_mix_size") & near("_mix_no", "_mix_occ") & same)
-    rows = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies")))
+    # one row a key: the other equalities stay conditions, not join keys, so that the partitioning by _mix_key serves the join
+    near = F.abs(F.col("_mix_of") - F.col("_mix_size")) < 1
+    rows = rows.alias("l").join(chosen.alias("r"), F.col("l._mix_key") == F.col("r._mix_key")).filter(near & same)
+    share = F.expr("_mix_copies * _mix_occ div _mix_rows - _mix_copies * (_mix_occ - 1) div _mix_rows").cast("int")
+    rows = rows.withColumn("_mix_share", share).filter("_mix_share > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_share")))
     return rows.select(*[F.col(f"l.`{c}`") for c in docs.columns])
 
 
