@@ -2,14 +2,17 @@
 
 Every 64-byte window of a text's UTF-8 has an entropy, quantised to 0..1000 in whole-number arithmetic. A window's
 rank is how common its entropy is over all documents (rarest first; nearly constant windows are left out). In each
-run of 64 windows the leftmost of the lowest rank is chosen; windows chosen at least 16 times are the features.
+run of 64 windows the leftmost of the lowest rank is chosen; windows chosen at least 16 times are the features. A text
+without such windows (under 142 bytes always) has all its windows of 8 bytes as features instead.
 They enter Bloom filters of 256 bytes by five hashes, 160 features to a filter, then the next filter of the chain.
 Likeness compares set bits: per filter the best overlap with a filter of the other chain, less what chance gives,
 normalised, weighted by set bits.
 
 Two passes: the entropy counts of all documents (one row of counts per task, summed before 1,001 rows reach the
 driver), then the fingerprints, for which the texts are dealt once in ascending ``doc_id`` order so that each has
-its successor beside it. Defined results: null text counts as empty; texts shorter than a window are one feature,
+its successor beside it. Fingerprints depend on the ranks: pass the ``counts`` of one table (``level_counts``, 1,001
+numbers) to compare those of several. A very long text is handled alone and takes about 100 bytes of memory for each
+of its own. Defined results: null text counts as empty; texts of under 8 bytes are one feature,
 an empty text none; two texts without features are alike (1), one with and one without are not (0); rows with equal
 ``doc_id`` are ordered by text, null ids first; a single row follows itself; an empty table gives no rows; other
 columns are ignored.
@@ -30,14 +33,15 @@ from pyspark.sql import functions as F
 from ._chars import span_hashes
 from ._encode import in_batches
 from ._order import in_order
+from ._store import small_batches
 
 WINDOW = 64
 RUN = 64
 POPULAR = 16
 FILTER_BYTES, FILTER_FEATURES, HASHES = 256, 160, 5
 LEVELS = 1001
-#: Share of the room above chance that unrelated texts may fill by luck.
-BLUR = 0.1
+#: Bytes of a window of texts that are too short for popular windows.
+SHORT = 8
 #: Entropies below this level are nearly constant windows.
 LEAST_LEVEL = 100
 _CHARS = 700_000
@@ -92,6 +96,7 @@ def _inside(starts: np.ndarray, n: int) -> np.ndarray:
 
 def level_counts(docs: DataFrame) -> np.ndarray:
     """How often each level occurs in all windows of all documents."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEVELS, np.int64)
@@ -148,10 +153,10 @@ def features(texts: list[str], rank: np.ndarray) -> list[np.ndarray]:
         if len(at):
             h = hashed(at, at + WINDOW)
             own[i] = h[np.sort(np.unique(h, return_index=True)[1])]
-        elif b > a:  # too short for a popular window: the lowest of all, or else the whole text
-            inner = key[a : max(a, b - WINDOW + 1)]
-            at = a + int(inner.argmin()) if len(inner) and inner.min() != _NONE else None
-            own[i] = hashed(np.array([a if at is None else at]), np.array([b if at is None else at + WINDOW]))
+        elif b > a:  # no popular window: every short one
+            at = np.arange(a, max(a + 1, b - SHORT + 1))
+            h = hashed(at, np.minimum(at + SHORT, b))
+            own[i] = h[np.sort(np.unique(h, return_index=True)[1])]
     return own
 
 
@@ -174,7 +179,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     both = np.array([np.bitwise_count(a[i] & b).sum(axis=1) for i in range(len(a))], float)
     most = np.minimum(na[:, None], nb[None, :])
     chance = na[:, None] * nb[None, :] / (FILTER_BYTES * 8)
-    chance += BLUR * (most - chance)
     room = most - chance
     score = np.clip((both - chance) / np.maximum(room, 1e-9), 0, 1)
     one = (score.max(axis=1) * na).sum() / na.sum()
