@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ._store import shuffle_partitions
 
+#: Rows to a range at most, on average; there are as many ranges as shuffle partitions at least.
+RANGE_ROWS = 50_000
+
 
 def bucket_bounds(docs: DataFrame, n: int) -> list[int]:
     """At most n - 1 ascending ids that cut the table into nearly equal ranges; reads ``doc_id`` alone."""
@@ -38,7 +41,7 @@ def in_order(docs: DataFrame, guests: bool = False) -> DataFrame:
     one by a copy of the table's first row), marked ``guest``, so that every row has its successor beside it.
     Ties of ``doc_id`` are ordered by the text's hash and the text.
     """
-    n = shuffle_partitions(docs.sparkSession)
+    n = max(shuffle_partitions(docs.sparkSession), -(-docs.count() // RANGE_ROWS))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bounds = bucket_bounds(own, n)
     own = own.withColumn("bucket", bucket_of(F.col("doc_id"), bounds))

@@ -57,7 +57,7 @@ ORACLE = f"""
 WITH t AS (
   SELECT conv_id, turn, role, text,
     row_number() OVER w AS pos,
-    lead(conv_id) OVER w IS NULL AS last,
+    lead(1) OVER w IS NULL AS last,
     string_agg(coalesce('r' || replace(replace(role, '\\', '\\\\'), '|', '\\p'), 'n') || '|' || coalesce('t' || replace(replace(text, '\\', '\\\\'), '|', '\\p'), 'n') || '|', '')
       OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING) AS pre
   FROM conversations

@@ -33,6 +33,7 @@ from pyspark.sql.types import StructType
 
 from ._chars import code_points, joined, letters_lowered, mixed
 from ._encode import in_batches
+from ._store import small_batches
 
 FEATURES = 4096
 CENTROIDS = 4
@@ -208,7 +209,7 @@ def labelled_sample(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, texts in in_batches(batch.column(2).to_pylist(), _CHARS):
+            for at, texts in in_batches(batch.column(2).to_pylist(), _CHARS, _PIECES):
                 x, letters = profiles(texts)
                 rows = [np.ascontiguousarray(r).tobytes() for r in x.astype("<f4")]
                 yield pa.record_batch([pa.array(ids[at : at + len(texts)], pa.int64()), pa.array(langs[at : at + len(texts)]), pa.array(rows, pa.binary()), pa.array(letters.astype(np.int64)), pa.array([t[:HEAD] for t in texts], pa.string())], ["doc_id", "lang", "x", "letters", "head"])
@@ -225,21 +226,23 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(*labelled_sample(docs, sample))
 
 
-def identify(docs: DataFrame, model: Model | None = None, with_text: bool = True) -> DataFrame:
-    """The documents with lang_pred, score and rejected (all three names replaced if they exist).
+def identify(docs: DataFrame, model: Model | None = None, with_text: bool = True, prefix: str = "") -> DataFrame:
+    """The documents with lang_pred, score and rejected, after ``prefix`` (all three names replaced if they exist).
 
     Without ``with_text`` the text ends in the worker and only the answers come back.
     """
+    small_batches(docs.sparkSession)
     model = model or train(docs)
     share = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the parameters
-    rows = docs.drop("lang_pred", "score", "rejected")
+    added = [prefix + name for name in ("lang_pred", "score", "rejected")]
+    rows = docs.drop(*added)
     at = rows.columns.index("text")
     kept = [i for i in range(len(rows.columns)) if with_text or i != at]
-    schema = StructType([rows.schema[i] for i in kept]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = StructType([rows.schema[i] for i in kept]).add(added[0], "string").add(added[1], "double").add(added[2], "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in in_batches(batch.column(at).to_pylist(), _CHARS):
+            for first, texts in in_batches(batch.column(at).to_pylist(), _CHARS, _PIECES):
                 lang, score, rejected = share.value.predict(texts)
                 own = batch.slice(first, len(texts))
                 new = [pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]

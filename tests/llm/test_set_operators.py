@@ -69,8 +69,8 @@ def brute(rows):
         if i is not None:
             texts.setdefault(t or "", []).append(i)
     keys = list(texts)
-    sh, starts = near_dup.shingles(keys)
-    seq = [sh[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    w, starts = near_dup.words(keys)
+    seq = [w[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
     root = list(range(len(keys)))
 
     def find(x):
@@ -132,8 +132,8 @@ def test_components(spark):
 def test_keys_depend_on_the_text_alone():
     rng = random.Random(5)
     texts = [" ".join(words(rng, n)) for n in (1, 4, 5, 6, 300)] + ["", "x y z " * 40]
-    together = near_dup.keys(*near_dup.shingles(texts))
-    assert together == [near_dup.keys(*near_dup.shingles([t]))[0] for t in texts] and together[5] == []
+    together = [k.tolist() for k in near_dup.keys(*near_dup.shingles(*near_dup.words(texts)))]
+    assert together == [near_dup.keys(*near_dup.shingles(*near_dup.words([t])))[0].tolist() for t in texts] and together[5] == []
 
 
 def targets(sizes):
@@ -180,6 +180,16 @@ def test_mixing(make, spark):
     assert dict(out) == {s: taken[s] for s in out}
 
 
+def test_mixing_many_equal_rows(make):
+    """Rows without id and rows that repeat: each is decided, and no pair of them is met."""
+    rows = [(None, "a b c", "en", "x")] * 5000 + [(None, f"a b {i}", "en", "x") for i in range(3000)] + [(i, "d e", "en", "y") for i in range(500)]
+    df = make(rows)
+    got = mixing.decide(df).groupBy("source").agg({"copies": "sum", "*": "count"}).collect()
+    assert {r["source"]: r["count(1)"] for r in got} == {"x": 8000, "y": 500}
+    out = {r["source"]: r["count"] for r in mixing.mix(df).groupBy("source").count().collect()}
+    assert out == {r["source"]: r["sum(copies)"] for r in got}
+
+
 def test_mixing_odd(odd, make):
     got = mixing.decide(odd).collect()
     assert len(got) == odd.count()
@@ -215,6 +225,15 @@ def test_chat_odd(spark):
     rows = [(None, 0, "user", "x", 1), (1, None, "user", "late", 1), (1, 0, "user", "b", 1), (1, 0, "user", "b", 1), (2, 0, "user", "x" * 300_000, 1)]
     got = {r["conv_id"]: r["n_turns"] for r in chat.chat_format(spark.createDataFrame(rows, CHAT)).collect()}
     assert got == {None: 1, 1: 3, 2: 1}
+    # ties, nulls and a conversation without id of several turns: as SQL has them
+    import duckdb
+
+    rows = [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (None, 1, "assistant", None), (3, 0, "user", "x"), (3, 1, "assistant", None), (4, 1, None, "t"), (4, 1, "user", None), (4, None, "user", "b"), (4, None, "user", "b"), (5, None, "user", "b")]
+    shown = chat.chat_format(spark.createDataFrame([(*r, 0) for r in rows], CHAT)).select("conv_id", "n_turns", "n_copies", "rendered").collect()
+    c = duckdb.connect()
+    c.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    c.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert sorted(map(str, map(tuple, shown))) == sorted(map(str, c.sql(f"select conv_id, n_turns, n_copies, rendered from ({chat.ORACLE})").fetchall()))
     assert chat.chat_format(spark.createDataFrame([], CHAT)).count() == 0
 
 
@@ -245,4 +264,7 @@ def test_nearest(spark):
         want = sorted((-float(unit[q] @ unit[i]), i) for i in unit if i != q)[:5]
         assert all(abs(s + w) < 1e-12 for (_, s), (w, _) in zip(got[q], want, strict=True))
     assert [x[0] for x in got[100]] == [20, 60, 61, 62, 63]
+    # ids that repeat: each row is a candidate, the smallest vector of an id asks
+    twice = spark.createDataFrame([(50, [1.0, 0.0], 0), (50, [0.0, 1.0], 0), (1, [1.0, 0.1], 0), (1, [0.0, 2.0], 0), (2, [1.0, 1.0], 0)], "vec_id long, embedding array<double>, rank int")
+    assert [(r["vec_id"], round(r["score"], 6)) for r in vectors.nearest(twice).orderBy("rank").collect()] == [(1, 1.0), (2, 0.707107), (1, 0.099504)]
     assert vectors.nearest(df.filter("vec_id < 0")).count() == 0
