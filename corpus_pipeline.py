@@ -1,4 +1,10 @@
-"""Five stages over ``documents``, each one operator, each written as Parquet and read again by the next."""
+"""Five stages over ``documents``, each one operator, each written as Parquet and read again by the next.
+
+Defined results are those of the operators (see their modules): null and letterless texts have no language and go in
+the first stage as rejected; later stages take a null text as empty. A very long text is handled alone. Rows with a
+null ``doc_id`` stay, once for each text that no row with an id has; of repeated rows one stays. An empty table passes
+through. All stages but the last keep every column, whatever its name, ``lang`` and ``n_chars`` brought up to date.
+"""
 
 from __future__ import annotations
 
@@ -10,11 +16,11 @@ from chiasma.llm.queries import tokenizer_file
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; a missing language is filled by the predicted one."""
+    """Rejected documents go, and those without letters; a missing language is filled by the predicted one."""
     from pyspark.sql import functions as F
 
-    kept = language.identify(docs).filter("not rejected")
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    kept = language.identify(docs, prefix="_stage_").filter("not _stage_rejected")
+    return kept.withColumn("lang", F.coalesce("lang", "_stage_lang_pred")).select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
