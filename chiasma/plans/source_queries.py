@@ -31,18 +31,19 @@ def _gff(spark: SparkSession, d: str, chrom: Column) -> str:
     return _file(spark, one("gene").union(one("mRNA")).union(notes), "gff")
 
 
-_N = F.substring("chr", 4, 9)
+def _number() -> Column:
+    return F.substring("chr", 4, 9)
 
 
 @query
 def read_gff_genes(spark, d):
-    spelled = F.when(F.col("input_ord") % 3 == 0, F.concat(F.lit("CHR"), _N)).when(F.col("input_ord") % 3 == 1, F.concat(F.lit("Chr"), _N)).otherwise(F.col("chr"))
+    spelled = F.when(F.col("input_ord") % 3 == 0, F.concat(F.lit("CHR"), _number())).when(F.col("input_ord") % 3 == 1, F.concat(F.lit("Chr"), _number())).otherwise(F.col("chr"))
     return readers.read_genes(spark, _gff(spark, d, spelled)).select("chr", "start", "end", "strand")
 
 
 @query
 def read_gff_spans(spark, d):
-    spelled = F.when(F.col("input_ord") % 3 == 0, _N).when(F.col("input_ord") % 3 == 1, F.concat(F.lit("Chr"), _N)).otherwise(F.col("chr"))
+    spelled = F.when(F.col("input_ord") % 3 == 0, _number()).when(F.col("input_ord") % 3 == 1, F.concat(F.lit("Chr"), _number())).otherwise(F.col("chr"))
     known = A.lengths(spark, d).filter("chrom <> 'chr3'")
     return readers.read_gene_spans(spark, _gff(spark, d, spelled), known).select("chrom", "start", "end", "strand")
 
