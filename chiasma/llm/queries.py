@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprint, language, licences, mixing, near_dup, packing, pii, token_files, vectors
+from . import chat, divergence, fingerprint, language, licences, mixing, near_dup, packing, pii, token_files, vectors
 from ._store import fresh_folder
 
 
@@ -62,10 +62,14 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_near_dup, op3_language, op4_chat_format, op5_token_files, op6_licences, op7_packing, op8_fingerprint, op9_mixing, op10_nearest)
+    found = (op1_pii, op2_near_dup, op3_language, op4_chat_format, op5_token_files, op6_licences, op7_packing, op8_fingerprint, op9_mixing, op10_nearest, op11_divergence)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat.ORACLE, "op6_licences": licences.oracle()}
+    return {"op4_chat_format": chat.ORACLE, "op6_licences": licences.oracle(), "op11_divergence": divergence.ORACLE}
