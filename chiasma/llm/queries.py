@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, divergence, fingerprint, language, licences, mixing, near_dup, packing, pii, sharding, token_files, vectors
+from . import chat, divergence, fingerprint, language, licences, mixing, near_dup, packing, pii, prefix_trie, sharding, token_files, vectors
 from ._store import fresh_folder
 
 
@@ -70,10 +70,14 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_near_dup, op3_language, op4_chat_format, op5_token_files, op6_licences, op7_packing, op8_fingerprint, op9_mixing, op10_nearest, op11_divergence, op12_sharding)
+    found = (op1_pii, op2_near_dup, op3_language, op4_chat_format, op5_token_files, op6_licences, op7_packing, op8_fingerprint, op9_mixing, op10_nearest, op11_divergence, op12_sharding, op13_prefix_trie)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": chat.ORACLE, "op6_licences": licences.oracle(), "op11_divergence": divergence.ORACLE, "op12_sharding": sharding.ORACLE}
+    return {"op4_chat_format": chat.ORACLE, "op6_licences": licences.oracle(), "op11_divergence": divergence.ORACLE, "op12_sharding": sharding.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
