@@ -17,18 +17,20 @@ def stretched(df: DataFrame, keys: list[str], pos: Column, carry: dict[str, tupl
     """``df`` with ``_stretch`` and, per entry of ``carry``, a value over all other stretches of the key.
 
     Kinds: ``max`` and ``sum`` over the stretches before, ``next`` the smallest value of the next stretch that has
-    one, ``last`` and ``first`` of neighbours are had from structs with ``max`` and ``next``.
+    one, ``all`` the largest value of the key; ``last`` and ``first`` of neighbours are had from structs with ``max``
+    and ``next``.
     """
     df = df.withColumn("_stretch", F.floor(pos / F.lit(width)))
     parts = []
     for name, (kind, value) in carry.items():
-        agg = {"max": F.max, "sum": F.sum, "next": F.min}[kind]
+        agg = {"max": F.max, "sum": F.sum, "next": F.min, "all": F.max}[kind]
         parts.append(agg(value).alias(name))
     small = df.groupBy(*keys, "_stretch").agg(*parts)
     order = Window.partitionBy(*keys).orderBy("_stretch")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    every = Window.partitionBy(*keys)
     for name, (kind, _) in carry.items():
-        value = {"max": lambda n: F.max(n).over(before), "sum": lambda n: F.coalesce(F.sum(n).over(before), F.lit(0)), "next": lambda n: F.min(n).over(after)}[kind](name)
+        value = {"max": lambda n: F.max(n).over(before), "sum": lambda n: F.coalesce(F.sum(n).over(before), F.lit(0)), "next": lambda n: F.min(n).over(after), "all": lambda n: F.max(n).over(every)}[kind](name)
         small = small.withColumn(f"_{name}", value)
     small = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_stretch").alias("_s"), *[F.col(f"_{n}").alias(n) for n in carry])
     on = F.col("_stretch") == F.col("_s")

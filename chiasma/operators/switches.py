@@ -1,24 +1,27 @@
 """Crossovers called from changes between informative markers, without a model.
 
-The markers of a (map, chromosome) are collected once with the genotypes of some samples (``hmm.sample_blocks``); each
-sample's runs are read off that array, so no row is made per genotype. Markers at one place are in order of name, then
-of genotypes.
+Runs form a monoid: those of a stretch of markers (``stretches``) are read off its row for each sample, without a row per
+genotype, and runs of neighbouring stretches join where the last of one and the first of the next have one state. A
+window over the runs of a sample does that; nothing is collected beyond a stretch. Markers at one place are in order of
+name, then of genotypes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import midpoint
 from ..params import SwitchParams
-from .hmm import SAMPLES, collapse_close_pairs, sample_blocks
+from .hmm import collapse_close_pairs
+from .ordered import WIDTH
+from .stretches import SAMPLES, STRETCH, marker_stretches
 
 _SAMPLE = ["map", "sample_idx", "chromosome"]
 
 
 def _sample_runs(at: Column) -> Column:
-    """Array of the runs of the block's sample ``at``, each with the last marker and the state of the one before."""
+    """Array of the runs of the block's sample ``at`` within the row's markers."""
     seen = F.transform("markers", lambda m, i: F.struct((i + 1).alias("i"), F.substring(m["genotypes"], at + 1, F.lit(1)).alias("s")))
     seen = F.filter(seen, lambda x: x["s"].isin("A", "B"))
     # in an array of one, so that each is computed once
@@ -30,12 +33,10 @@ def _sample_runs(at: Column) -> Column:
 
         def run(start: Column, r: Column) -> Column:
             end = F.coalesce(F.get(starts, r + 1), F.size(v))
-            first, last, left = marker(start), marker(end - 1), F.get(v, start - 1)["i"]
-            prior = lambda name: F.when(r > 0, F.get("markers", left - 1)[name])
+            first, last = marker(start), marker(end - 1)
             return F.struct(
-                (F.col("block") * SAMPLES + at).cast("int").alias("sample_idx"), (r + 1).cast("int").alias("run"), F.get(v, start)["s"].alias("state"), (end - start).cast("long").alias("n_markers"),
-                first["coordinate"].alias("first_coordinate"), last["coordinate"].alias("last_coordinate"), first["snp"].alias("first_snp"), last["snp"].alias("last_snp"), (last["coordinate"] - first["coordinate"]).alias("span"),
-                prior("coordinate").alias("left_coordinate"), prior("snp").alias("left_snp"), F.when(r > 0, F.get(v, start - 1)["s"]).alias("left_state"),
+                (F.col("block") * SAMPLES + at).cast("int").alias("sample_idx"), r.alias("part"), F.get(v, start)["s"].alias("state"), (end - start).cast("long").alias("n_markers"),
+                first["coordinate"].alias("first_coordinate"), last["coordinate"].alias("last_coordinate"), first["snp"].alias("first_snp"), last["snp"].alias("last_snp"),
             )
 
         return F.transform(starts, run)
@@ -43,16 +44,29 @@ def _sample_runs(at: Column) -> Column:
     return F.flatten(F.transform(held, own_runs))
 
 
-def runs(markers: DataFrame) -> DataFrame:
+def runs(markers: DataFrame, size: int = STRETCH, width: int = WIDTH) -> DataFrame:
     """Runs of equal informative states: state, n_markers, first and last marker, span."""
-    return _runs_table(markers).drop("left_coordinate", "left_snp", "left_state")
+    return _runs_table(markers, size, width).drop("left_coordinate", "left_snp", "left_state")
 
 
-def _runs_table(markers: DataFrame) -> DataFrame:
-    names = ["run", "state", "n_markers", "first_coordinate", "last_coordinate", "first_snp", "last_snp", "span", "left_coordinate", "left_snp", "left_state"]
+def _runs_table(markers: DataFrame, size: int = STRETCH, width: int = WIDTH) -> DataFrame:
+    """The runs of each stretch, joined where neighbours of one sample have the same state."""
+    parts = ["part", "state", "n_markers", "first_coordinate", "last_coordinate", "first_snp", "last_snp"]
     every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), _sample_runs))
-    rows = sample_blocks(markers).select("map", "chromosome", F.explode(every).alias("r"))
-    return rows.select("map", F.col("r.sample_idx").alias("sample_idx"), "chromosome", *[F.col(f"r.{n}").alias(n) for n in names])
+    rows = marker_stretches(markers, size, width).select("map", "chromosome", "stretch", F.explode(every).alias("r"))
+    rows = rows.select("map", F.col("r.sample_idx").alias("sample_idx"), "chromosome", "stretch", *[F.col(f"r.{n}").alias(n) for n in parts])
+    w = Window.partitionBy(*_SAMPLE).orderBy("stretch", "part")
+    prior = {f"left_{name}": F.lag(of).over(w) for name, of in (("coordinate", "last_coordinate"), ("snp", "last_snp"), ("state", "state"))}
+    rows = rows.withColumns(prior).withColumn("opens", F.when(F.col("left_state") == F.col("state"), 0).otherwise(1))
+    rows = rows.withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    place = F.struct("stretch", "part")
+    first = lambda name, of: F.min_by(of, place).alias(name)
+    last = lambda name, of: F.max_by(of, place).alias(name)
+    g = rows.groupBy(*_SAMPLE, "run").agg(
+        first("state", "state"), F.sum("n_markers").alias("n_markers"), first("first_coordinate", "first_coordinate"), last("last_coordinate", "last_coordinate"),
+        first("first_snp", "first_snp"), last("last_snp", "last_snp"), first("left_coordinate", "left_coordinate"), first("left_snp", "left_snp"), first("left_state", "left_state"),
+    )
+    return g.withColumn("span", F.col("last_coordinate") - F.col("first_coordinate"))
 
 
 def _calls(runs: DataFrame) -> DataFrame:

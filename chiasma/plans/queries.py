@@ -118,7 +118,7 @@ def emission_log_prob(spark, d):
 
 
 def _paths(spark, d):
-    return hmm.viterbi(hmm.trellis(genotypes.clean(A.markers(spark, d))))
+    return hmm.viterbi(genotypes.clean(A.markers(spark, d)))
 
 
 @query

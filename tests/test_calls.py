@@ -1,6 +1,7 @@
 """Cleaning, decoding and calls against plain loops."""
 
 import math
+import os
 import random
 
 from chiasma.operators import genotypes, hmm, marey, switches
@@ -59,12 +60,43 @@ def test_viterbi_matches_loop(spark):
     coords = sorted(rng.sample(range(1, 90_000_000), 40))
     samples = [[("A" if (i // 9 + s) % 2 else "B") if rng.random() < 0.8 else rng.choice("AB-") for i in range(40)] for s in range(8)] + [["-"] * 40]
     rows = [("m", i, 1, c, f"S{i}", "".join(s[i] for s in samples)) for i, c in enumerate(coords)] + [("one", 0, 2, 5, "T", "B-" + "A" * 7)]
-    got = {(r["map"], r["dense_idx"]): r["path"] for r in hmm.path_strings(hmm.viterbi(hmm.trellis(spark.createDataFrame(rows, SCHEMA)))).collect()}
+    got = {(r["map"], r["dense_idx"]): r["path"] for r in hmm.path_strings(hmm.viterbi(spark.createDataFrame(rows, SCHEMA))).collect()}
     for s, obs in enumerate(samples):
         assert got[("m", s)] == decode(obs, coords)
     assert got[("m", 8)] == "0" * 40 and got[("one", 0)] == "1" and got[("one", 1)] == "0"
 
 
+def test_viterbi_over_seams(spark):
+    """Stretches of a few markers, two blocks of samples, ties, strings that are too short, several markers at one place."""
+    rng = random.Random(8)
+    coords = sorted(rng.choice(range(0, 30_000_000, 250_000)) for _ in range(95))
+    samples = [[("A" if (i // 11 + s) % 2 else "B") if rng.random() < 0.7 else rng.choice("AB---") for i in range(95)] for s in range(70)]
+    rows = [("m", i, c % 2, co, f"S{i:03d}", "".join(s[i] for s in samples)[: 66 if i % 10 == 3 else 70]) for c in (1, 2) for i, co in enumerate(coords)]
+    paths = hmm.viterbi(spark.createDataFrame(rows, SCHEMA), size=7, width=1 << 20).cache()
+    assert paths.selectExpr("max(size(markers))").first()[0] == 7
+    got = {(r["chromosome"], r["dense_idx"]): r["path"] for r in hmm.path_strings(paths).collect()}
+    want = {s: decode([x if s < 66 or i % 10 != 3 else "-" for i, x in enumerate(samples[s])], coords) for s in range(70)}
+    assert got == {(c, s): want[s] for c in (0, 1) for s in range(70)}
+    events = {(r["chromosome"], r["dense_idx"], r["left_snp"], r["right_snp"], r["left_state"], r["right_state"]) for r in hmm.state_changes(paths).collect()}
+    assert events == {(c, s, f"S{i - 1:03d}", f"S{i:03d}", "AB"[int(p[i - 1])], "AB"[int(p[i])]) for c in (0, 1) for s, p in want.items() for i in range(1, 95) if p[i] != p[i - 1]}
+
+
+def test_viterbi_of_a_long_chromosome(spark):
+    """One chromosome: rows stay of bounded size, and the changes are those of the loop. 5,000,000 markers take three minutes."""
+    n = int(os.environ.get("CHIASMA_TEST_MARKERS", "500000"))
+    one, two = n * 3 // 25 + 7, n // 4 + 3
+    shown = f"case when id % 11 = 0 then '-' when (id * 7919) % 13 = 0 then 'B' when (id div {one}) % 2 = 0 then 'A' else 'B' end"
+    other = f"if((id div {two}) % 2 = 0, 'B', 'A')"
+    rows = spark.range(n).selectExpr("'m' map", "1 chromosome", "id * 20 coordinate", "string(id) snp_name", f"concat({shown}, {other}) genotypes")
+    paths = hmm.viterbi(rows)
+    assert paths.selectExpr("max(size(markers))").first()[0] <= 512
+    got = sorted((r["dense_idx"], int(r["right_snp"])) for r in hmm.state_changes(paths).select("dense_idx", "right_snp").collect())
+    first = decode(["-" if i % 11 == 0 else "B" if i * 7919 % 13 == 0 or i // one % 2 else "A" for i in range(n)], range(0, 20 * n, 20))
+    changes = [i for i in range(1, n) if first[i] != first[i - 1]]
+    assert len(changes) >= 8
+    assert got == sorted([(0, i) for i in changes] + [(1, two * k) for k in (1, 2, 3)])
+
+
 def test_dedup_ties(spark):
     rows = [("m", 0, 1, 10, "b", "AB-----"), ("m", 1, 1, 10, "c", "AB-----"), ("m", 2, 1, 10, "a", "A------"), ("m", 3, 1, 20, "x", "AAAAAAA"), ("m", 4, 1, 20, "x", "BBBBBBB"), ("m", 5, 1, 30, "p", "AB-"), ("m", 6, 1, 30, "a", "AB")]
     got = {r["coordinate"]: (r["snp_name"], r["genotypes"]) for r in genotypes.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()}
@@ -107,6 +139,24 @@ def test_switches(spark):
     assert sorted(kept) == [("s00", "s02"), ("s05", "s06")]
 
 
+def test_runs_over_seams(spark):
+    rng = random.Random(9)
+    coords = sorted(rng.randrange(0, 40_000_000) for _ in range(60)) + [41_000_000] * 20
+    samples = ["".join(rng.choice(("A", "A", "-") if (i // 13 + s) % 2 else ("B", "-", "-", "-")) for i in range(80)) for s in range(67)] + ["-" * 80]
+    rows = [("m", i, 1, c, f"S{i:03d}", "".join(s[i] for s in samples)) for i, c in enumerate(coords)]
+    got = {(r["sample_idx"], r["run"]): (r["state"], r["n_markers"], r["first_snp"], r["last_snp"], r["span"]) for r in switches.runs(spark.createDataFrame(rows, SCHEMA), size=4, width=1 << 21).collect()}
+    want = {}
+    for s, g in enumerate(samples):
+        seen, k = [(i, x) for i, x in enumerate(g) if x != "-"], 0
+        while seen:
+            own = []
+            while seen and (not own or seen[0][1] == own[0][1]):
+                own.append(seen.pop(0))
+            k += 1
+            want[s, k] = (own[0][1], len(own), f"S{own[0][0]:03d}", f"S{own[-1][0]:03d}", coords[own[-1][0]] - coords[own[0][0]])
+    assert got == want
+
+
 def test_marey(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 9, "b"), (1, 9_000_000, "a"), (2, 4, "a")], "chromosome int, event_bp long, sample_id string")
     got = sorted((r["chromosome"], r["rank"], r["event_bp"], r["cumulative"]) for r in marey.marey_curve(df, width=8).collect())
