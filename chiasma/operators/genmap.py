@@ -1,4 +1,4 @@
-"""Genetic map positions by monotone cubic interpolation (PCHIP), as windows over the knots.
+"""Genetic map positions by monotone cubic interpolation (PCHIP), as windows over blocks of knots with halos.
 
 Knots: chrom, bp, cm, one row per bp. Slopes at inner knots are the weighted harmonic mean of the neighbouring
 secants (0 where they differ in sign), at the ends the three-point formula, kept monotone (Fritsch and Carlson;
@@ -10,7 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import point_in_window
+from ..sources.shared import stored
+from .asof import latest
+from .ordered import WIDTH, haloed, numbered
+
+#: Knots to a block.
+KNOTS = 4096
 
 
 def correct_blocks(markers: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -30,15 +35,18 @@ def correct_blocks(markers: DataFrame, blocks: DataFrame) -> DataFrame:
 def anchored(markers: DataFrame, lengths: DataFrame) -> DataFrame:
     """Knots: cM from 0, one row per bp (the smallest cM), with anchors at 0 and at the chromosome's end."""
     per = markers.groupBy("chrom").agg(F.min("cm").alias("least"), (F.max("cm") - F.min("cm")).alias("span"))
-    rows = markers.join(F.broadcast(per), "chrom").select("chrom", "bp", (F.col("cm") - F.col("least")).alias("cm"))
-    ends = per.join(F.broadcast(lengths), "chrom").select("chrom", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("bp"), F.lit(0.0).alias("cm")), F.struct(F.col("length").alias("bp"), F.col("span").alias("cm")))).alias("e"))
+    rows = markers.join(per, "chrom").select("chrom", "bp", (F.col("cm") - F.col("least")).alias("cm"))
+    ends = per.join(lengths, "chrom").select("chrom", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("bp"), F.lit(0.0).alias("cm")), F.struct(F.col("length").alias("bp"), F.col("span").alias("cm")))).alias("e"))
     every = rows.unionByName(ends.select("chrom", "e.bp", "e.cm"))
     return every.groupBy("chrom", "bp").agg(F.min("cm").alias("cm"))
 
 
-def pieces(knots: DataFrame) -> DataFrame:
-    """One row per pair of neighbouring knots: chrom, w_start, w_end, y0, y1, d0, d1 (values and slopes)."""
-    w = Window.partitionBy("chrom").orderBy("bp")
+def pieces(knots: DataFrame, size: int = KNOTS, width: int = WIDTH) -> DataFrame:
+    """One row per pair of neighbouring knots: chrom, w_start, w_end, y0, y1, d0, d1 (values and slopes), and whether it is
+    the chromosome's ``last``. A slope needs two knots to each side, which blocks of knots have from their neighbours.
+    """
+    knots = haloed(numbered(stored(knots.select("chrom", "bp", "cm"), "knots"), ["chrom"], "bp", ["bp"], width), size, 2)
+    w = Window.partitionBy("chrom", "_block").orderBy("_number")
     x, y = F.col("bp").cast("double"), F.col("cm")
     rows = knots.withColumns({"h": F.lead(x).over(w) - x, "s": (F.lead(y).over(w) - y) / (F.lead(x).over(w) - x)})
     rows = rows.withColumns({"h_": F.lag("h").over(w), "s_": F.lag("s").over(w), "hn": F.lead("h").over(w), "sn": F.lead("s").over(w), "hp": F.lag("h", 2).over(w), "sp": F.lag("s", 2).over(w)})
@@ -51,19 +59,21 @@ def pieces(knots: DataFrame) -> DataFrame:
 
     slope = F.when(s_.isNull(), edge(h, s, F.col("hn"), F.col("sn"))).when(s.isNull(), edge(h_, s_, F.col("hp"), F.col("sp"))).otherwise(inner)
     rows = rows.withColumn("d", slope)
-    return rows.select("chrom", F.col("bp").alias("w_start"), F.lead("bp").over(w).alias("w_end"), F.col("cm").alias("y0"), F.lead("cm").over(w).alias("y1"), F.col("d").alias("d0"), F.lead("d").over(w).alias("d1")).filter("w_end is not null")
+    rows = rows.select("chrom", "_own", F.col("bp").alias("w_start"), F.lead("bp").over(w).alias("w_end"), F.col("cm").alias("y0"), F.lead("cm").over(w).alias("y1"), F.col("d").alias("d0"), F.lead("d").over(w).alias("d1"), F.lead("bp", 2).over(w).isNull().alias("last"))
+    return rows.filter("_own and w_end is not null").drop("_own")
 
 
-def interpolate(points: DataFrame, knots: DataFrame, bucket: int = 1 << 22) -> DataFrame:
+def interpolate(points: DataFrame, knots: DataFrame, size: int = KNOTS, width: int = WIDTH) -> DataFrame:
     """``cm`` at each point (chrom, bp and others); points outside the knots get none. The last knot is inside."""
-    p = pieces(knots)
-    last = Window.partitionBy("chrom").orderBy(F.col("w_end").desc())
-    p = p.withColumn("true_end", F.col("w_end")).withColumn("w_end", F.col("w_end") + F.when(F.row_number().over(last) == 1, 1).otherwise(0))
-    rows = point_in_window(points, p, "bp", bucket)
-    h = (F.col("true_end") - F.col("w_start")).cast("double")
-    t = (F.col("bp") - F.col("w_start")) / h
-    value = (1 + 2 * t) * (1 - t) * (1 - t) * F.col("y0") + t * (1 - t) * (1 - t) * h * F.col("d0") + t * t * (3 - 2 * t) * F.col("y1") + t * t * (t - 1) * h * F.col("d1")
-    return rows.withColumn("cm", value).select(*points.columns, "cm")
+    names = ("w_start", "w_end", "y0", "y1", "d0", "d1", "last")
+    events = stored(pieces(knots, size, width).select("chrom", F.col("w_start").alias("at"), F.struct(*names).alias("event")), "pieces")
+    p = {n: F.col(f"event.{n}") for n in names}
+    bp = F.col("point.bp")
+    rows = latest(points, events, ["chrom"], "bp", width).filter((bp < p["w_end"]) | (p["last"] & (bp == p["w_end"])))
+    h = (p["w_end"] - p["w_start"]).cast("double")
+    t = (bp - p["w_start"]) / h
+    value = (1 + 2 * t) * (1 - t) * (1 - t) * p["y0"] + t * (1 - t) * (1 - t) * h * p["d0"] + t * t * (3 - 2 * t) * p["y1"] + t * t * (t - 1) * h * p["d1"]
+    return rows.select("point.*", value.alias("cm"))
 
 
 def annotate(intervals: DataFrame, knots: DataFrame) -> DataFrame:

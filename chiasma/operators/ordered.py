@@ -42,3 +42,20 @@ def stretched(df: DataFrame, keys: list[str], pos: Column, carry: dict[str, tupl
 def within(keys: list[str], *order) -> Window:
     """The window of a stretch."""
     return Window.partitionBy(*keys, "_stretch").orderBy(*order)
+
+
+def numbered(df: DataFrame, keys: list[str], pos: str, order: list[str], width: int = WIDTH) -> DataFrame:
+    """``df`` with ``_number`` from 0 along each key."""
+    rows = stretched(df, keys, F.col(pos), {"_before": ("sum", F.lit(1))}, width)
+    return rows.withColumn("_number", F.col("_before") + F.row_number().over(within(keys, *order)) - 1).drop("_before", "_stretch")
+
+
+def haloed(rows: DataFrame, size: int, halo: int) -> DataFrame:
+    """Numbered rows in blocks (``_block``) of ``size``, with copies (not ``_own``) of ``halo`` rows of each neighbour.
+
+    Every block but a key's last has ``size`` rows, so a halo is short only at the ends of a key.
+    """
+    block, place = F.expr(f"_number div {size}"), F.col("_number") % size
+    at = lambda b, own: F.struct(b.alias("_block"), F.lit(own).alias("_own"))
+    places = F.array_compact(F.array(at(block, True), F.when((place < halo) & (block > 0), at(block - 1, False)), F.when(place >= size - halo, at(block + 1, False))))
+    return rows.withColumn("_at", F.explode(places)).withColumns({"_block": F.col("_at._block"), "_own": F.col("_at._own")}).drop("_at")

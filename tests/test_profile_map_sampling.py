@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from chiasma.operators import genmap, liftover, profile, sampling
+from chiasma.operators import asof, genmap, liftover, profile, sampling
 from chiasma.params import ProfileParams, SimulationParams
 
 GENES = "chr string, start long, end long, strand string, input_ord long"
@@ -73,7 +73,7 @@ def test_pchip_is_monotone_and_meets_knots(spark):
     lengths = spark.createDataFrame([("c", 6_000)], "chrom string, length long")
     knots = genmap.anchored(markers, lengths)
     pts = spark.createDataFrame([("c", x) for x in range(0, 6_001, 1)], "chrom string, bp long")
-    got = {r["bp"]: r["cm"] for r in genmap.interpolate(pts, knots, bucket=512).collect()}
+    got = {r["bp"]: r["cm"] for r in genmap.interpolate(pts, knots, size=5, width=512).collect()}
     assert len(got) == 6_001
     at = [got[x] for x in range(6_001)]
     assert all(b - a > -1e-9 for a, b in zip(at, at[1:], strict=False))
@@ -82,6 +82,36 @@ def test_pchip_is_monotone_and_meets_knots(spark):
     assert got[0] == 0 and abs(got[6_000] - (ys[-1] - ys[0])) < 1e-9
 
 
+def slopes(xs, ys):
+    """The method's slopes, one knot after the other."""
+    h = [b - a for a, b in zip(xs, xs[1:])]
+    d = [(b - a) / w for a, b, w in zip(ys, ys[1:], h)]
+    if len(xs) == 2:
+        return [d[0], d[0]]
+
+    def end(h0, d0, h1, d1):
+        m = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
+        return 0.0 if np.sign(m) != np.sign(d0) else 3 * d0 if np.sign(d0) != np.sign(d1) and abs(m) > 3 * abs(d0) else m
+
+    inner = [0.0 if a * b <= 0 else 3 * (v + w) / ((2 * w + v) / a + (w + 2 * v) / b) for a, b, v, w in zip(d, d[1:], h, h[1:])]
+    return [end(h[0], d[0], h[1], d[1]), *inner, end(h[-1], d[-1], h[-2], d[-2])]
+
+
+def test_pieces_over_seams(spark):
+    rng = random.Random(6)
+    maps = {c: sorted((x, rng.random() * 9) for x in rng.sample(range(10_000), n)) for c, n in (("two", 2), ("three", 3), ("four", 4), ("five", 5), ("eight", 8), ("many", 41))}
+    knots = spark.createDataFrame([(c, x, y) for c, m in maps.items() for x, y in m], "chrom string, bp long, cm double")
+    got = {(r["chrom"], r["w_start"]): (r["w_end"], r["y0"], r["y1"], r["d0"], r["d1"], r["last"]) for r in genmap.pieces(knots, size=4, width=900).collect()}
+    assert len(got) == sum(len(m) - 1 for m in maps.values())
+    for c, m in maps.items():
+        xs, ys = zip(*m, strict=True)
+        d = slopes(xs, ys)
+        for i in range(len(m) - 1):
+            w_end, y0, y1, d0, d1, last = got[c, xs[i]]
+            assert (w_end, y0, y1, last) == (xs[i + 1], ys[i], ys[i + 1], i == len(m) - 2)
+            assert abs(d0 - d[i]) < 1e-12 and abs(d1 - d[i + 1]) < 1e-12
+
+
 def test_corrections_reverse_blocks(spark):
     m = spark.createDataFrame([("c", i, f"M{i}", float(i)) for i in range(6)], "chrom string, bp long, marker string, cm double")
     blocks = spark.createDataFrame([("c", "M1", 1), ("c", "M2", 1), ("c", "M3", 2), ("c", "M4", 2), ("c", "M5", 2)], "chrom string, marker string, block int")
@@ -96,6 +126,17 @@ def test_lift(spark):
     assert got == [("p", "x", 103, 104), ("r", "y", 54, 55), ("r", "z", 7, 8)]
 
 
+def test_blocks_at_points(spark):
+    """Blocks alone, touching, nested, crossing, equal and much longer than the stretches, against every pair."""
+    rng = random.Random(11)
+    spans = [(a, a + rng.choice((1, 2, 7, 64, 500))) for a in rng.sample(range(0, 60_000), 150)] + [(61_000, 90_000), (61_500, 61_501), (70_000, 70_064), (70_000, 70_064), (90_000, 90_010), (95_000, 95_000)]
+    blocks = spark.createDataFrame([(c, a, b, i) for c in "ab" for i, (a, b) in enumerate(spans)], "chrom string, w_start long, w_end long, n long")
+    places = sorted({x + d for a, b in spans for x in (a, b) for d in (-1, 0) if x + d >= 0} | set(rng.sample(range(100_000), 500)))
+    points = spark.createDataFrame([("abz"[i % 3], x, f"p{i}") for i, x in enumerate(places)], "chrom string, at long, event string")
+    got = sorted((r["event"], r["n"]) for r in asof.blocks_at(points.withColumnRenamed("at", "start"), blocks, "start", width=1000).select("point.event", "block.n").collect())
+    assert got == sorted((f"p{i}", n) for i, x in enumerate(places) if "abz"[i % 3] != "z" for n, (a, b) in enumerate(spans) if a <= x < b)
+
+
 def test_simulated_regions(spark):
     genes = spark.createDataFrame([("chr1", 20_000 * i + 100, 20_000 * i + 15_000, "+-."[i % 3]) for i in range(20)], "chrom string, start long, end long, strand string")
     chroms = spark.createDataFrame([("chr1", 420_000), ("chr2", 90_000)], "chrom string, length long")
