@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import midpoint
 from ..params import ProfileParams
-from .intervals import overlapping, point_in_window
 from .ordered import WIDTH, stretched, within
 
+#: Positions over which running sums of signal go on.
+SUMS_WIDTH = 1 << 20
+
 
 def flank_bounds(genes: DataFrame, flank: int, width: int = WIDTH) -> DataFrame:
     """low and high: how far a gene's flanks reach before the ends of earlier genes and the next gene's start.
@@ -55,27 +57,50 @@ def slots(bounded: DataFrame, p: ProfileParams) -> DataFrame:
     return counted.withColumn("s", F.explode(at)).select("input_ord", "chr", "s.part", "s.i", "s.slot", "s.w_start", (F.col("s.w_start") + b).alias("w_end"))
 
 
-def window_sums(windows: DataFrame, signal: DataFrame, size: int, uniform: bool = False) -> DataFrame:
+def _pieces(spans: DataFrame, keys: list[str], start: str, end: str, width: int) -> DataFrame:
+    """Spans cut at the borders of stretches: ``keys``, _stretch, _a, _b; nearly all lie in one."""
+    at = F.explode(F.sequence(F.floor(F.col(start) / F.lit(width)), F.floor((F.col(end) - 1) / F.lit(width))))
+    rows = spans.filter(F.col(end) > F.col(start)).select(*keys, F.col(start).alias("_a"), F.col(end).alias("_b"), at.alias("_stretch"))
+    return rows.withColumns({"_a": F.greatest("_a", F.col("_stretch") * width), "_b": F.least("_b", (F.col("_stretch") + 1) * width)})
+
+
+def window_sums(windows: DataFrame, signal: DataFrame, uniform: bool = False, width: int = SUMS_WIDTH) -> DataFrame:
     """``value`` of each window: of signal midpoints in it, or of signal spread evenly over its interval.
 
-    A window without signal counts with 0. The join's buckets are a few times the windows' ``size``, so that few
-    pairs are met that do not belong together, however dense the signal is.
+    No pairs are listed: signal and the edges of windows are sorted in one table, and a window is the running sum at its
+    end less that at its start. Spread signal makes a sum that is linear between its ends: a slope A and an offset B,
+    worth A x - B at x. Sums begin anew in each stretch of ``width`` positions, at whose borders windows and spread
+    signal are cut, so a difference loses no more than the sums of one stretch can. Signal at one place is summed
+    before. A window without signal counts with exactly 0; values that are null or not finite are left out.
     """
     keys = windows.columns
-    bucket = size * (8 if uniform else 2)
-    w = windows.withColumnRenamed("chr", "chrom")
-    s = signal.withColumnRenamed("chr", "chrom")
+    s = signal.filter(~F.isnan("value") & (F.abs("value") < float("inf")))
     if uniform:
-        pairs = overlapping(s, w, bucket).withColumn("v", F.col("value") * F.col("overlap") / F.greatest(F.col("end") - F.col("start"), F.lit(1)))
+        s = _pieces(s.withColumn("w", F.col("value") / (F.col("end") - F.col("start"))), ["chr", "w"], "start", "end", width)
+        base = F.col("_stretch") * width
+        change = lambda pos, sign: F.struct(F.col(pos).alias("pos"), (F.col("w") * sign).alias("a"), (F.col("w") * sign * (F.col(pos) - base)).alias("b"), F.lit(sign).alias("open"))
+        s = s.select("chr", "_stretch", F.explode(F.array(change("_a", 1), change("_b", -1))).alias("e")).select("chr", "_stretch", "e.*")
     else:
-        pairs = point_in_window(s.withColumn("mid", midpoint(F.col("start"), F.col("end"))).select("chrom", "mid", "value"), w, "mid", bucket).withColumn("v", F.col("value"))
-    found = pairs.withColumnRenamed("chrom", "chr").select(*keys, F.col("v").cast("double").alias("v"))
-    return found.union(windows.select(*keys, F.lit(0.0).alias("v"))).groupBy(*keys).agg(F.sum("v").alias("value"))
+        s = s.select("chr", midpoint(F.col("start"), F.col("end")).alias("pos"), "value")
+        s = s.select("chr", F.floor(F.col("pos") / F.lit(width)).alias("_stretch"), "pos", F.lit(0.0).alias("a"), (-F.col("value")).alias("b"), F.lit(0).alias("open"))
+    s = s.groupBy("chr", "_stretch", "pos").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("open").alias("open"))
+    edge = lambda pos, sign: F.struct(F.col(pos).alias("pos"), F.lit(sign).alias("sign"))
+    w = _pieces(windows.select("*", F.struct(*keys).alias("_window")), ["chr", "_window"], "w_start", "w_end", width)
+    w = w.select("chr", "_stretch", F.explode(F.array(edge("_a", -1), edge("_b", 1))).alias("e"), "_window").select("chr", "_stretch", "e.pos", "e.sign", "_window")
+    zero = {"a": F.lit(0.0), "b": F.lit(0.0), "open": F.lit(0).cast("long")}
+    rows = w.withColumns(zero | {"_n": F.lit(0)}).unionByName(s.withColumn("_n", F.lit(1)), allowMissingColumns=True)
+    # an edge comes before signal at its place: that belongs to the window that begins there
+    upto = Window.partitionBy("chr", "_stretch").orderBy("pos", "_n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({c: F.sum(c).over(upto) for c in ("a", "b", "open", "_n")}).filter("sign is not null")
+    at = F.col("sign") * (F.col("a") * (F.col("pos") - F.col("_stretch") * width) - F.col("b"))
+    touched = F.sum(F.col("sign") * F.col("_n")) + F.sum(F.when(F.col("sign") < 0, F.col("open")).otherwise(0))
+    g = rows.groupBy("_window").agg(F.when(touched > 0, F.sum(at)).otherwise(0.0).alias("value"))
+    return g.select("_window.*", "value")
 
 
 def profile(genes: DataFrame, signal: DataFrame, p: ProfileParams) -> DataFrame:
     """slot, mean, se (population), n of all slots; null where no window falls."""
-    values = window_sums(slots(flank_bounds(genes, p.flanking_bp), p), signal, p.bin_size, p.uniform)
+    values = window_sums(slots(flank_bounds(genes, p.flanking_bp), p), signal, p.uniform)
     g = values.groupBy("slot").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"), F.count("*").alias("n"))
     spine = genes.sparkSession.range(p.total).select(F.col("id").cast("int").alias("slot"))
     g = spine.join(F.broadcast(g), "slot", "left")  # one row a slot at most

@@ -259,13 +259,13 @@ def metaplot_slots(spark, d):
 
 @query
 def midpoint_range_join(spark, d):
-    return profile.window_sums(profile.slots(_bounded(spark, d), PROFILE), A.signal(spark, d), PROFILE.bin_size)
+    return profile.window_sums(profile.slots(_bounded(spark, d), PROFILE), A.signal(spark, d))
 
 
 @query
 def uniform_overlap_join(spark, d):
     w = profile.slots(_bounded(spark, d), PROFILE)
-    return profile.window_sums(w, A.signal(spark, d), PROFILE.bin_size, uniform=True).withColumn("value", F.round("value", 6))
+    return profile.window_sums(w, A.signal(spark, d), uniform=True).withColumn("value", F.round("value", 6) + 0.0)
 
 
 def _profile(spark, d, uniform):

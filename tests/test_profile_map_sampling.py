@@ -59,6 +59,23 @@ def test_profile_matches_loop(spark):
             assert r["mean"] is None and r["se"] is None
 
 
+@pytest.mark.parametrize("uniform", [False, True])
+def test_window_sums_over_seams(spark, uniform):
+    """Windows and signal across stretches, signal over several of them, many rows at one place, values that do not count."""
+    rng = random.Random(12)
+    signal = [("c", a := rng.randrange(2000), a + rng.choice((0, 1, 5, 60, 700)), rng.random() * 10 - 3) for _ in range(150)]
+    signal += [("c", 500, 502, 1.5)] * 80 + [("c", 0, 2500, 7.0), ("c", 10, 20, None), ("c", 10, 20, float("nan")), ("c", 30, 31, float("inf")), ("d", 5, 9, 2.0)]
+    windows = [("c", i, a := rng.randrange(2400), a + rng.choice((1, 10, 100, 333))) for i in range(120)] + [("c", 200, 9000, 9100), ("d", 201, 9, 20), ("e", 202, 0, 5), ("d", 203, 7, 8)]
+    df = profile.window_sums(spark.createDataFrame(windows, "chr string, i int, w_start long, w_end long"), spark.createDataFrame(signal, "chr string, start long, end long, value double"), uniform, width=64)
+    got = {r["i"]: r["value"] for r in df.collect()}
+    assert len(got) == len(windows)
+    for c, i, a, b in windows:
+        own = [(x, y, v) for k, x, y, v in signal if k == c and v is not None and abs(v) < float("inf")]
+        want = sum(v * max(0, min(b, y) - max(a, x)) / (y - x) for x, y, v in own if y > x) if uniform else sum(v for x, y, v in own if a <= (x + y) // 2 < b)
+        assert abs(got[i] - want) < 1e-9
+    assert got[200] == got[201] == got[202] == 0
+
+
 def test_tumbling_drops_remainders(spark):
     df = spark.createDataFrame([("c", 0, 25, "+", 0), ("c", 5, 9, "+", 1)], GENES)
     got = sorted((r["left_start"], r["right_start"]) for r in profile.tumbling_bins(df, 10).collect())
