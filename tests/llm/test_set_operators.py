@@ -268,3 +268,12 @@ def test_nearest(spark):
     twice = spark.createDataFrame([(50, [1.0, 0.0], 0), (50, [0.0, 1.0], 0), (1, [1.0, 0.1], 0), (1, [0.0, 2.0], 0), (2, [1.0, 1.0], 0)], "vec_id long, embedding array<double>, rank int")
     assert [(r["vec_id"], round(r["score"], 6)) for r in vectors.nearest(twice).orderBy("rank").collect()] == [(1, 1.0), (2, 0.707107), (1, 0.099504)]
     assert vectors.nearest(df.filter("vec_id < 0")).count() == 0
+
+
+def test_texts_that_share_an_id(make):
+    """Neither text goes because of the other's id; repeated rows and copies under other ids do."""
+    a, b = "one text of more than five words here", "another that is wholly unlike the first of them"
+    docs = make([(1, a, "en", "s"), (1, b, "en", "s"), (2, a, "en", "s"), (1, a, "en", "s"), (3, b, "de", "t")])
+    docs = docs.selectExpr("*", "1 _kept", "2 _kept_key", "'x' _kept_id", "3 _text_key", "4 root")
+    kept = near_dup.keep_one(docs).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (1, b)]) and kept[0]["_text_key"] == 3
