@@ -15,7 +15,7 @@ def marey_curve(events: DataFrame, width: int = WIDTH) -> DataFrame:
     samples = samples_per_chromosome(events)
     rows = stretched(events, ["chromosome"], F.col("event_bp"), {"before": ("sum", F.lit(1))}, width)
     rank = (F.col("before") + F.row_number().over(within(["chromosome"], "event_bp", "sample_id"))).cast("long")
-    rows = rows.withColumn("rank", rank).join(F.broadcast(samples), "chromosome")  # one row a chromosome
+    rows = rows.withColumn("rank", rank).join(samples, "chromosome")
     return rows.select("chromosome", "rank", "event_bp", (F.col("rank") / F.col("n_samples")).alias("cumulative"))
 
 

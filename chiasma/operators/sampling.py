@@ -18,7 +18,7 @@ def draw(index: Column, kind: str, n: int, total: Column, seed: int = 25) -> Col
 
 def gene_classes(genes: DataFrame, lengths: DataFrame, flank: int = 5_000) -> DataFrame:
     """five_prime, three_prime and body spans: chrom, start, end, class. Any strand but + is minus."""
-    g = genes.join(F.broadcast(lengths.select("chrom", "length")), "chrom")
+    g = genes.join(lengths.select("chrom", "length"), "chrom")
     before = F.struct(F.greatest(F.col("start") - flank, F.lit(0)).alias("start"), F.least("start", "length").alias("end"))
     behind = F.struct(F.greatest(F.col("end"), F.lit(0)).alias("start"), F.least(F.col("end") + flank, F.col("length")).alias("end"))
     plus = F.col("strand") == "+"
@@ -44,7 +44,7 @@ def cumulative(intervals: DataFrame, keys: list[str], order: list[str], weight:
     per = intervals.groupBy(*keys, "chrom").agg(F.sum(weight).alias("_w"))
     along = Window.partitionBy(*keys).orderBy("chrom")
     per = per.withColumn("_before", F.coalesce(F.sum("_w").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_w")
-    rows = rows.join(F.broadcast(per), [*keys, "chrom"])
+    rows = rows.join(per, [*keys, "chrom"])
     return rows.withColumns({"hi": F.col("_before") + F.col("_in"), "lo": F.col("_before") + F.col("_in") - F.col(weight)}).drop("_in", "_before")
 
 
@@ -107,7 +107,7 @@ def points(idx: DataFrame, annotation: DataFrame, kind: str, seed: int = 25) ->
 
 def enriched_regions(drawn: DataFrame, annotation: DataFrame, chroms: DataFrame, kind: str, seed: int = 25) -> DataFrame:
     """A region of each drawn length over a point of the annotation, kept on its chromosome."""
-    rows = points(drawn, annotation, kind, seed).join(F.broadcast(chroms.select("chrom", F.col("length").alias("size"))), "chrom")
+    rows = points(drawn, annotation, kind, seed).join(chroms.select("chrom", F.col("length").alias("size")), "chrom")
     start = F.col("point") - draw(F.col("idx"), kind, 2, F.col("length"), seed)
     start = F.greatest(F.least(F.greatest(start, F.lit(0)), F.col("size") - F.col("length")), F.lit(0))
     rows = rows.withColumn("start", start)

@@ -96,7 +96,7 @@ def read_gene_spans(spark: SparkSession, path: str, lengths: DataFrame) -> DataF
     """Genes for region classes: chrom (known ones), start (0-based), end, strand as it is. Whole-line comments only."""
     rows = _gff(spark, path, False).filter((F.col("feature") == "gene") & (F.col("fields") >= 9))
     rows = rows.select(chrom_name_strict(F.col("chr")).alias("chrom"), (_long(F.col("start")) - 1).alias("start"), _long(F.col("end")).alias("end"), "strand")
-    return rows.join(F.broadcast(lengths.select("chrom")), "chrom", "left_semi")
+    return rows.join(lengths.select("chrom"), "chrom", "left_semi")
 
 
 def read_signal(spark: SparkSession, path: str) -> DataFrame:
