@@ -138,9 +138,7 @@ def written_matrices(spark, d):
     """The lines of each map's matrix file, numbered."""
     path = f"{fresh_folder(spark, 'matrices')}/table"
     sinks.write_clean_matrix(genotypes.clean(A.markers(spark, d)), path)
-    rows = readers.in_file_order(spark.read.text(path).withColumn("map", F.col("map").cast("string")), ["map", "value"])
-    first = rows.groupBy("map").agg(F.min("input_ord").alias("_first"))
-    return rows.join(first, "map").select("map", "value", (F.col("input_ord") - F.col("_first")).alias("line"))
+    return sinks.read_clean_matrix(spark, path)
 
 
 @query

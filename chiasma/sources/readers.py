@@ -16,7 +16,7 @@ NUMBERED = 1 << 20
 MISSING = ["", "NA", "N/A", "NULL", "null", "NaN", "nan", "n/a", "None", "#N/A", "<NA>"]
 
 
-def in_file_order(rows: DataFrame, columns: list[str]) -> DataFrame:
+def in_file_order(rows: DataFrame, columns: list[str | Column]) -> DataFrame:
     """``columns`` of a file scan and ``input_ord``, numbers that ascend by file name and place in the file.
 
     Spark deals pieces of files to tasks in an order of its own, so a row's running id is taken from where its piece
@@ -25,7 +25,7 @@ def in_file_order(rows: DataFrame, columns: list[str]) -> DataFrame:
     own = rows.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at")).withColumn("_id", F.monotonically_increasing_id())
     per = own.groupBy("_file", "_at").agg(F.min("_id").alias("_first"), (F.max("_id") - F.min("_id") + 1).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_file", "_at")) - F.col("_n") - F.col("_first")
-    return own.join(per.select("_file", "_at", before.alias("_before")), ["_file", "_at"]).select(*columns, (F.col("_id") + F.col("_before")).alias("input_ord"))
+    return own.join(per.select("_file", "_at", before.alias("_before")), ["_file", "_at"]).select(*own.columns[:-3], (F.col("_id") + F.col("_before")).alias("input_ord"))
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -131,27 +131,42 @@ def read_centromeres(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col(f"`{a}`").alias("line"), F.col(f"`{b}`").alias("chrom"), _long(F.col(f"`{c}`")).alias("start"), (_long(F.col(f"`{d}`")) + 1).alias("end"), (F.col(f"`{f}`") == "Y").alias("assembled"))
 
 
-def read_chain(spark: SparkSession, path: str) -> DataFrame:
-    """Aligned blocks of a chain file, as ``lift_points`` takes them.
+def read_chain(spark: SparkSession, path: str | list[str], width: int = NUMBERED) -> DataFrame:
+    """Aligned blocks of chain files, as ``lift_points`` takes them.
 
-    A chain is a header and lines of (size, gap on the source, gap on the target); they are read whole, one row a
-    chain, so a chain has to fit in a task.
+    A chain is a header and lines of (size, gap on the source, gap on the target). A line belongs to the last header
+    before it, and its block begins where the sums of the lines since that header end. Headers and sums are carried
+    over stretches of ``width`` lines, so a chain of any length is read by many tasks. Lines that begin with no digit,
+    and lines before a header, do not count; a block and what follows it in its chain are left out where a field is no
+    whole number. All sizes and gaps of the files together have to stay below 2^63.
     """
-    rows = spark.read.text(path, lineSep="\n\n").withColumn("_l", F.split(F.trim("value"), "\n")).filter("value like '%chain %'")
-    head = F.split(F.get(F.filter("_l", lambda x: x.startswith("chain")), F.lit(0)), r"\s+")
-    rows = rows.withColumn("h", head).withColumn("body", F.filter("_l", lambda x: x.rlike("^[0-9]")))
-    rows = rows.select(*[F.get("h", F.lit(i)).alias(n) for i, n in ((2, "chrom"), (5, "s"), (7, "t_chrom"), (8, "t_size"), (9, "t_strand"), (10, "t"))], "body")
-    step = F.transform("body", lambda x: F.transform(F.split(x, r"\s+"), lambda n: n.try_cast("bigint")))
-    zero = F.struct(F.col("s").cast("bigint").alias("s"), F.col("t").cast("bigint").alias("t"), F.array().cast("array<struct<s:bigint,t:bigint,n:bigint>>").alias("out"))
-
-    def add(a: Column, x: Column) -> Column:
-        n, ds, dt = F.get(x, F.lit(0)), F.coalesce(F.get(x, F.lit(1)), F.lit(0)), F.coalesce(F.get(x, F.lit(2)), F.lit(0))
-        return F.struct((a["s"] + n + ds).alias("s"), (a["t"] + n + dt).alias("t"), F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), a["t"].alias("t"), n.alias("n")))).alias("out"))
-
-    rows = rows.withColumn("b", F.explode(F.aggregate(step, zero, add)["out"]))
+    part = F.split(F.trim("line"), r"\s+")
+    number = lambda i: F.get(part, F.lit(i)).try_cast("bigint")
+    gap = lambda i: F.when(F.size(part) > i, number(i)).otherwise(F.lit(0).cast("bigint"))
+    is_head = F.col("line").startswith("chain")
+    text = {n: F.get(part, F.lit(i)) for i, n in ((2, "chrom"), (7, "t_chrom"), (9, "t_strand"))}
+    whole = {n: number(i) for i, n in ((5, "s"), (8, "t_size"), (10, "t"))}
+    lines = _lines(spark, path).filter(is_head | F.col("line").rlike("^[0-9]"))
+    lines = lines.select("input_ord", F.when(is_head, F.struct(*[c.alias(n) for n, c in (text | whole).items()])).alias("head"), *[F.when(~is_head, c).alias(n) for n, c in (("n", number(0)), ("ds", gap(1)), ("dt", gap(2)))])
+    lines = stored(lines, "chain-lines")
+    wrong = (F.col("head").isNull() & (F.col("n").isNull() | F.col("ds").isNull() | F.col("dt").isNull())).cast("int")
+    zero = F.lit(0).cast("bigint")
+    sums = {"s_sum": F.coalesce(F.col("n") + F.col("ds"), zero), "t_sum": F.coalesce(F.col("n") + F.col("dt"), zero), "wrong": wrong}
+    rows = stretched(lines, [], F.col("input_ord"), {f"_{c}": ("sum", v) for c, v in sums.items()}, width)
+    upto = within([], "input_ord").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({c: F.col(f"_{c}") + F.sum(v).over(upto) for c, v in sums.items()}).drop("_stretch", *[f"_{c}" for c in sums])
+    # the last header, with the sums up to it
+    head = F.when(F.col("head").isNotNull(), F.struct("input_ord", "head", *sums))
+    rows = stretched(rows, [], F.col("input_ord"), {"_last": ("max", head)}, width)
+    rows = rows.withColumn("h", F.coalesce(F.last(head, ignorenulls=True).over(upto), F.col("_last")))
+    rows = rows.filter("head is null and h is not null and wrong = h.wrong")
+    at_s = F.col("h.head.s") + F.col("s_sum") - F.col("h.s_sum") - F.col("n") - F.col("ds")
+    at_t = F.col("h.head.t") + F.col("t_sum") - F.col("h.t_sum") - F.col("n") - F.col("dt")
+    rows = rows.select("h.head.*", "n", at_s.alias("at_s"), at_t.alias("at_t"))
     # coordinates of a - target run on its reverse strand
-    start = F.when(F.col("t_strand") == "-", F.col("t_size").cast("bigint") - F.col("b.t") - F.col("b.n")).otherwise(F.col("b.t"))
-    return rows.select("chrom", F.col("b.s").alias("w_start"), (F.col("b.s") + F.col("b.n")).alias("w_end"), "t_chrom", start.alias("t_start"), "t_strand")
+    start = F.when(F.col("t_strand") == "-", F.col("t_size") - F.col("at_t") - F.col("n")).otherwise(F.col("at_t"))
+    rows = rows.select("chrom", F.col("at_s").alias("w_start"), (F.col("at_s") + F.col("n")).alias("w_end"), "t_chrom", start.alias("t_start"), "t_strand")
+    return rows.dropna(subset=["w_start", "t_start"])
 
 
 def read_map_markers(spark: SparkSession, path: str, columns: tuple[str, str, str, str] = ("chr", "pos", "cM", "marker")) -> DataFrame:

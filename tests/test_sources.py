@@ -1,6 +1,8 @@
 """Readers and writers on small files."""
 
+import random
 import zipfile
+from urllib.parse import urlparse
 
 from chiasma.operators import hmm  # noqa: F401
 from chiasma.sources import readers, sinks
@@ -77,7 +79,7 @@ def test_events_round_trip(spark, tmp_path):
 def test_matrix_and_bed(spark, tmp_path):
     clean = spark.createDataFrame([("m", 1, 10, "s", "AB-")], "map string, chromosome int, coordinate long, snp_name string, genotypes string")
     sinks.write_clean_matrix(clean, str(tmp_path / "mx"))
-    assert [r["value"] for r in spark.read.text(str(tmp_path / "mx")).collect()] == ["chromosome\tcoordinate\tsnp_name\tm_ind001\tm_ind002\tm_ind003", "1\t10\ts\tA\tB\t-"]
+    assert [r["value"] for r in sinks.read_clean_matrix(spark, str(tmp_path / "mx")).orderBy("line").collect()] == ["chromosome\tcoordinate\tsnp_name\tm_ind001\tm_ind002\tm_ind003", "1\t10\ts\tA\tB\t-"]
     assert sinks.matrix_header(clean).first()["header"].endswith("m_ind001\tm_ind002\tm_ind003")
     sinks.write_bed(spark.createDataFrame([("c", 5, 6, "i")], "chrom string, start long, end long, ident string"), str(tmp_path / "b"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "b")).collect()] == ["c\t5\t6\ti"]
@@ -89,6 +91,58 @@ def test_chain(spark, tmp_path):
     assert got == [("a", 0, 10, "x", 50, "+"), ("a", 15, 30, "x", 70, "+"), ("a", 40, 50, "y", 45, "-")]
 
 
+def test_matrix_in_several_files(spark, tmp_path):
+    """A map's files, one after the other in order of the manifest, are its header and its rows in order."""
+    markers = spark.range(3000).selectExpr("if(id % 10 = 0, '2', '01') map", "int(id % 3) chromosome", "(id * 7919) % 3000 coordinate", "string(id) snp_name", "if(id % 10 = 0, 'AB', 'A-B') genotypes")
+    markers = markers.withColumn("chromosome", markers["chromosome"] + 1).repartition(5)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    folder = str(tmp_path / "mx")
+    try:
+        sinks.write_clean_matrix(markers, folder)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    files = sinks.read_matrix_manifest(spark, folder).collect()
+    assert sum(f["map"] == "01" for f in files) > 2
+    got = {m: [r["value"] for r in sinks.read_clean_matrix(spark, folder).filter(f"map = '{m}'").orderBy("line").collect()] for m in ("01", "2")}
+    for m, lines in got.items():
+        rows = sorted((r["chromosome"], r["coordinate"], r["snp_name"], r["genotypes"]) for r in markers.filter(f"map = '{m}'").collect())
+        assert lines[0].startswith("chromosome\tcoordinate\tsnp_name\t") and lines[1:] == ["\t".join([str(c), str(p), n, *g]) for c, p, n, g in rows]
+        joined = []
+        for f in sorted((f for f in files if f["map"] == m), key=lambda f: f["first_line"]):
+            own = open(urlparse(f["file"]).path).read().splitlines()
+            assert f["first_line"] == len(joined) and f["lines"] == len(own)
+            joined += own
+        assert joined == lines
+
+
+def test_chain_against_a_loop(spark, tmp_path):
+    """Chains over several files and many stretches, with and without blank lines between them, bad lines among them."""
+    rng = random.Random(3)
+    files, want = [], []
+    for name in "ab":
+        lines = ["##note", "5\t1\t1"] if name == "a" else []
+        for c in range(12):
+            s, t, size, strand = rng.randrange(1000), rng.randrange(1000), 10**6, rng.choice("+-")
+            lines.append(f"chain 9 c{c % 4} {size} + {s} 0 t{c % 3} {size} {strand} {t} 0 {c}")
+            n_lines, bad = rng.choice([0, 1, 2, 90]), rng.choice([None, None, 40])
+            for i in range(n_lines):
+                n, ds, dt = rng.randrange(1, 50), rng.randrange(9), rng.randrange(9)
+                last = i == n_lines - 1
+                lines.append(f"{n}x 1 1" if i == bad else str(n) if last else f"{n}\t{ds}\t{dt}")
+                if bad is None or i < bad:
+                    want.append((f"c{c % 4}", s, s + n, f"t{c % 3}", t if strand == "+" else size - t - n, strand))
+                s, t = s + n + ds, t + n + dt
+            lines += rng.choice([[""], [], ["# remark", ""]])
+        files.append(put(tmp_path / f"{name}.chain", "\r\n".join(lines) + "\n"))
+    for width in (7, 1 << 20):
+        got = sorted(tuple(r) for r in readers.read_chain(spark, files, width).collect())
+        assert got == sorted(want)
+    assert readers.read_chain(spark, put(tmp_path / "none.chain", "# nothing\n")).count() == 0
+
+
 def test_xlsx(spark, tmp_path):
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
