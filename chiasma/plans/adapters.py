@@ -50,6 +50,18 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.concat(F.lit("chr"), F.expr("string(o_custkey % 10 + 1)")).alias("chr"), start.alias("start"), (start + 300 + F.expr("(o_orderkey * 37) % 9000")).alias("end"), strand.alias("strand"), F.col("o_orderkey").alias("input_ord"))
 
 
+def region_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes farther apart, every third one longer than both flanks, so that each class of region has parts of its own."""
+    o = genes(spark, sf_dir).drop("start", "end")
+    k = F.col("input_ord")
+    start = k * 2500 + 20_000
+    return o.select(F.col("chr").alias("chrom"), start.alias("start"), (start + 300 + (k * 37) % 9000 + F.when(k % 3 == 0, 14_000).otherwise(0)).alias("end"), "strand", "input_ord")
+
+
+def region_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return region_genes(spark, sf_dir).groupBy("chrom").agg((F.max("end") + 10_000).alias("length"))
+
+
 def stranded_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genes(spark, sf_dir).filter(F.col("strand").isin("+", "-"))
 
@@ -138,6 +150,9 @@ SQL: dict[str, str] = {
     "genes": """
       SELECT 'chr' || (o_custkey % 10 + 1) AS chr, (o_orderkey // 10) * 6000 + o_custkey % 3000 AS start, (o_orderkey // 10) * 6000 + o_custkey % 3000 + 300 + (o_orderkey * 37) % 9000 AS "end",
         CASE o_orderstatus WHEN 'F' THEN '+' WHEN 'O' THEN '-' ELSE '.' END AS strand, o_orderkey AS input_ord FROM orders""",
+    "region_genes": """
+      SELECT chr AS chrom, input_ord * 2500 + 20000 AS start, input_ord * 2500 + 20000 + 300 + (input_ord * 37) % 9000 + CASE WHEN input_ord % 3 = 0 THEN 14000 ELSE 0 END AS "end", strand, input_ord FROM genes""",
+    "region_lengths": """SELECT chrom, max("end") + 10000 AS length FROM region_genes GROUP BY chrom""",
     "stranded": "SELECT * FROM genes WHERE strand IN ('+', '-')",
     "signal": """
       SELECT 'chr' || (l_suppkey % 10 + 1) AS chr, (l_orderkey // 10) * 6000 + (l_partkey * 7) % 6000 AS start, (l_orderkey // 10) * 6000 + (l_partkey * 7) % 6000 + (l_linenumber - 1) * 400 AS "end",

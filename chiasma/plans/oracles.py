@@ -109,7 +109,7 @@ CTES: dict[str, str] = SQL | {
     "gene_classes": """SELECT chrom, s.* FROM (SELECT chrom, unnest([
         CASE WHEN strand = '+' THEN {'start': greatest(start - 5000, 0), 'end': least(start, length), 'class': 'five_prime'} ELSE {'start': greatest("end", 0), 'end': least("end" + 5000, length), 'class': 'five_prime'} END,
         CASE WHEN strand = '+' THEN {'start': greatest("end", 0), 'end': least("end" + 5000, length), 'class': 'three_prime'} ELSE {'start': greatest(start - 5000, 0), 'end': least(start, length), 'class': 'three_prime'} END,
-        {'start': start + 5000, 'end': "end" - 5000, 'class': 'body'}]) AS s FROM genes JOIN lengths ON lengths.chrom = genes.chr) WHERE s."end" > s.start""",
+        {'start': start + 5000, 'end': "end" - 5000, 'class': 'body'}]) AS s FROM region_genes g JOIN region_lengths l USING (chrom)) WHERE s."end" > s.start""",
     "gene_segments": _segments("gene_classes", ["five_prime", "three_prime", "body"]),
     "gene_alone": " UNION ALL ".join(f"""SELECT '{c}' AS class, chrom, start, "end" FROM gene_segments WHERE n_{c} > 0 AND {" + ".join(f"n_{o}" for o in ("five_prime", "three_prime", "body") if o != c)} = 0""" for c in ("five_prime", "three_prime", "body")),
     "gene_parts": _merged("gene_alone", "class, chrom"),
@@ -144,14 +144,14 @@ CTES: dict[str, str] = SQL | {
     "in_blocks": "SELECT *, bp // 20000 AS block, row_number() OVER (PARTITION BY chrom, bp // 20000 ORDER BY bp) AS u, row_number() OVER (PARTITION BY chrom, bp // 20000 ORDER BY bp DESC) AS v FROM map_markers WHERE bp % 7000 < 3000",
     "length_shares": """SELECT length, (sum(n) OVER (ORDER BY length) - n)::BIGINT AS lo, (sum(n) OVER (ORDER BY length))::BIGINT AS hi FROM (SELECT "end" - start AS length, count(*) AS n FROM signal WHERE "end" > start GROUP BY 1)""",
     "drawn": f"SELECT idx, length FROM (SELECT i AS idx, {_draw('i', 'length', 0, '(SELECT max(hi) FROM length_shares)')} AS pick FROM range(1, {N_REGIONS + 1}) r(i)) JOIN length_shares ON pick >= lo AND pick < hi",
-    "rooms": "SELECT idx, d.length, chrom, greatest(l.length - d.length + 1, 0) AS room FROM drawn d, lengths l",
+    "rooms": "SELECT idx, d.length, chrom, greatest(l.length - d.length + 1, 0) AS room FROM drawn d, region_lengths l",
     "uniform_regions": f"SELECT idx, chrom, (pick - lo)::BIGINT AS start, (pick - lo + length)::BIGINT AS \"end\" FROM (SELECT *, {_draw('idx', 'uniform', 1, 'total::BIGINT')} AS pick FROM room_shares WHERE total > 0) WHERE pick >= lo AND pick < hi",
     "room_shares": "SELECT *, sum(room) OVER (PARTITION BY idx ORDER BY chrom) - room AS lo, sum(room) OVER (PARTITION BY idx ORDER BY chrom) AS hi, sum(room) OVER (PARTITION BY idx) AS total FROM rooms",
 } | {
     f"{kind}_shares": f"""SELECT chrom, start, (sum("end" - start) OVER (ORDER BY chrom, start) - ("end" - start))::BIGINT AS lo, (sum("end" - start) OVER (ORDER BY chrom, start))::BIGINT AS hi FROM gene_parts WHERE class = '{kind}'"""
     for kind in ("five_prime", "three_prime", "body")
 } | {
-    f"{kind}_regions": f"""SELECT idx, chrom, start, least(start + len, size) AS "end" FROM (SELECT idx, p.chrom, p.length AS len, l.length AS size, greatest(least(greatest(point - {_draw('idx', kind, 2, 'p.length')}, 0), l.length - p.length), 0) AS start FROM {kind}_points p JOIN lengths l ON l.chrom = p.chrom)"""
+    f"{kind}_regions": f"""SELECT idx, chrom, start, least(start + len, size) AS "end" FROM (SELECT idx, p.chrom, p.length AS len, l.length AS size, greatest(least(greatest(point - {_draw('idx', kind, 2, 'p.length')}, 0), l.length - p.length), 0) AS start FROM {kind}_points p JOIN region_lengths l ON l.chrom = p.chrom)"""
     for kind in ("five_prime", "three_prime", "body")
 } | {
     f"{kind}_points": f"SELECT idx, length, chrom, start + pick - lo AS point FROM (SELECT *, {_draw('idx', kind, 1, f'(SELECT max(hi) FROM {kind}_shares)')} AS pick FROM drawn) JOIN {kind}_shares ON pick >= lo AND pick < hi"
@@ -229,7 +229,7 @@ FINAL: dict[str, str] = {
     "uniform_overlap_join": f"SELECT * REPLACE (round(value, 6) AS value) FROM ({_value('slots', True)})",
     "metaplot_profile": _PROFILE.format(total=_P.total, sums="sums"),
     "metaplot_profile_uniform": _PROFILE.format(total=_P.total, sums="sums_uniform"),
-    "metaplot_ticks": """SELECT slot::INTEGER AS slot, label FROM (VALUES (0, '-1 kb'), (2, '-0.75 kb'), (5, '-0.5 kb'), (7, '-0.25 kb'), (10, 'TSS'), (65, 'TTS'), (67, '+0.25 kb'), (70, '+0.5 kb'), (72, '+0.75 kb'), (74, '+1 kb')) t(slot, label)""",
+    "metaplot_ticks": """SELECT slot, label, mean, n FROM (VALUES (0, '-1 kb'), (2, '-0.75 kb'), (5, '-0.5 kb'), (7, '-0.25 kb'), (10, 'TSS'), (65, 'TTS'), (67, '+0.25 kb'), (70, '+0.5 kb'), (72, '+0.75 kb'), (74, '+1 kb')) t(slot, label) JOIN (""" + _PROFILE.format(total=_P.total, sums="sums") + ") USING (slot)",
     "normalize_chrom": "SELECT id, CASE WHEN lower(trim(name)) LIKE 'chr%' THEN 'chr' || substr(trim(name), 4) ELSE trim(name) END AS chrom FROM names",
     "normalize_chrom_sim": "SELECT id, CASE WHEN name LIKE 'Chr%' THEN 'chr' || substr(name, 4) WHEN regexp_full_match(name, '[0-9]+') THEN 'chr' || name ELSE name END AS chrom FROM names",
     "renamed_chroms": "SELECT DISTINCT trim(name) AS name, 'chr' || substr(trim(name), 4) AS chrom FROM names WHERE lower(trim(name)) LIKE 'chr%' AND trim(name) NOT LIKE 'chr%'",
@@ -269,6 +269,9 @@ FINAL: dict[str, str] = {
     "sim_regions": " UNION ALL ".join(f"""SELECT '{c}' AS "set", chrom, start, "end", format('{c}_{{:06d}}', idx) AS ident FROM {c}_regions""" for c in ("uniform", *_CLASSES)),
 }
 
+_same = ", ".join(f'"{c}"' for c in ("chrom", "start", "end", "sample", "id"))
+FINAL["united_intervals"] = " UNION ALL ".join(f"SELECT {_same} FROM ({FINAL[n]})" for n in ("read_segment_tables", "read_crossover_tables", "interval_ids"))
+
 
 def _needed(body: str, seen: list[str]) -> None:
     """Names of the expressions that a body reads, each after those it reads itself."""

@@ -190,11 +190,11 @@ def exclusive_partitions(spark, d):
 
 @query
 def gene_classes(spark, d):
-    return sampling.gene_classes(A.genes(spark, d).withColumnRenamed("chr", "chrom"), A.lengths(spark, d))
+    return sampling.gene_classes(A.region_genes(spark, d), A.region_lengths(spark, d))
 
 
 def _partitions(spark, d):
-    return sampling.gene_partitions(A.genes(spark, d).withColumnRenamed("chr", "chrom"), A.lengths(spark, d))
+    return sampling.gene_partitions(A.region_genes(spark, d), A.region_lengths(spark, d))
 
 
 @query
@@ -286,7 +286,9 @@ def metaplot_profile_uniform(spark, d):
 
 @query
 def metaplot_ticks(spark, d):
-    return spark.createDataFrame(profile.ticks(PROFILE), "slot int, label string")
+    """The profile at the slots that the axis labels."""
+    labels = spark.createDataFrame(profile.ticks(PROFILE), "slot int, label string")
+    return _profile(spark, d, False).join(F.broadcast(labels), "slot").select("slot", "label", "mean", "n")
 
 
 # ---- names and lengths -----------------------------------------------------------------------------------------
@@ -390,32 +392,24 @@ def sim_lengths(spark, d):
 
 @query
 def sim_uniform(spark, d):
-    return sampling.uniform_regions(_drawn(spark, d), A.lengths(spark, d))
+    return sampling.uniform_regions(_drawn(spark, d), A.region_lengths(spark, d))
 
 
 @query
 def point_sample_lookup(spark, d):
     """A point of each class for each index."""
-    parts, drawn = stored(_partitions(spark, d), "partitions"), stored(_drawn(spark, d).select("idx"), "drawn")
-    return _classes(lambda kind: sampling.points(drawn, parts.filter(F.col("class") == kind), kind))
-
-
-def _classes(of):
-    rows = [of(kind).withColumn("class", F.lit(kind)) for kind in ("five_prime", "three_prime", "body")]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return sampling.points(_drawn(spark, d).select("idx"), _partitions(spark, d))
 
 
 @query
 def sim_enriched(spark, d):
-    parts, drawn = stored(_partitions(spark, d), "partitions"), stored(_drawn(spark, d), "drawn")
-    return _classes(lambda kind: sampling.enriched_regions(drawn, parts.filter(F.col("class") == kind), A.lengths(spark, d), kind))
+    return sampling.enriched_regions(_drawn(spark, d), _partitions(spark, d), A.region_lengths(spark, d))
 
 
 @query
 def sim_regions(spark, d):
     """The workflow's four sets."""
-    genes = A.genes(spark, d).withColumnRenamed("chr", "chrom")
-    return sampling.simulate(genes, A.lengths(spark, d), A.signal(spark, d), SIMULATION)
+    return sampling.simulate(A.region_genes(spark, d), A.region_lengths(spark, d), A.signal(spark, d), SIMULATION)
 
 
 from . import source_queries  # noqa: E402, F401  (they register themselves)

@@ -146,3 +146,10 @@ def lifted_intervals(spark, d):
     """Intervals of one table, moved by their ends and rebuilt."""
     rows = A.signal(spark, d).filter("end > start").selectExpr("chr chrom", "start", "end", "string(id) sample", "id")
     return workflows.lifted_intervals(rows, A.chain_blocks(spark))
+
+
+@query
+def united_intervals(spark, d):
+    """Intervals of segment tables, crossover tables and called events as one table."""
+    tables = [read_segment_tables(spark, d), read_crossover_tables(spark, d), readers.event_intervals(hmm.call_events(genotypes.clean(A.markers(spark, d))))]
+    return workflows.united(tables)

@@ -1,5 +1,6 @@
 """Profiles, genetic maps, lift-over and sampling."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -174,3 +175,19 @@ def test_simulated_regions(spark):
             assert any(c == r["chrom"] and a < r["end"] and r["start"] < z for c, a, z in own)
     again = sampling.simulate(genes.repartition(7), chroms, iv.repartition(3), p).collect()
     assert sorted(rows) == sorted(again)
+
+
+def test_points_and_lengths_in_stretches(spark):
+    """Running totals do not depend on the width of the stretches; each point lies where its pick falls."""
+    parts = [(k, f"chr{c}", 700 * i + 10 * c, 700 * i + 10 * c + 5 + i) for k in ("body", "five_prime") for c in (1, 2, 10) for i in range(12)] + [("three_prime", "chr1", 5, 5)]
+    annotation = spark.createDataFrame(parts, "class string, chrom string, start long, end long")
+    idx = spark.range(1, 400).withColumnRenamed("id", "idx")
+    got = sorted(sampling.points(idx, annotation, width=1000).collect())
+    assert got == sorted(sampling.points(idx, annotation).collect()) and len(got) == 2 * 399
+    for r in got:
+        bases = [(c, x) for k, c, a, z in sorted(parts, key=lambda p: p[1:]) if k == r["class"] for x in range(a, z)]
+        pick = int(hashlib.md5(f"{r['idx']}|{r['class']}|1|25".encode()).hexdigest()[:14], 16) % len(bases)
+        assert (r["chrom"], r["point"]) == bases[pick]
+    assert sampling.points(idx, annotation.filter("class = 'three_prime'")).count() == 0
+    rows = spark.createDataFrame([(0, n) for n in (3, 3, 9, 40, 2000, 0)], "start long, end long")
+    assert sorted(map(tuple, sampling.length_distribution(rows, width=8).collect())) == [(3, 0, 2), (9, 2, 3), (40, 3, 4), (2000, 4, 5)]
