@@ -250,6 +250,7 @@ FINAL: dict[str, str] = {
     "read_sequence_index": "SELECT * FROM lengths",
     "read_event_table": "SELECT * FROM co_events",
     "read_marker_table": "SELECT * FROM dedup",
+    "read_workbook": "SELECT map, chromosome::VARCHAR AS chromosome, coordinate::VARCHAR AS coordinate, snp_name, genotypes FROM markers",
     "read_genetic_map": "SELECT replace(chrom, 'Brand#', 'chr') AS chrom, bp AS start, bp + 1 AS \"end\", cm, marker FROM map_markers",
     "read_segment_tables": """SELECT chrom, start, "end", sample, format('RMv2_{:06d}', row_number() OVER (ORDER BY n, chrom, start, "end")) AS id FROM (
       SELECT replace(chr, 'chr', '') AS chrom, start, "end", 's' || (id % 50) AS sample, id AS n FROM signal WHERE id % 7 <> 0)""",

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import genotypes, hmm
 from ..sources import readers, sinks
 from ..sources.shared import fresh_folder
+from ..sources.xlsx import sheet_of
 from . import adapters as A
 from . import workflows
 from .queries import query
@@ -88,6 +93,40 @@ def read_marker_table(spark, d):
     return rows.select("map", "chromosome", "coordinate", "snp_name", "genotypes")
 
 
+#: Rows of a workbook that ``read_workbook`` makes at most; a sheet has to stay below 2^20.
+BOOK_ROWS = 20_000
+
+
+def _workbook(rows: pd.DataFrame) -> bytes:
+    """A workbook with names and maps as shared strings, genotypes within the cells, and numbers."""
+    names = ["map", "SNP_name", "chr_phy", "coordinate", "raw_data"]
+    texts = sorted({*names, *rows["map"], *rows["snp_name"]})
+    at = {t: i for i, t in enumerate(texts)}
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    shared = lambda t: f'<c t="s"><v>{at[t]}</v></c>'
+    lines = ['<row r="1"/>', '<row r="3">' + "".join(map(shared, names)) + "</row>"]
+    for m, n, c, p, g in rows[["map", "snp_name", "chromosome", "coordinate", "genotypes"]].itertuples(index=False):
+        lines.append(f'<row>{shared(m)}{shared(n)}<c><v>{c}</v></c><c><v>{p}</v></c><c t="inlineStr"><is><t>{g}</t></is></c></row>')
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{office}"><sheets><sheet name="Markers" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>" + "".join(f"<si><t>{t}</t></si>" for t in texts) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>" + "".join(lines) + "</sheetData></worksheet>")
+    return out.getvalue()
+
+
+@query
+def read_workbook(spark, d):
+    """Markers from workbooks of ``BOOK_ROWS`` rows at most, read in pieces by many tasks."""
+    rows = A.markers(spark, d).withColumn("book", F.concat_ws("/", "map", F.expr(f"string(input_ord div {BOOK_ROWS})")))
+    books = rows.groupBy("book").applyInPandas(lambda g: pd.DataFrame({"path": [g["book"].iloc[0]], "content": [_workbook(g)]}), "path string, content binary")
+    names = ("map", "SNP_name", "chr_phy", "coordinate", "raw_data")
+    found = sheet_of(books, "Markers", 3, names, 1 << 16)
+    return found.selectExpr("map", "chr_phy chromosome", "coordinate", "SNP_name snp_name", "raw_data genotypes")
+
+
 @query
 def read_genetic_map(spark, d):
     path = f"{fresh_folder(spark, 'map')}/table"

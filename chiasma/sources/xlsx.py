@@ -1,4 +1,10 @@
-"""One sheet of a workbook as a table, parsed with the standard library alone."""
+"""One sheet of a workbook as a table, parsed with the standard library alone.
+
+A workbook is a zip archive whose parts are compressed as one stream each, so it is opened by one task. That task only
+unpacks: it cuts the sheet and the table of shared strings at the beginnings of their rows and strings, without parsing
+them, and stores the pieces with the number that each one begins at. Any number of tasks then parse the pieces, and
+shared strings are looked up by a join.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +17,19 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+from .shared import stored
 
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: Bytes of XML to a piece; a row or string that is longer is one piece of its own.
+PIECE = 4 << 20
 
-def _tag(name: str) -> str:
-    return f"{{{_NS['m']}}}{name}"
+_OPEN = {"row": re.compile(rb"<(?:\w+:)?row(?=[\s>/])[^>]*>"), "si": re.compile(rb"<(?:\w+:)?si(?=[\s>/])[^>]*>")}
+_CLOSE = {"row": re.compile(rb"</(?:\w+:)?sheetData\s*>"), "si": re.compile(rb"</(?:\w+:)?sst\s*>")}
+_ROOT = {"row": re.compile(rb"<(?:\w+:)?worksheet(?=[\s>/])[^>]*>"), "si": re.compile(rb"<(?:\w+:)?sst(?=[\s>/])[^>]*>")}
+_NUMBER = re.compile(rb"""\sr\s*=\s*["']([0-9]+)["']""")
 
 
 def _column(ref: str) -> int:
@@ -27,58 +39,161 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def sheet_rows(path: str | BinaryIO, sheet: str) -> Iterator[tuple[int, dict[int, str]]]:
-    """(row number, value by column) of a sheet, streamed."""
-    with zipfile.ZipFile(path) as z:
-        strings = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            for _, e in ElementTree.iterparse(z.open("xl/sharedStrings.xml")):
-                if e.tag == _tag("si"):
-                    strings.append("".join(t.text or "" for t in e.iter(_tag("t"))))
-                    e.clear()
-        book = ElementTree.parse(z.open("xl/workbook.xml"))
-        ids = {s.get("name"): s.get(_REL) for s in book.iter(_tag("sheet"))}
-        if sheet not in ids:
-            raise ValueError(f"no sheet {sheet}; there are {sorted(ids)}")
-        rels = ElementTree.parse(z.open("xl/_rels/workbook.xml.rels"))
-        target = next(r.get("Target") for r in rels.getroot() if r.get("Id") == ids[sheet])
-        name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-        for _, e in ElementTree.iterparse(z.open(name)):
-            if e.tag != _tag("row"):
+def sheet_part(z: zipfile.ZipFile, sheet: str) -> str:
+    """The archive's member that holds a sheet."""
+    ids = {s.get("name"): s.get(_REL) for s in ElementTree.parse(z.open("xl/workbook.xml")).iter(f"{_MAIN}sheet")}
+    if sheet not in ids:
+        raise ValueError(f"no sheet {sheet}; there are {sorted(ids)}")
+    rels = ElementTree.parse(z.open("xl/_rels/workbook.xml.rels"))
+    target = next(r.get("Target") for r in rels.getroot() if r.get("Id") == ids[sheet])
+    return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+
+
+def pieces(xml: BinaryIO, tag: str, size: int = PIECE) -> Iterator[tuple[int, bytes]]:
+    """(number before the piece's first element, XML) of about ``size`` bytes each, every one a document of its own.
+
+    ``tag``: ``row``, numbered by ``r`` where it has one and by the row before otherwise, or ``si``, numbered from 0.
+    At most two pieces are in memory.
+    """
+    root, held, number, first, done = None, b"", 0, 0, False
+    while not done:
+        more = xml.read(size)
+        held, done = held + more, not more
+        if root is None:
+            m = _ROOT[tag].search(held)
+            if m is None or m[0].endswith(b"/>"):
                 continue
-            cells = {}
-            for c in e.iter(_tag("c")):
-                v = c.find(_tag("v"))
-                if c.get("t") == "inlineStr":
-                    cells[_column(c.get("r"))] = "".join(t.text or "" for t in c.iter(_tag("t")))
-                elif v is not None and v.text is not None:
-                    cells[_column(c.get("r"))] = strings[int(v.text)] if c.get("t") == "s" else v.text
-            yield int(e.get("r")), cells
+            root, held = m[0], held[m.end() :]
+            close = b"</" + re.match(rb"<([\w:]+)", root)[1] + b">"
+        starts = list(_OPEN[tag].finditer(held))
+        if done:
+            end = _CLOSE[tag].search(held, starts[-1].end() if starts else 0)
+            stop = end.start() if end else len(held)
+        else:
+            # an element may go on in what is not read yet
+            stop = starts[-1].start() if starts else 0
+        for m in starts:
+            if m.start() >= stop:
+                break
+            r = _NUMBER.search(m[0]) if tag == "row" else None
+            number = int(r[1]) if r else number + 1
+        if starts and starts[0].start() < stop:
+            yield first, root + held[starts[0].start() : stop] + close
+            first, held = number, held[stop:]
+
+
+def _elements(xml: bytes, tag: str) -> Iterator[ElementTree.Element]:
+    for _, e in ElementTree.iterparse(io.BytesIO(xml)):
+        if e.tag == f"{_MAIN}{tag}":
+            yield e
             e.clear()
 
 
-def read_sheet(spark: SparkSession, path: str, sheet: str = "Table_S3", header: int = 3, columns: tuple[str, ...] = ("map", "SNP_name", "chr_phy", "coordinate", "raw_data")) -> DataFrame:
+def _text(e: ElementTree.Element) -> str:
+    """The text of a string, without phonetic readings."""
+    skip = {t for p in e.iter(f"{_MAIN}rPh") for t in p.iter(f"{_MAIN}t")}
+    return "".join(t.text or "" for t in e.iter(f"{_MAIN}t") if t not in skip)
+
+
+def parsed_rows(first: int, xml: bytes) -> Iterator[tuple[int, dict[int, tuple[str | None, int | None]]]]:
+    """(row number, by column the value, or the number of the shared string that it is) of a piece of a sheet."""
+    row = first
+    for e in _elements(xml, "row"):
+        row = int(e.get("r", row + 1))
+        cells, k = {}, -1
+        for c in e.iter(f"{_MAIN}c"):
+            k = _column(c.get("r")) if c.get("r") else k + 1
+            v = c.find(f"{_MAIN}v")
+            if c.get("t") == "inlineStr":
+                cells[k] = (_text(c), None)
+            elif v is not None and v.text is not None:
+                cells[k] = (None, int(v.text)) if c.get("t") == "s" else (v.text, None)
+        yield row, cells
+
+
+def _heading(z: zipfile.ZipFile, part: str, header: int, size: int) -> dict[str, int]:
+    """Column by name of the header row: reads the sheet and the strings no farther than it has to."""
+    found: dict[int, tuple[str | None, int | None]] = {}
+    for first, xml in pieces(z.open(part), "row", size):
+        found = next((cells for row, cells in parsed_rows(first, xml) if row == header), {})
+        if found or first >= header:
+            break
+    names = {text: k for k, (text, _) in found.items() if text is not None}
+    wanted = {n: k for k, (_, n) in found.items() if n is not None}
+    if wanted:
+        for first, xml in pieces(z.open("xl/sharedStrings.xml"), "si", size):
+            names |= {_text(e): wanted[n] for n, e in enumerate(_elements(xml, "si"), first) if n in wanted}
+            if first > max(wanted):
+                break
+    return names
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str = "Table_S3", header: int = 3, columns: tuple[str, ...] = ("map", "SNP_name", "chr_phy", "coordinate", "raw_data"), size: int = PIECE) -> DataFrame:
     """input_ord (the row number) and ``columns``, found by name in row ``header``, as text.
 
-    Spark reads the files, so the path may be of any store that it knows; a workbook is one file, parsed by one task.
+    Spark reads the files, so the path may be of any store that it knows. Rows of several workbooks keep the numbers of
+    their own.
     """
-    names = [f"`{n}` string" for n in columns]
+    return sheet_of(spark.read.format("binaryFile").load(path).select("path", "content"), sheet, header, columns, size)
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), *[pa.string()] * len(columns)]
+def sheet_of(books: DataFrame, sheet: str, header: int, columns: tuple[str, ...], size: int = PIECE) -> DataFrame:
+    """``read_sheet`` of workbooks given as path and content."""
+    cut = pa.schema([("path", pa.string()), ("kind", pa.string()), ("first", pa.int64()), ("xml", pa.binary()), ("place", pa.list_(pa.int32()))])
+    cells = pa.schema([("path", pa.string()), ("input_ord", pa.int64()), *[(f"v{i}", pa.string()) for i in range(len(columns))], *[(f"s{i}", pa.int64()) for i in range(len(columns))]])
+    strings = pa.schema([("path", pa.string()), ("shared", pa.int64()), ("text", pa.string())])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                place: dict[str, int] = {}
-                rows: list[tuple] = []
-                for row, cells in sheet_rows(io.BytesIO(content.as_py()), sheet):
-                    if row == header:
-                        place = {v: k for k, v in cells.items()}
-                    elif row > header and place:
-                        rows.append((row, *[cells.get(place[n]) if n in place else None for n in columns]))
-                    if len(rows) == 1000:
-                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["input_ord", *columns])
-                        rows = []
-                if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["input_ord", *columns])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ", ".join(["input_ord long", *names]))
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    part = sheet_part(z, sheet)
+                    names = _heading(z, part, header, size)
+                    place = [names.get(n) for n in columns] if names else None
+                    yield from _batches(((path, "row", n, xml, place) for n, xml in pieces(z.open(part), "row", size)), cut, 1)
+                    if "xl/sharedStrings.xml" in z.namelist():
+                        yield from _batches(((path, "si", n, xml, None) for n, xml in pieces(z.open("xl/sharedStrings.xml"), "si", size)), cut, 1)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for piece in batch.to_pylist():
+                    for row, found in parsed_rows(piece["first"], piece["xml"]):
+                        if row > header:
+                            own = [found.get(k, (None, None)) for k in piece["place"]]
+                            yield (piece["path"], row, *[v for v, _ in own], *[s for _, s in own])
+
+        yield from _batches(rows(), cells, 1000)
+
+    def parse_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for piece in batch.to_pylist():
+                    for n, e in enumerate(_elements(piece["xml"], "si"), piece["first"]):
+                        yield piece["path"], n, _text(e)
+
+        yield from _batches(rows(), strings, 1000)
+
+    cut_up = stored(books.select("path", "content").mapInArrow(unpack, "path string, kind string, first long, xml binary, place array<int>"), "sheet-pieces")
+    spread = max(cut_up.sparkSession.sparkContext.defaultParallelism, 1)
+    v, s = ([f"{c}{i}" for i in range(len(columns))] for c in "vs")
+    rows = cut_up.filter("kind = 'row' and place is not null").repartition(spread, "path", "first")
+    rows = rows.mapInArrow(parse, ", ".join(["path string, input_ord long", *[f"{n} string" for n in v], *[f"{n} long" for n in s]]))
+    texts = cut_up.filter("kind = 'si'").repartition(spread, "path", "first").mapInArrow(parse_strings, "path string, shared long, text string")
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(v[i]).alias("value"), F.col(s[i]).alias("shared")) for i in range(len(columns))])
+    rows = rows.select("path", "input_ord", F.inline(each))
+    # strings are numbered within their workbook; a number no string has gives null
+    rows = rows.join(texts, ["path", "shared"], "left").withColumn("value", F.coalesce("value", "text"))
+    named = [F.max(F.when(F.col("i") == i, F.col("value"))).alias(n) for i, n in enumerate(columns)]
+    return rows.groupBy("path", "input_ord").agg(*named).drop("path")

@@ -5,7 +5,7 @@ import zipfile
 from urllib.parse import urlparse
 
 from chiasma.operators import hmm  # noqa: F401
-from chiasma.sources import readers, sinks
+from chiasma.sources import readers, sinks, xlsx
 
 
 def put(path, text):
@@ -157,3 +157,42 @@ def test_xlsx(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
     r = readers.read_markers(spark, str(path), "xlsx").first()
     assert (r["map"], r["snp_name"], r["chromosome"], r["coordinate"], r["genotypes"]) == ("m", "snp", "1.0", "25", "ABABABA")
+
+
+def test_sheet_in_pieces(spark, tmp_path):
+    """Pieces of any size give the rows that one parse of the whole sheet gives, with numbers left out, prefixed tags,
+    empty rows, runs of rich text and phonetic readings."""
+    rng = random.Random(8)
+    for prefix in ("", "x:"):
+        t = lambda tag: prefix + tag
+        space = f'xmlns{":x" if prefix else ""}="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        texts = ["pad", "name", "value", *[f"s{i} &amp; &lt;row r=&quot;9&quot;&gt;" for i in range(60)]]
+        strings = [f"<{t('si')}><{t('r')}><{t('t')}>{x[:2]}</{t('t')}></{t('r')}><{t('r')}><{t('t')}>{x[2:]}</{t('t')}></{t('r')}><{t('rPh')} sb='0' eb='1'><{t('t')}>no</{t('t')}></{t('rPh')}></{t('si')}>" for x in texts]
+        shared = lambda n, ref="": f"<{t('c')}{ref} t='s'><{t('v')}>{n}</{t('v')}></{t('c')}>"
+        rows, want, number = [f"<{t('row')} r='3'>{shared(2, ' r=\'B3\'')}{shared(1)}</{t('row')}>"], {}, 3
+        for i in range(150):
+            jump = rng.random() < 0.2
+            number += rng.randrange(2, 5) if jump else 1
+            at = f" r='{number}'" if jump else ""
+            kind, n = rng.randrange(3), rng.randrange(3, 63)
+            if kind == 0:
+                rows.append(f"<{t('row')}{at}/>")
+                want[number] = (None, None)
+            elif kind == 1:
+                rows.append(f"<{t('row')}{at} spans='1:3'><{t('c')} r='B{number}'><{t('v')}>{i}.5</{t('v')}></{t('c')}>{shared(n)}</{t('row')}>")
+                want[number] = (f's{n - 3} & <row r="9">', f"{i}.5")
+            else:
+                rows.append(f"<{t('row')}{at}>{shared(n, f' r=\'C{number}\'')}</{t('row')}>")
+                want[number] = (f's{n - 3} & <row r="9">', None)
+        path = tmp_path / f"{len(prefix)}.xlsx"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="T" sheetId="1" r:id="i"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="i" Target="/xl/worksheets/s.xml"/></Relationships>')
+            z.writestr("xl/sharedStrings.xml", f"<{t('sst')} {space}>" + "".join(strings) + f"</{t('sst')}>")
+            z.writestr("xl/worksheets/s.xml", f"<?xml version='1.0'?><{t('worksheet')} {space}><{t('sheetData')}>" + "".join(rows) + f"</{t('sheetData')}><{t('rowBreaks')}/></{t('worksheet')}>")
+        for size in (150, 4 << 20):
+            found = xlsx.read_sheet(spark, str(path), "T", 3, ("name", "value"), size)
+            assert {r["input_ord"]: (r["name"], r["value"]) for r in found.collect()} == want
+    with zipfile.ZipFile(path) as z:
+        assert len(list(xlsx.pieces(z.open("xl/worksheets/s.xml"), "row", 150))) > 20
+    assert xlsx.read_sheet(spark, str(path), "T", 9999).count() == 0
