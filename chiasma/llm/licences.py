@@ -1,26 +1,28 @@
 """Licence scans by sentence rules, in DataFrame operations only.
 
-A text is normalised (lower case, runs of anything but a-z and 0-9 as one space) and cut at sentence ends (. ! ?
-before white space or the end), at line breaks and at lines without letters or digits. A known licence sentence is
-found where it fills the space between two cuts; line breaks may lie between its words, so hard-wrapped texts and
-comment blocks count like sentences on one line, and longer sentences go before shorter ones. Where a sentence is two
-others in a row, a line break between the two leaves them two. What is no known sentence is ``_``, line by line. A
-list's number before a known sentence and the licence's address after ``apache-copy`` are left out. The resulting
-identifier sequence is matched against rules, each an ordered sequence of identifiers that has to occur without a gap.
-Rules are tried in their order and a match uses up its identifiers, so a full licence text does not also count as each
-of its parts. The SQL knows sentences on one line only, so it finds fewer in wrapped texts.
-
-Only texts that hold a word of those that some known sentence has each are normalised at all.
+A text is normalised (A-Z in lower case, runs of anything but a-z and 0-9 as one space) and cut into parts at sentence
+ends (. ! ? before white space or the end) and at lines without letters or digits; a part is one or more lines. Every
+run of a part's lines, joined by spaces, is looked up in a map from normalised licence sentences to identifiers, so
+hard-wrapped texts and comment blocks count like sentences on one line. Only runs whose first line begins a known
+sentence are tried, up to the number of words of the longest one, as a line has a word at least. Of runs that begin at
+one line the longest counts, and none that lies within another. List numbers (one or two digits or a letter alone in
+their part) and addresses of licences are left out; any other line is ``_``. The resulting identifier sequence is
+matched against rules, each an ordered sequence of identifiers that has to occur without a gap. Rules are tried in
+their order and a match uses up its identifiers, so a full licence text does not also count as each of its parts.
+
+A rule's longest sentence has to occur, so only texts that hold one of a few words, one of each such sentence, are
+cut at all.
 
 Everything is one projection over the scan: nothing is shuffled, exploded or broadcast. The sentence and rule
 tables are parameters of fixed size. Defined results: null or empty texts and texts without known sentences have
-no licence (0 rules, empty string); a null ``doc_id`` is carried; repeated rows are scanned each; an empty table
-gives no rows; other columns are ignored.
+no licence (0 rules, empty string); very long texts are read whole, in one row as they are; a null ``doc_id`` is
+carried; repeated rows are scanned each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +59,24 @@ SENTENCES: dict[str, str] = {
     "ccbysa4-short": "Licensed under CC BY-SA 4.0",
     "ccby4-work": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "ccbync4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "mpl2-version": "2.0",
+    "epl2-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "bsl1-short": "Distributed under the Boost Software License, Version 1.0",
+    "unlicense-free": "This is free and unencumbered software released into the public domain",
+    "cc0-dedication": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "dual-mit-apache": "Dual licensed under the MIT License or the Apache License, Version 2.0",
+    "dual-apache-mit": "Dual licensed under the Apache License, Version 2.0 or the MIT License",
+    "dual-either": "Licensed under either of Apache License, Version 2.0 or MIT license at your option",
 }
+# Names of licences in a line that states one.
+SPDX = ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Unlicense", "CC0-1.0", "Zlib", "MIT OR Apache-2.0", "Apache-2.0 OR MIT"]
+SENTENCES |= {f"spdx-{name.lower().replace(' ', '-')}": f"SPDX-License-Identifier: {name}" for name in SPDX}
 # Fixed values: (rule, licence, identifiers in order), longer rules before their parts.
 RULES: list[tuple[str, str, list[str]]] = [
     ("mit-full", "MIT", ["mit-grant", "mit-as-is", "mit-liability"]),
@@ -85,22 +104,47 @@ RULES: list[tuple[str, str, list[str]]] = [
     ("ccbysa4-short", "CC-BY-SA-4.0", ["ccbysa4-short"]),
     ("ccby4-work", "CC-BY-4.0", ["ccby4-work"]),
     ("ccbync4-work", "CC-BY-NC-4.0", ["ccbync4-work"]),
+    ("lgpl21-grant", "LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("lgpl3-grant", "LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("agpl3-grant", "AGPL-3.0-or-later", ["agpl3-free"]),
+    ("mpl2-header", "MPL-2.0", ["mpl2-form", "mpl2-version"]),
+    ("epl2-terms", "EPL-2.0", ["epl2-terms"]),
+    ("bsl1-short", "BSL-1.0", ["bsl1-short"]),
+    ("unlicense", "Unlicense", ["unlicense-free"]),
+    ("cc0-dedication", "CC0-1.0", ["cc0-dedication"]),
+    ("zlib-grant", "Zlib", ["zlib-grant"]),
+    ("dual-mit-apache", "MIT OR Apache-2.0", ["dual-mit-apache"]),
+    ("dual-apache-mit", "MIT OR Apache-2.0", ["dual-apache-mit"]),
+    ("dual-either", "MIT OR Apache-2.0", ["dual-either"]),
 ]
+RULES += [(f"spdx-{name.lower().replace(' ', '-')}", name, [f"spdx-{name.lower().replace(' ', '-')}"]) for name in SPDX]
 
-# Addresses that may follow a sentence, and both as one sentence; not known to the SQL.
-LINKS: dict[str, list[str]] = {"apache-copy": ["http://www.apache.org/licenses/LICENSE-2.0", "https://www.apache.org/licenses/LICENSE-2.0"]}
+# Addresses that may stand between sentences or end the sentence ``apache-copy``.
+LINKS = ["http://www.apache.org/licenses/LICENSE-2.0", "https://www.apache.org/licenses/LICENSE-2.0"]
 
-END = r"[.!?]+(\s+|$)"
-#: A sentence end or a blank line, and a single line break, in a normalised text.
-HARD, SOFT = "\u0001", "\u0002"
-#: Comment marks that are words.
-MARK = r"(?im)^[ \t]*@?(rem|dnl)[ \t]+"
+# Patterns and alphabets that Java and DuckDB read alike.
+END = r"[.!?]+([ \t\n\r\f\x0B]+|\z)"
+MARK = r"^[ \t]*@?(rem|dnl)[ \t]+"
+BLANK = r"\n[^a-z0-9\x01]*\n"
+OTHER = r"[^a-z0-9\n\x01]+"
+NUMBER = "^([0-9]{1,2}|[a-z])$"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A sentence end or a blank line in a normalised text.
+HARD = "\u0001"
 
 
 def normalised(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def table_of(sentences: dict[str, str]) -> dict[str, str]:
+    """Identifier, in brackets, by normalised sentence."""
+    known = {normalised(x): f"[{name}]" for name, x in sentences.items() if normalised(x)}
+    if "apache-copy" in sentences:
+        known |= {normalised(f"{sentences['apache-copy']} {url}"): "[apache-copy]" for url in LINKS}
+    return known
+
+
 def hints(sentences: dict[str, str]) -> list[str]:
     """Words of which each sentence holds one: long ones, as few as a greedy choice gives."""
     left, out = [set(normalised(s).split()) for s in sentences.values()], []
@@ -112,67 +156,84 @@ def hints(sentences: dict[str, str]) -> list[str]:
     return out
 
 
-def pattern(sentence: str, known: set[str]) -> str:
-    """A regular expression of the sentence between cuts, with any line breaks between its words."""
-    words = normalised(sentence).split()
-    gaps = [" " if " ".join(words[:k]) in known and " ".join(words[k:]) in known else f"[ {SOFT}]" for k in range(1, len(words))]
-    return f"(?<=[{HARD}{SOFT}])" + words[0] + "".join(g + w for g, w in zip(gaps, words[1:], strict=True)) + f"(?=[{HARD}{SOFT}])"
-
-
-def cut(text: Column) -> Column:
-    """The normalised text with a mark at each cut, at its beginning and at its end."""
-    t = F.regexp_replace(F.translate(text, SOFT, " "), MARK, "")
-    t = F.lower(F.regexp_replace(t, END, HARD))
-    t = F.regexp_replace(t, f"\n[^a-z0-9{HARD}]*\n", HARD)
-    t = F.regexp_replace(F.translate(t, "\n", SOFT), f"[^a-z0-9{HARD}{SOFT}]+", " ")
-    t = F.regexp_replace(F.concat(F.lit(HARD), t, F.lit(HARD)), f"[ {SOFT}]*{HARD}[ {HARD}{SOFT}]*", HARD)
-    return F.regexp_replace(t, f" *{SOFT}[ {SOFT}]*", SOFT)
-
-
-def identifiers(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """The text's identifier sequence as one string, e.g. ``_[mit-short]__``; empty if no word of a sentence occurs."""
-    links = {name: urls for name, urls in LINKS.items() if name in sentences}
-    names = [(s, f"[{name}]") for name, s in sentences.items()]
-    names += [(f"{sentences[name]} {url}", f"[{name}]") for name, urls in links.items() for url in urls]
-    names += [(url, f"[{name}-link]") for name, urls in links.items() for url in urls]
-    names = sorted(((normalised(s), name) for s, name in names if normalised(s)), key=lambda x: (-len(x[0]), x))
-    known = {s for s, _ in names}
-    t = cut(text)
-    for sentence, name in names:
-        t = F.regexp_replace(t, pattern(sentence, known), name)
-    t = F.regexp_replace(t, f"(?<=[{HARD}{SOFT}])([0-9]{{1,2}}|[a-z])[{HARD}{SOFT}](?=\\[)", "")
-    for name in links:
-        t = F.regexp_replace(t, f"(?<=\\[{re.escape(name)}\\])[{HARD}{SOFT}]\\[{re.escape(name)}-link\\]", "")
-    parts = F.filter(F.split(t, f"[{HARD}{SOFT}]"), lambda s: s != "")
-    seq = F.array_join(F.transform(parts, lambda s: F.when(s.startswith("["), s).otherwise(F.lit("_"))), "")
-    low = F.lower(text)
+def parts(text: Column) -> Column:
+    """A text's parts, each the array of its normalised lines."""
+    t = F.translate(F.regexp_replace(text, "(?imd)" + MARK, ""), UPPER, LOWER)
+    t = F.regexp_replace(F.regexp_replace(t, END, HARD), BLANK, HARD)
+    t = F.regexp_replace(t, OTHER, " ")
+    lines = lambda p: F.filter(F.transform(F.split(p, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(F.split(t, HARD), lines)
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _sequence(lines: Column, known: dict[str, str], links: list[str]) -> Column:
+    """The identifier sequence of one part as a string."""
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    sentences = F.array(*[F.lit(k) for k in known])
+    first = sorted({k.split(" ")[0] for k in known})
+    longest = max(len(k.split(" ")) for k in known)
+    begins = lambda x: F.substring_index(x, " ", 1).isin(first) & F.exists(sentences, lambda k: (k == x) | k.startswith(F.concat(x, F.lit(" "))))
+
+    def run(i: Column) -> Column:
+        name = lambda x: F.when(x.isin(list(known)), F.try_element_at(table, x))
+        to = lambda j: F.struct(i.alias("i"), j.alias("j"), _let(F.array_join(F.slice(lines, i + 1, j - i + 1), " "), name).alias("id"))
+        found = F.filter(F.transform(F.sequence(i, F.least(i + longest, F.size(lines)) - 1), to), lambda r: r["id"].isNotNull())
+        return F.try_element_at(found, F.lit(-1))
+
+    runs = F.array_compact(F.transform(lines, lambda x, i: F.when(begins(x), run(i))))
+    outer = lambda all_: F.filter(all_, lambda r: ~F.exists(all_, lambda o: (o["i"] < r["i"]) & (o["j"] >= r["j"])))
+    left_out = lambda x: x.isin(links) | ((F.size(lines) == 1) & x.rlike(NUMBER))
+
+    def shown(whole: Column) -> Column:
+        at = lambda i: F.try_element_at(F.filter(whole, lambda r: r["i"] == i), F.lit(1))["id"]
+        within = lambda i: F.exists(whole, lambda r: (r["i"] < i) & (r["j"] >= i))
+        return F.array_join(F.transform(lines, lambda x, i: F.coalesce(at(i), F.when(within(i) | left_out(x), F.lit("")).otherwise(F.lit("_")))), "")
+
+    # lines of a part in which no sentence begins need no search
+    plain = F.array_join(F.transform(lines, lambda x: F.when(left_out(x), F.lit("")).otherwise(F.lit("_"))), "")
+    return F.when(F.exists(lines, begins), _let(_let(runs, outer), shown)).otherwise(plain)
+
+
+def identifiers(text: Column, sentences: dict[str, str] = SENTENCES, words: list[str] | None = None) -> Column:
+    """The text's identifier sequence as one string, e.g. ``_[mit-short]__``; empty if none of ``words`` (by default one
+    of each sentence) occurs."""
+    known = table_of(sentences)
     some = F.lit(False)
-    for word in hints(sentences):
-        some = some | low.contains(word)
+    for word in hints(sentences) if words is None else words:
+        some = some | F.translate(text, UPPER, LOWER).contains(word)
+    seq = F.array_join(F.transform(parts(text), lambda lines: _sequence(lines, known, [normalised(u) for u in LINKS])), "")
     return F.when(F.coalesce(some, F.lit(False)), seq).otherwise(F.lit(""))
 
 
 def licence_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> DataFrame:
     """doc_id, n_matches long, licences string: licence:rule:times of each rule that matched, comma-joined in rule order."""
-    rows = docs.select("doc_id", identifiers(F.col("text"), sentences).alias("seq0"))
+    longest = {rule: max((sentences[x] for x in ids), key=lambda x: len(normalised(x))) for rule, _, ids in rules}
+    rows = docs.select("doc_id", identifiers(F.col("text"), sentences, hints(longest)).alias("seq0"))
+    table = F.array(*[F.struct(F.lit("".join(f"[{x}]" for x in ids)).alias("pattern"), F.lit(f"{name}:{rule}:").alias("label")) for rule, name, ids in rules])
+    start = F.struct(F.col("seq0").alias("seq"), F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("shown"))
+
+    def step(a: Column, rule: Column) -> Column:
+        left = F.replace(a["seq"], rule["pattern"], F.lit("_"))
+        times = ((F.length(a["seq"]) - F.length(left)) / (F.length(rule["pattern"]) - 1)).cast("long")
+        more = F.when(times > 0, F.array(F.concat(rule["label"], times.cast("string")))).otherwise(F.array().cast("array<string>"))
+        return F.struct(left.alias("seq"), (a["n"] + times).alias("n"), F.concat(a["shown"], more).alias("shown"))
+
     # only the few documents with a known sentence have anything to match
-    rows = rows.withColumn("seq0", F.when(F.col("seq0").contains("["), F.col("seq0")).otherwise(F.lit("")))
-    found = []
-    for i, (_, _, ids) in enumerate(rules):
-        pattern = F.lit("".join(f"[{x}]" for x in ids))
-        size = len("".join(f"[{x}]" for x in ids))
-        left = F.replace(F.col(f"seq{i}"), pattern, F.lit("_"))
-        rows = rows.withColumn(f"seq{i + 1}", left)
-        found.append(((F.length(f"seq{i}") - F.length(f"seq{i + 1}")) / F.lit(size - 1)).cast("long").alias(f"n{i}"))
-    rows = rows.select("doc_id", *found)
-    shown = F.concat_ws(",", *[F.when(F.col(f"n{i}") > 0, F.concat(F.lit(f"{name}:{rule}:"), F.col(f"n{i}").cast("string"))) for i, (rule, name, _) in enumerate(rules)])
-    return rows.select("doc_id", sum((F.col(f"n{i}") for i in range(1, len(rules))), F.col("n0")).alias("n_matches"), shown.alias("licences"))
+    rows = rows.withColumn("found", F.when(F.col("seq0").contains("["), F.aggregate(table, start, step)))
+    return rows.select("doc_id", F.coalesce("found.n", F.lit(0).cast("long")).alias("n_matches"), F.coalesce(F.array_join("found.shown", ","), F.lit("")).alias("licences"))
 
 
 def oracle() -> str:
-    """The same in DuckDB: rules as a chain of replacements."""
-    quote = lambda s: s.replace("'", "''")
-    known = ", ".join(f"'{quote(normalised(s))}': '[{name}]'" for name, s in SENTENCES.items())
+    """The same in DuckDB: lines as rows, sentences by joins, rules as a chain of replacements."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    table = table_of(SENTENCES)
+    known = ", ".join(f"({quote(x)}, '{name}')" for x, name in table.items())
+    longest = max(len(x.split()) for x in table)
+    links = ", ".join(quote(normalised(u)) for u in LINKS)
     steps, prior = [], "s0"
     for i, (_, _, ids) in enumerate(RULES):
         pattern = "".join(f"[{x}]" for x in ids)
@@ -182,12 +243,29 @@ def oracle() -> str:
     shown = ", ".join(f"CASE WHEN {count(i)} > 0 THEN '{name}:{rule}:' || {count(i)} END" for i, (rule, name, _) in enumerate(RULES))
     total = " + ".join(count(i) for i in range(len(RULES)))
     return f"""
-WITH p AS (
-  SELECT doc_id, list_filter(list_transform(string_split(
-    regexp_replace(lower(regexp_replace(coalesce(text, ''), '[.!?]+(\\s+|$)|\\n+', chr(1), 'g')), '[^a-z0-9\\x01]+', ' ', 'g'), chr(1)),
-    lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents
+WITH known(sentence, id) AS (VALUES {known}
+), d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), p AS (
+  SELECT r, string_split(regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(text, '(?im){MARK}', '', 'g'), '{UPPER}', '{LOWER}'),
+    '{END}', chr(1), 'g'), '{BLANK}', chr(1), 'g'), '{OTHER}', ' ', 'g'), chr(1)) AS ps FROM d
+), g AS MATERIALIZED (
+  SELECT r, n, list_filter(list_transform(string_split(ps[n], chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM (SELECT r, ps, unnest(range(1, len(ps) + 1)) AS n FROM p)
+), b AS (
+  SELECT r, n, ls, i FROM (SELECT r, n, ls, unnest(range(1, len(ls) + 1)) AS i FROM g) WHERE split_part(ls[i], ' ', 1) IN (SELECT split_part(sentence, ' ', 1) FROM known)
+), w AS (
+  SELECT r, n, i, j, array_to_string(ls[i:j], ' ') AS x FROM (SELECT *, unnest(range(i, least(i + {longest}, len(ls) + 1))) AS j FROM b)
+), m AS (
+  SELECT r, n, i, max(j) AS j, arg_max(id, j) AS id FROM w JOIN known ON x = sentence GROUP BY r, n, i
+), k AS MATERIALIZED (
+  SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.r = m.r AND o.n = m.n AND o.i < m.i AND o.j >= m.j)
+), l AS (
+  SELECT r, n, ls, unnest(range(1, len(ls) + 1)) AS i FROM g WHERE r IN (SELECT r FROM k)
+), q AS (
+  SELECT l.r, string_agg(coalesce(k.id, CASE WHEN EXISTS (SELECT 1 FROM k o WHERE o.r = l.r AND o.n = l.n AND o.i < l.i AND o.j >= l.i)
+    OR ls[l.i] IN ({links}) OR (len(ls) = 1 AND regexp_matches(ls[l.i], '{NUMBER}')) THEN '' ELSE '_' END), '' ORDER BY l.n, l.i) AS q0
+  FROM l LEFT JOIN k ON k.r = l.r AND k.n = l.n AND k.i = l.i GROUP BY l.r
 ), s0 AS (
-  SELECT doc_id, array_to_string(list_transform(parts, lambda x: coalesce(MAP {{{known}}}[x], '_')), '') AS q0 FROM p
+  SELECT d.doc_id, coalesce(q.q0, '') AS q0 FROM d LEFT JOIN q USING (r)
 ), {", ".join(steps)}
 SELECT doc_id, CAST({total} AS BIGINT) AS n_matches, concat_ws(',', {shown}) AS licences FROM {prior}
 """

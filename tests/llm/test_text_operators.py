@@ -348,8 +348,34 @@ def test_licences_wrapped(make):
     want[901] = "ISC:isc-grant:2"
     rows.append((902, "We are not licensed under the\nMIT License here", "en", "s"))
     want[902] = ""
-    got = {r["doc_id"]: r["licences"] for r in licences.licence_scan(make(rows)).collect()}
-    assert got == want
+    for text, found in (
+        ("// SPDX-License-Identifier: Apache-2.0\nint x;", "Apache-2.0:spdx-apache-2.0:1"),
+        ("# SPDX-License-Identifier: MIT OR Apache-2.0", "MIT OR Apache-2.0:spdx-mit-or-apache-2.0:1"),
+        ("Dual licensed under the MIT License or the Apache\nLicense, Version 2.0.", "MIT OR Apache-2.0:dual-mit-apache:1"),
+        ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */", "MPL-2.0:mpl2-header:1"),
+        (wrap(s["lgpl21-free"] + ".", " * "), "LGPL-2.1-or-later:lgpl21-grant:1"),
+        (wrap(s["agpl3-free"] + ".", "# "), "AGPL-3.0-or-later:agpl3-grant:1"),
+        (wrap(s["epl2-terms"], "// "), "EPL-2.0:epl2-terms:1"),
+        ("MIT License\nCopyright 2020 A\nMIT License", "MIT:mit-title2:2"),
+        ("version 2.0. Then 2.0 again.", ""),
+        ("one word a line\n" * 3000 + "MIT\nLicense\n" + "the\n" * 3000, "MIT:mit-title2:1"),
+        ("MIT License " + "word " * 50_000, ""),
+    ):
+        want[len(rows) + 1000] = found
+        rows.append((len(rows) + 1000, text, "en", "s"))
+    rows += [(None, None, None, None), (None, "", None, None)]
+    docs = make(rows)
+    got = {r["doc_id"]: r["licences"] for r in licences.licence_scan(docs).collect()}
+    assert got.pop(None) == "" and {k: v for k, v in got.items() if v != want[k]} == {}
+    # the SQL finds the same in wrapped texts
+    import duckdb
+
+    c = duckdb.connect()
+    documents = docs.select("doc_id", "text").toPandas()  # noqa: F841
+    c.register("documents", documents)
+    sql = c.sql(licences.oracle()).fetchall()
+    key = lambda r: (str(r[0]), r[2])
+    assert sorted(sql, key=key) == sorted(map(tuple, licences.licence_scan(docs).select("doc_id", "n_matches", "licences").collect()), key=key)
 
 
 def test_licence_hints_cover_every_sentence():
