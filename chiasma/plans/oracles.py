@@ -272,6 +272,8 @@ FINAL: dict[str, str] = {
 
 _same = ", ".join(f'"{c}"' for c in ("chrom", "start", "end", "sample", "id"))
 FINAL["united_intervals"] = " UNION ALL ".join(f"SELECT {_same} FROM ({FINAL[n]})" for n in ("read_segment_tables", "read_crossover_tables", "interval_ids"))
+FINAL["written_bed"] = """SELECT concat_ws(chr(9), chr, start, "end", id) AS value, row_number() OVER (ORDER BY chr, start, "end", id::VARCHAR) - 1 AS line FROM signal"""
+FINAL["written_qc"] = FINAL["qc_summary"]
 
 
 def _needed(body: str, seen: list[str]) -> None:

@@ -192,3 +192,23 @@ def united_intervals(spark, d):
     """Intervals of segment tables, crossover tables and called events as one table."""
     tables = [read_segment_tables(spark, d), read_crossover_tables(spark, d), readers.event_intervals(hmm.call_events(genotypes.clean(A.markers(spark, d))))]
     return workflows.united(tables)
+
+
+@query
+def written_bed(spark, d):
+    """The lines of a BED file in their order, numbered."""
+    path = f"{fresh_folder(spark, 'bed')}/table"
+    sinks.write_bed(A.signal(spark, d).selectExpr("chr chrom", "start", "end", "string(id) ident"), path)
+    rows = readers.in_file_order(spark.read.text(path), ["value"])
+    return rows.select("value", F.col("input_ord").alias("line"))
+
+
+@query
+def written_qc(spark, d):
+    """The quality table, written and read back."""
+    from .queries import qc_summary
+
+    path = f"{fresh_folder(spark, 'qc')}/table"
+    rows = qc_summary(spark, d)
+    sinks.write_qc_summary(rows, path)
+    return spark.read.schema(rows.schema).csv(path, sep="\t", header=True)

@@ -73,8 +73,8 @@ def write_qc_summary(rows: DataFrame, path: str) -> None:
 
 
 def write_bed(rows: DataFrame, path: str, columns: tuple[str, ...] = ("chrom", "start", "end", "ident")) -> None:
-    """Tab-separated without header, by chromosome name and start."""
-    rows.select(*columns).orderBy("chrom", "start").write.mode("overwrite").csv(path, sep="\t", header=False)
+    """Tab-separated without header, by chromosome name and start, ties by the other columns."""
+    rows.select(*columns).orderBy("chrom", "start", *[c for c in columns if c not in ("chrom", "start")]).write.mode("overwrite").csv(path, sep="\t", header=False)
 
 
 def write_plot_data(rows: DataFrame, path: str) -> None:
