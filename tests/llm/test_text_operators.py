@@ -55,6 +55,25 @@ def test_model_finds_base_spans_alone(spark):
     assert found > 0.85 * wanted and wrong < 0.1 * wanted
     local = "Call 555-123-4567 or 030 1234567 today, or write to jo.smith (@) example.org for more."
     assert len(pii.model_spans([local], model)[0]) >= 2
+    # what has neither digit nor @, identity numbers, and secrets, all in the spans of the query
+    for kind, text, own in ((0, "Please write to karin at example dot com about it.", "karin at example dot com"), (pii.SECRET, 'and passwd="swordfishswordfish" is all', "swordfishswordfish"), (pii.ID, "number 078-05-1120 given", "078-05-1120"), (pii.ID, "pay to DE89 3704 0044 0532 0130 00 now", "DE89 3704 0044 0532 0130 00")):
+        a = text.index(own)
+        assert (kind, a, a + len(own)) in pii.all_spans([text], model)[0][1]
+    for text in ("We look at the window and meet at noon.", "The secret of a password is its length: words.", "Key points follow."):
+        assert pii.all_spans([text], model)[0][1] == []
+    # few windows of plain text are run
+    marked = sum(len(np.unique(model.marked(pii.classes(t)) // pii.STRIDE)) for t in texts)
+    assert marked < 0.05 * sum(len(t) / pii.STRIDE for t in texts)
+
+
+def test_gate_sums_by_brute_force():
+    model = pii.default_model()
+    for text in ("", "a", "password: abc", "Ünïcode 東京 at dot " * 9):
+        c = pii.classes(text)
+        w = model.gate[pii.trigrams(c)].astype(float)
+        want = [w[max(0, i - pii.SPREAD) : i + pii.SPREAD + 1].sum() for i in range(len(c))]
+        assert np.allclose(pii.gate_sums(c, model.gate), want)
+        assert c.tolist() == [ord(x) if ord(x) < 128 else 128 if x.isalpha() else 129 if x.isdigit() else 130 for x in text]
 
 
 def test_one_decoding_of_the_whole_text():
@@ -62,7 +81,7 @@ def test_one_decoding_of_the_whole_text():
     t = pii.TAGS
     model = pii.default_model()
     text = " ".join(x for x, _ in pii.labelled_examples(30, seed=78)) + " plain words only " * 60
-    # all windows and those near a digit or @ give the same spans; so do texts alone and together
+    # all windows and those that the gate marks give the same spans; so do texts alone and together
     near, every = pii.model_spans([text], model), pii.model_spans([text], model, every=True)
     assert near == every and near[0]
     texts = [text[:500], "none here", text, "9" * 300, text[700:]]
@@ -88,6 +107,10 @@ def test_training_learns():
     examples = pii.labelled_examples(200, seed=3)
     assert pii.loaded(pii.saved(pii.train(examples, steps=2, batch=16))).trans.shape == (pii.TAGS, pii.TAGS)
     real = pii.real_examples(["x 10.0.0.1 y"] * 5 + ['token = "abcdefabcdefabcdef12" 1.2.3.4'], most=4)
+    plain = pii.plain_examples(["a" * 300 + "@b.cd", "", "1.2.3.4"])
+    assert len(plain) == 3 and all(len(t) <= pii.WINDOW for t, _ in plain) and ("1.2.3.4", [(1, 0, 7)]) in plain
+    more = pii.train(examples, steps=1, batch=8, start=pii.default_model())
+    assert more.trans.shape == (pii.TAGS, pii.TAGS) and np.isfinite(more.out).all()
     assert len(real) == 4 and all(k in (1, pii.SECRET) and text[a:b].strip() == text[a:b] for text, spans in real for k, a, b in spans)
 
 
@@ -98,7 +121,7 @@ def test_pii_query_and_redaction(corpus, odd, make):
         assert len(got) == len(rows)
         sums = sorted(str((r["doc_id"], hashlib.sha256(pii.shown(naive(r["text"] or "")).encode()).hexdigest())) for r in rows)
         assert sorted(str((g[0], g[5])) for g in got) == sums
-        assert all(g[8] == sum(g[1:5]) + g[7] and g[6].count(":") == 2 * sum(g[1:5]) for g in got)
+        assert all(g[9] == sum(g[1:5]) + g[7] + g[8] and g[6].count(":") == 2 * g[9] for g in got)
         clean = pii.redact(df)
         assert clean.columns == df.columns
         for r in clean.collect():
