@@ -2,18 +2,21 @@
 
 Every 64-byte window of a text's UTF-8 has an entropy, quantised to 0..1000 in whole-number arithmetic. A window's
 rank is how common its entropy is over all documents (rarest first; nearly constant windows are left out). In each
-run of 64 windows the leftmost of the lowest rank is chosen; windows chosen at least 16 times are the features. A text
-without such windows (under 142 bytes always) has all its windows of 8 bytes as features instead.
+run of 64 windows the leftmost of the lowest rank is chosen; windows chosen at least 16 times are the features.
 They enter Bloom filters of 256 bytes by five hashes, 160 features to a filter, then the next filter of the chain.
+Every text, of whatever length, has one more filter: of its windows of 8 bytes those of the 160 lowest hashes.
 Likeness compares set bits: per filter the best overlap with a filter of the other chain, less what chance gives,
-normalised, weighted by set bits.
+normalised, weighted by set bits. It is the mean of the chains' and the last filters' likeness, the chains' weighing as
+much as they have features (half of both texts' together) and the last filter's ``SHORT_WEIGHT``. So a text of a few
+hundred bytes, most of whose popular windows one changed byte removes, stays near its copy, and in long texts the
+improbable features decide; nothing changes abruptly with length.
 
 Two passes: the entropy counts of all documents (one row of counts per task, summed before 1,001 rows reach the
 driver), then the fingerprints, for which the texts are dealt once in ascending ``doc_id`` order so that each has
 its successor beside it. Fingerprints depend on the ranks: pass the ``counts`` of one table (``level_counts``, 1,001
 numbers) to compare those of several. A very long text is handled alone and takes about 100 bytes of memory for each
-of its own. Defined results: null text counts as empty; texts of under 8 bytes are one feature,
-an empty text none; two texts without features are alike (1), one with and one without are not (0); rows with equal
+of its own. Defined results: null text counts as empty; a text of under 8 bytes is one window of 8 bytes, an empty text
+none; two texts without features are alike (1), one with and one without are not (0); rows with equal
 ``doc_id`` are ordered by text, null ids first; a single row follows itself; an empty table gives no rows; other
 columns are ignored.
 """
@@ -23,6 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -40,8 +44,8 @@ RUN = 64
 POPULAR = 16
 FILTER_BYTES, FILTER_FEATURES, HASHES = 256, 160, 5
 LEVELS = 1001
-#: Bytes of a window of texts that are too short for popular windows.
-SHORT = 8
+#: Bytes of a short window, how many of them a text keeps, and what their likeness weighs, in popular windows.
+SHORT, SHORT_FEATURES, SHORT_WEIGHT = 8, FILTER_FEATURES, 8
 #: Entropies below this level are nearly constant windows.
 LEAST_LEVEL = 100
 _CHARS = 700_000
@@ -123,14 +127,26 @@ def ranks(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(texts: list[str], rank: np.ndarray) -> list[np.ndarray]:
-    """Of each text, its features' 64-bit hashes in order of first occurrence."""
+def lowest(h: np.ndarray) -> np.ndarray:
+    """The distinct hashes of the lowest ``SHORT_FEATURES``, ascending."""
+    if len(h) > 16 * SHORT_FEATURES:  # most often these are among those below a bound, which are few to sort
+        few = np.unique(h[h < np.uint64((1 << 64) // len(h) * 2 * SHORT_FEATURES)])
+        if len(few) >= SHORT_FEATURES:
+            return few[:SHORT_FEATURES]
+    return np.unique(h)[:SHORT_FEATURES]
+
+
+def features(texts: list[str], rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the 64-bit hashes of its popular windows in order of first occurrence, and of its lowest short ones."""
     x, starts = joined_bytes(texts)
     n = len(x)
-    own = [np.zeros(0, np.uint64)] * len(texts)
+    none = np.zeros(0, np.uint64)
+    own = [(none, none)] * len(texts)
     if not n:
         return own
     hashed = span_hashes(x)
+    at = np.arange(n)
+    short = hashed(at, np.minimum(at + SHORT, n))
     key = np.full(max(0, n - WINDOW + 1), _NONE)
     if len(key):
         r = rank[levels(x)]
@@ -150,13 +166,13 @@ def features(texts: list[str], rank: np.ndarray) -> list[np.ndarray]:
     for i in range(len(texts)):
         a, b = int(starts[i]), int(starts[i + 1])
         at = chosen[cut[i] : cut[i + 1]]
-        if len(at):
-            h = hashed(at, at + WINDOW)
-            own[i] = h[np.sort(np.unique(h, return_index=True)[1])]
-        elif b > a:  # no popular window: every short one
-            at = np.arange(a, max(a + 1, b - SHORT + 1))
-            h = hashed(at, np.minimum(at + SHORT, b))
-            own[i] = h[np.sort(np.unique(h, return_index=True)[1])]
+        h = hashed(at, at + WINDOW) if len(at) else none
+        if len(h):
+            h = h[np.sort(np.unique(h, return_index=True)[1])]
+        if b - a >= SHORT:
+            own[i] = h, lowest(short[a : b - SHORT + 1])
+        elif b > a:
+            own[i] = h, hashed(np.array([a]), np.array([b]))
     return own
 
 
@@ -171,8 +187,31 @@ def chain(feature: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
+@dataclass(frozen=True)
+class Print:
+    """A text's fingerprint: numbers of features, the chain of its popular windows, the filter of its short ones."""
+
+    n: tuple[int, int]
+    popular: np.ndarray
+    short: np.ndarray
+
+    @classmethod
+    def of(cls, feature: tuple[np.ndarray, np.ndarray]) -> Print:
+        return cls((len(feature[0]), len(feature[1])), chain(feature[0]), chain(feature[1]))
+
+    def __str__(self) -> str:
+        return ":".join(f"{n}:{base64.b64encode(f.tobytes()).decode()}" for n, f in zip(self.n, (self.popular, self.short), strict=True))
+
+
+def likeness(a: Print, b: Print) -> float:
     """0 to 1; the same from either side."""
+    n = (a.n[0] + b.n[0]) / 2
+    near = overlap(a.short, b.short)
+    return near if not n else (n * overlap(a.popular, b.popular) + SHORT_WEIGHT * near) / (n + SHORT_WEIGHT)
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two chains, 0 to 1."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     na, nb = np.bitwise_count(a).sum(axis=1).astype(float), np.bitwise_count(b).sum(axis=1).astype(float)
@@ -186,10 +225,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(one if len(a) < len(b) else other if len(b) < len(a) else (one + other) / 2)
 
 
-def shown(feature: np.ndarray, filters: np.ndarray) -> str:
-    return f"{len(feature)}:{base64.b64encode(filters.tobytes()).decode()}"
-
-
 def edited(text: str, after: str) -> str:
     """The last half of the text (rounded down) replaced by as much of the next one's beginning."""
     n = len(text)
@@ -208,13 +243,12 @@ def fingerprints(docs: DataFrame, counts: np.ndarray | None = None, with_text: b
         """Of (doc_id, text) rows in order, all but the last."""
         texts = [t for _, t in run]
         changed = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
-        found = features(texts + changed, rank)
-        made = [(f, chain(f)) for f in found]
+        made = [Print.of(f) for f in features(texts + changed, rank)]
         out = []
         for i, (doc_id, text) in enumerate(run[:-1]):
-            (f, c), (_, after), (g, d) = made[i], made[i + 1], made[len(run) + i]
+            own, after, other = made[i], made[i + 1], made[len(run) + i]
             what = changed[i] if with_text else hashlib.sha256(changed[i].encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((doc_id, len(text), what, shown(f, c), shown(g, d), likeness(c, d), likeness(c, after)))
+            out.append((doc_id, len(text), what, str(own), str(other), likeness(own, other), likeness(own, after)))
         return out
 
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

@@ -203,9 +203,8 @@ def test_fingerprints(corpus, odd, make):
         for i, (g, (_, text)) in enumerate(zip(got, rows, strict=True)):
             after = rows[(i + 1) % len(rows)][1]
             e = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
-            f, h, n = (fingerprint.features([t], rank)[0] for t in (text, e, after))
-            cf, ch, cn = map(fingerprint.chain, (f, h, n))
-            assert g[1:] == (len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint.shown(f, cf), fingerprint.shown(h, ch), fingerprint.likeness(cf, ch), fingerprint.likeness(cf, cn))
+            f, h, n = (fingerprint.Print.of(fingerprint.features([t], rank)[0]) for t in (text, e, after))
+            assert g[1:] == (len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), str(f), str(h), fingerprint.likeness(f, h), fingerprint.likeness(f, n))
 
 
 def test_features_and_likeness_by_brute_force():
@@ -229,7 +228,10 @@ def test_features_and_likeness_by_brute_force():
 
     made = {}
     for t in (text, other):
-        got, want = fingerprint.features([t], rank)[0], brute(t)
+        (got, few), want = fingerprint.features([t], rank)[0], brute(t)
+        raw = np.frombuffer(t.encode(), np.uint8)
+        short = {int(fingerprint.span_hashes(raw[i : i + 8])(np.array([0]), np.array([8]))[0]) for i in range(len(raw) - 7)}
+        assert few.tolist() == sorted(short)[:160]
         assert len(got) == len(want) > 5
         hashes = [int(fingerprint.span_hashes(np.frombuffer(w, np.uint8))(np.array([0]), np.array([64]))[0]) for w in want]
         assert hashes == got.tolist()
@@ -242,20 +244,40 @@ def test_features_and_likeness_by_brute_force():
     one = sum(max(score(p, q) for q in y) * len(p) for p in x) / sum(map(len, x))
     two = sum(max(score(p, q) for p in x) * len(q) for q in y) / sum(map(len, y))
     want = one if len(x) < len(y) else two if len(y) < len(x) else (one + two) / 2
-    assert abs(fingerprint.likeness(a, b) - want) < 1e-12
+    assert abs(fingerprint.overlap(a, b) - want) < 1e-12
+    p, q = (fingerprint.Print.of(fingerprint.features([t], rank)[0]) for t in (text, other))
+    mean = (p.n[0] + q.n[0]) / 2
+    assert abs(fingerprint.likeness(p, q) - (mean * want + 8 * fingerprint.overlap(p.short, q.short)) / (mean + 8)) < 1e-12
     # short texts: likeness falls with the share kept
     short = "".join(rng.choice("abcdefghij ") for _ in range(100))
     other = short[:50] + "".join(rng.choice("klmnopqrst ") for _ in range(50))
-    c, d, e = (fingerprint.chain(fingerprint.features([t], rank)[0]) for t in (short, other, "".join(rng.choice("uvwxyz ") for _ in range(100))))
+    c, d, e = (fingerprint.Print.of(fingerprint.features([t], rank)[0]) for t in (short, other, "".join(rng.choice("uvwxyz ") for _ in range(100))))
     assert 0.25 < fingerprint.likeness(c, d) < 0.75 and fingerprint.likeness(c, e) < 0.1
 
 
+def test_fingerprint_of_one_changed_character_at_all_lengths():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 9)))
+    whole = [" ".join(word() for _ in range(400)) for _ in range(60)]
+    rank = fingerprint.ranks(np.bincount(fingerprint.levels(fingerprint.joined_bytes(["".join(whole)])[0]), minlength=1001))
+    made = lambda texts: [fingerprint.Print.of(f) for f in fingerprint.features(texts, rank)]
+    for n in (40, 100, 127, 128, 141, 142, 150, 170, 200, 260, 400, 800, 1600):
+        texts = [w[:n] for w in whole]
+        places = [rng.randrange(n) for _ in texts]
+        near = [fingerprint.likeness(a, b) for a, b in zip(made(texts), made([t[:i] + "#" + t[i + 1 :] for t, i in zip(texts, places, strict=True)]), strict=True)]
+        assert min(near) > 0.5 and sum(near) / len(near) > 0.7
+        half = [fingerprint.likeness(a, b) for a, b in zip(made(texts), made([t[: n - n // 2] + u[: n // 2] for t, u in zip(texts, texts[1:] + texts[:1], strict=True)]), strict=True)]
+        far = [fingerprint.likeness(a, b) for a, b in zip(made(texts), made(texts[1:] + texts[:1]), strict=True)]
+        assert min(half) > max(far) + 0.1 and max(far) < 0.2
+        print(n, [round(f(xs), 2) for xs in (near, half, far) for f in (min, lambda xs: sum(xs) / len(xs), max)])
+
+
 def test_fingerprint_likeness_follows_the_edit():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randrange(2, 9)))
     a, b = (" ".join(word() for _ in range(1500)) for _ in range(2))
     rank = fingerprint.ranks(np.bincount(fingerprint.levels(fingerprint.joined_bytes([a + b])[0]), minlength=1001))
-    made = [fingerprint.chain(fingerprint.features([t], rank)[0]) for t in (a, b, a[: len(a) // 2] + b[len(b) // 2 :])]
+    made = [fingerprint.Print.of(fingerprint.features([t], rank)[0]) for t in (a, b, a[: len(a) // 2] + b[len(b) // 2 :])]
     assert fingerprint.likeness(made[0], made[0]) == 1 and fingerprint.likeness(made[0], made[1]) < 0.15
     assert 0.3 < fingerprint.likeness(made[0], made[2]) < 0.7
     assert abs(fingerprint.likeness(made[0], made[2]) - fingerprint.likeness(made[2], made[0])) < 1e-12
