@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._chars import span_hashes
+from ._chars import mixed, span_hashes
 from ._encode import in_batches
 from ._order import in_order
 from ._store import small_batches
@@ -127,13 +127,27 @@ def ranks(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def short_hashes(x: np.ndarray) -> np.ndarray:
+    """Of every 8 bytes, as one number, the hash."""
+    out = np.empty(max(0, len(x) - SHORT + 1), np.uint64)
+    for k in range(min(SHORT, len(out))):
+        own = out[k::SHORT]
+        own[:] = np.frombuffer(x[k : k + len(own) * SHORT].tobytes(), "<u8")
+    return mixed(out)
+
+
+def _once(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+
+
 def lowest(h: np.ndarray) -> np.ndarray:
     """The distinct hashes of the lowest ``SHORT_FEATURES``, ascending."""
-    if len(h) > 16 * SHORT_FEATURES:  # most often these are among those below a bound, which are few to sort
-        few = np.unique(h[h < np.uint64((1 << 64) // len(h) * 2 * SHORT_FEATURES)])
+    if len(h) > 4 * SHORT_FEATURES:  # most often these are among those below a bound, which are few to sort
+        few = _once(h[h < np.uint64((1 << 64) // len(h) * 2 * SHORT_FEATURES)])
         if len(few) >= SHORT_FEATURES:
             return few[:SHORT_FEATURES]
-    return np.unique(h)[:SHORT_FEATURES]
+    return _once(h)[:SHORT_FEATURES]
 
 
 def features(texts: list[str], rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -145,8 +159,7 @@ def features(texts: list[str], rank: np.ndarray) -> list[tuple[np.ndarray, np.nd
     if not n:
         return own
     hashed = span_hashes(x)
-    at = np.arange(n)
-    short = hashed(at, np.minimum(at + SHORT, n))
+    short = short_hashes(x)
     key = np.full(max(0, n - WINDOW + 1), _NONE)
     if len(key):
         r = rank[levels(x)]
