@@ -478,7 +478,7 @@ def valid(kind: int, own: str) -> bool:
         at = _AT.search(own, 1)
         return at is not None and _DOT.search(own, at.end()) is not None
     if kind == 1:
-        return len(numbers) == 4 and all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in numbers)
+        return len(numbers) == 4 and all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in numbers)
     if kind == 2:
         return 16 <= n <= 19 and luhn("".join(numbers))
     if kind == SECRET:
@@ -568,14 +568,15 @@ def _mapped(docs: DataFrame, answer, extra: str, model: Model | None, keep: list
 
 
 def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_id (of all spans), base and spans (all of them) as text,
-    kind:start:end by kind and start."""
+    """doc_id, n_email, n_ip, n_card, n_phone (of the base spans), n_secret, n_id, n_found (of all spans), base and spans
+    (all of them) as text, kind:start:end by kind and start."""
 
     def answer(text, base, every):
-        return (*[sum(k == i for k, _, _ in every) for i in range(len(NAMES))], shown(base), shown(every))
+        counts = [sum(k == i for k, _, _ in (base if i < len(KINDS) else every)) for i in range(len(NAMES))]
+        return (*counts, len(every), shown(base), shown(every))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    extra = ", ".join([f"n_{k} long" for k in NAMES] + ["base string", "spans string"])
+    extra = ", ".join([f"n_{k} long" for k in (*NAMES, "found")] + ["base string", "spans string"])
     return _mapped(own, answer, extra, model, ["doc_id"])
 
 
@@ -600,8 +601,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    every = sum((F.col(f"n_{k}") for k in NAMES[1:]), F.col("n_email"))
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", *[f"n_{k}" for k in NAMES[len(KINDS) :]], every.alias("n_found"))
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", *[f"n_{k}" for k in NAMES[len(KINDS) :]], "n_found")
 
 
 def main(argv: list[str]) -> None:

@@ -129,6 +129,19 @@ def test_pii_query_and_redaction(corpus, odd, make):
     assert pii.redacted("a b@c.de f", [(0, 2, 8)]) == "a <EMAIL> f"
 
 
+def test_counts_are_of_the_base_spans(make):
+    """What the network adds is in ``spans`` and ``n_found`` alone."""
+    texts = ["Please write to karin at example dot com about it.", "Write to karin at example dot com or to bob@example.org now.", "Call 555-123-4567 or 030 1234567 today, or write to jo.smith (@) example.org for more.", "0" * 5000 + ".1.2.3"]
+    got = {r["doc_id"]: r for r in pii.digest(pii.find(make([(i, t, None, None) for i, t in enumerate(texts)]))).collect()}
+    for i, text in enumerate(texts):
+        base = naive(text) if i < 3 else [(1, 0, 5006)]
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in range(4)]
+        assert got[i]["base_sha256"] == hashlib.sha256(pii.shown(base).encode()).hexdigest()
+        assert got[i]["n_found"] == got[i]["spans"].count(":") // 2
+    assert all(got[i]["n_found"] > sum(got[i][f"n_{k}"] for k in pii.KINDS) for i in range(3))
+    assert pii.valid(1, "0" * 5000 + ".1.2.3") and not pii.valid(1, "256.1.2.3")
+
+
 def test_language(corpus, odd, make):
     rows = {r["doc_id"]: r for r in corpus.collect()}
     got = language.digest(corpus).collect()
