@@ -12,10 +12,12 @@ The scores are not combined as max-plus matrices of stretches, though those are
 probability (equal distances around a missing genotype) are told apart by the rounding of the sums from left to right,
 and sums in another order tell them apart otherwise. Exact sums changed 44 of 2,008, 1 of 2,250 and 50 of 2,250 paths
 on three sets. The functions of states have no rounding, so they are combined freely. Ties go to state 0 (A).
+For the same reason logarithms are the C library's (``math.log``): the JVM's differ in the last bit for some distances.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.scalars import emission, midpoint, sample_id, state_label, switch_probability
+from ..functions.scalars import midpoint, sample_id, state_label, switch_probability
 from ..params import HmmParams
 from ..sources.shared import stored
 from .ordered import WIDTH
@@ -65,7 +67,8 @@ def _forward(logs: dict[str, float]):
                     scores = logs["half"] + shown[0]
                     back[1, 0] = True
                     start = 1
-                b0, b1, stays, goes = back[0, :, :n], back[1, :, :n], row["stay"], row["go"]
+                b0, b1 = back[0, :, :n], back[1, :, :n]
+                stays, goes = [math.log(1 - x) for x in row["switch"]], [math.log(x) for x in row["switch"]]
                 for i in range(start, m):
                     stay, come = scores + stays[i], scores[::-1] + goes[i]
                     np.greater(come[0], stay[0], out=b0[i])
@@ -102,11 +105,10 @@ def _end_states(batches: Iterable) -> Iterator:
 
 def viterbi(clean: DataFrame, p: HmmParams = HmmParams(), size: int = STRETCH, width: int = WIDTH) -> DataFrame:
     """The stretches with their back-pointers and ``state_at_end``."""
-    spark = clean.sparkSession
     rows = stored(marker_stretches(stored(clean.select("map", "chromosome", "coordinate", "snp_name", "genotypes"), "hmm-markers"), size, width), "hmm-stretches")
-    logs = spark.range(1).select(F.ln(F.lit(0.5)).alias("half"), *[emission(0, F.lit(o), p).alias(name) for o, name in (("A", "match"), ("B", "mismatch"), ("-", "missing"))]).first().asDict()
+    logs = {"half": math.log(0.5), "match": math.log(p.match), "mismatch": math.log(p.mismatch), "missing": math.log(p.missing)}
     switch = F.transform("markers", lambda m: switch_probability(m["coordinate"] - m["left_coordinate"], p))
-    steps = rows.select(*KEYS, "n", F.transform("markers", lambda m: m["genotypes"]).alias("genotypes"), F.transform(switch, lambda x: F.ln(1 - x)).alias("stay"), F.transform(switch, F.ln).alias("go"))
+    steps = rows.select(*KEYS, "n", F.transform("markers", lambda m: m["genotypes"]).alias("genotypes"), switch.alias("switch"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*KEYS).schema)
     ordered = steps.repartition(*_GROUP).sortWithinPartitions(*KEYS)
     traced = stored(ordered.mapInArrow(_forward(logs), f"{kinds}, to0 binary, to1 binary, from0 bigint, from1 bigint, top bigint"), "hmm-forward")

@@ -66,6 +66,14 @@ def test_viterbi_matches_loop(spark):
     assert got[("m", 8)] == "0" * 40 and got[("one", 0)] == "1" and got[("one", 1)] == "0"
 
 
+def test_viterbi_ties_by_the_c_librarys_logarithms(spark):
+    """Two paths of equal probability, told apart by the last bit of the logarithm of one distance."""
+    for obs, gaps in (("AA-BA-B", [2, 12, 12, 12, 12, 12]), ("AA-BABA-BB-BB", [1, 12, 1, 1, 12, 1, 12, 12, 2, 1, 1, 1])):
+        coords = [240_000 * sum(gaps[:i]) for i in range(len(obs))]
+        rows = [("m", i, 1, c, f"S{i:02d}", x) for i, (c, x) in enumerate(zip(coords, obs, strict=True))]
+        assert [r["path"] for r in hmm.path_strings(hmm.viterbi(spark.createDataFrame(rows, SCHEMA))).collect()] == [decode(obs, coords)]
+
+
 def test_viterbi_over_seams(spark):
     """Stretches of a few markers, two blocks of samples, ties, strings that are too short, several markers at one place."""
     rng = random.Random(8)
