@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from ..sources.shared import stored
 from . import adapters as A
 
 PROFILE = ProfileParams(bin_size=100, flanking_bp=1000, body_bins=25)
+UNIFORM = replace(PROFILE, uniform=True)
 EVENT_GAP = 86_400_000
 SIMULATION = SimulationParams()
 N_REGIONS = SIMULATION.regions
@@ -259,18 +261,16 @@ def metaplot_slots(spark, d):
 
 @query
 def midpoint_range_join(spark, d):
-    return profile.window_sums(profile.slots(_bounded(spark, d), PROFILE), A.signal(spark, d))
+    return profile.gene_sums(_bounded(spark, d), A.signal(spark, d), PROFILE)
 
 
 @query
 def uniform_overlap_join(spark, d):
-    w = profile.slots(_bounded(spark, d), PROFILE)
-    return profile.window_sums(w, A.signal(spark, d), uniform=True).withColumn("value", F.round("value", 6) + 0.0)
+    return profile.gene_sums(_bounded(spark, d), A.signal(spark, d), UNIFORM).withColumn("value", F.round("value", 6) + 0.0)
 
 
 def _profile(spark, d, uniform):
-    p = ProfileParams(PROFILE.bin_size, PROFILE.flanking_bp, PROFILE.body_bins, uniform)
-    rows = profile.profile(A.stranded_genes(spark, d), A.signal(spark, d), p)
+    rows = profile.profile(A.stranded_genes(spark, d), A.signal(spark, d), UNIFORM if uniform else PROFILE)
     return rows.select("slot", F.round("mean", 9).alias("mean"), F.round("se", 9).alias("se"), "n")
 
 

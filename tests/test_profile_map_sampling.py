@@ -77,6 +77,34 @@ def test_window_sums_over_seams(spark, uniform):
     assert got[200] == got[201] == got[202] == 0
 
 
+@pytest.mark.parametrize("uniform", [False, True])
+def test_gene_sums_over_seams(spark, uniform):
+    """Genes and signal across stretches against all windows and all signal; what is shuffled is a row a gene, not a window."""
+    rng = random.Random(14)
+    genes = [(rng.choice(["c", "d", "dark"]), a := rng.randrange(4000), a + rng.choice((0, 5, 40, 300, 1500)), rng.choice(["+", "-", None]), i) for i in range(60)]
+    genes += [(None, 5, 90, "+", 60), ("c", None, 70, "+", 61), ("c", 80, None, "-", 62)]
+    signal = [(rng.choice(["c", "d"]), a := rng.randrange(-50, 4500), a + rng.choice((0, 1, 7, 60, 900)), rng.random() * 10 - 3) for _ in range(300)]
+    signal += [("c", 500, 502, 1.5)] * 80 + [("c", 0, 2500, 7.0), ("c", 10, 20, None), ("c", 10, 20, float("nan")), ("c", 30, 31, float("inf")), (None, 5, 9, 2.0), ("c", None, 9, 2.0)]
+    p = ProfileParams(10, 60, 4, uniform)
+    bounded = profile.flank_bounds(spark.createDataFrame(genes, GENES), p.flanking_bp)
+    rows = spark.createDataFrame(signal, "chr string, start long, end long, value double")
+    slots = profile.slots(bounded, p)
+    for width in (64, 10, 1 << 20):
+        df = profile.gene_sums(bounded, rows, p, width=width)
+        assert df.columns == [*slots.columns, "value"] and [f.dataType for f in df.schema][:-1] == [f.dataType for f in slots.schema]
+        got = [tuple(r) for r in df.collect()]
+        assert sorted((g[:-1] for g in got), key=str) == sorted(map(tuple, slots.collect()), key=str)
+        for g in got:
+            own = [(x, y, v) for k, x, y, v in signal if k is not None and k == g[1] and x is not None and v is not None and abs(v) < float("inf")]
+            a, b = g[5], g[6]
+            want = sum(v * max(0, min(b, y) - max(a, x)) / (y - x) for x, y, v in own if y > x) if uniform else sum(v for x, y, v in own if a <= (x + y) // 2 < b)
+            assert abs(g[7] - want) < 1e-9
+        sums = {r["slot"]: r for r in profile.gene_sums(bounded, rows, p, True, width).groupBy("slot").sum("s", "q", "n").collect()}
+        for slot in range(p.total):
+            own = [g[7] for g in got if g[4] == slot]
+            assert not own and slot not in sums or sums[slot]["sum(n)"] == len(own) and abs(sums[slot]["sum(s)"] - sum(own)) < 1e-9 and abs(sums[slot]["sum(q)"] - sum(v * v for v in own)) < 1e-9
+
+
 def test_tumbling_drops_remainders(spark):
     df = spark.createDataFrame([("c", 0, 25, "+", 0), ("c", 5, 9, "+", 1)], GENES)
     got = sorted((r["left_start"], r["right_start"]) for r in profile.tumbling_bins(df, 10).collect())
