@@ -1,18 +1,21 @@
 """Crossovers called from changes between informative markers, without a model.
 
-Runs form a monoid: those of a stretch of markers (``stretches``) are read off its row for each sample, without a row per
-genotype, and runs of neighbouring stretches join where the last of one and the first of the next have one state. A
+Runs form a monoid: those of a stretch of markers (``stretches``) are read off its row for all samples at once, without a row
+per genotype, and runs of neighbouring stretches join where the last of one and the first of the next have one state. A
 window over the runs of a sample does that; nothing is collected beyond a stretch. Markers at one place are in order of
 name, then of genotypes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import midpoint
 from ..params import SwitchParams
+from ..sources.shared import stored
 from .hmm import collapse_close_pairs
 from .ordered import WIDTH
 from .stretches import SAMPLES, STRETCH, marker_stretches
@@ -20,29 +23,37 @@ from .stretches import SAMPLES, STRETCH, marker_stretches
 _SAMPLE = ["map", "sample_idx", "chromosome"]
 
 
-def _sample_runs(at: Column) -> Column:
-    """Array of the runs of the block's sample ``at`` within the row's markers."""
-    seen = F.transform("markers", lambda m, i: F.struct((i + 1).alias("i"), F.substring(m["genotypes"], at + 1, F.lit(1)).alias("s")))
-    seen = F.filter(seen, lambda x: x["s"].isin("A", "B"))
-    # in an array of one, so that each is computed once
-    held = F.transform(F.array(seen), lambda v: F.struct(v.alias("v"), F.filter(F.transform(v, lambda x, k: F.when(F.coalesce(F.get(v, k - 1)["s"] != x["s"], F.lit(True)), k)), lambda k: k.isNotNull()).alias("k")))
-
-    def own_runs(h: Column) -> Column:
-        v, starts = h["v"], h["k"]
-        marker = lambda place: F.element_at("markers", F.get(v, place)["i"])
-
-        def run(start: Column, r: Column) -> Column:
-            end = F.coalesce(F.get(starts, r + 1), F.size(v))
-            first, last = marker(start), marker(end - 1)
-            return F.struct(
-                (F.col("block") * SAMPLES + at).cast("int").alias("sample_idx"), r.alias("part"), F.get(v, start)["s"].alias("state"), (end - start).cast("long").alias("n_markers"),
-                first["coordinate"].alias("first_coordinate"), last["coordinate"].alias("last_coordinate"), first["snp"].alias("first_snp"), last["snp"].alias("last_snp"),
+_RUN = ["map", "sample_idx", "chromosome", "stretch", "part", "state", "n_markers", "first_coordinate", "last_coordinate", "first_snp", "last_snp"]
+
+
+def _stretch_runs(batches: Iterable) -> Iterator:
+    """Of rows of markers the runs of each sample within them."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for r, n in enumerate(batch.column("n").to_pylist()):
+            markers = batch.column("markers")[r].values
+            coordinates, snps = markers.field("coordinate"), markers.field("snp")
+            seen = np.frombuffer("".join(g.ljust(n, "-")[:n] for g in markers.field("genotypes").to_pylist()).encode("ascii", "replace"), np.uint8)
+            seen = seen.reshape(len(markers), n).T
+            sample, i = np.nonzero((seen == 65) | (seen == 66))  # sample after sample, each in order of its markers
+            if not len(i):
+                continue
+            state = seen[sample, i]
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(sample) != 0) | (state[1:] != state[:-1])]))
+            size = np.diff(first, append=len(i))
+            whose, start, end = sample[first], pa.array(i[first]), pa.array(i[first + size - 1])
+            part = np.arange(len(first)) - np.searchsorted(whose, whose)
+            own = lambda c: pa.repeat(batch.column(c)[r], len(first))  # noqa: B023, E731
+            yield pa.record_batch(
+                [
+                    own("map"), pa.array(batch.column("block")[r].as_py() * SAMPLES + whose, pa.int32()), own("chromosome"), own("stretch"), pa.array(part, pa.int32()),
+                    pa.array(np.where(state[first] == 65, "A", "B"), pa.string()), pa.array(size, pa.int64()), coordinates.take(start), coordinates.take(end), snps.take(start), snps.take(end),
+                ],
+                _RUN,
             )
 
-        return F.transform(starts, run)
-
-    return F.flatten(F.transform(held, own_runs))
-
 
 def runs(markers: DataFrame, size: int = STRETCH, width: int = WIDTH) -> DataFrame:
     """Runs of equal informative states: state, n_markers, first and last marker, span."""
@@ -51,10 +62,12 @@ def runs(markers: DataFrame, size: int = STRETCH, width: int = WIDTH) -> DataFra
 
 def _runs_table(markers: DataFrame, size: int = STRETCH, width: int = WIDTH) -> DataFrame:
     """The runs of each stretch, joined where neighbours of one sample have the same state."""
-    parts = ["part", "state", "n_markers", "first_coordinate", "last_coordinate", "first_snp", "last_snp"]
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), _sample_runs))
-    rows = marker_stretches(markers, size, width).select("map", "chromosome", "stretch", F.explode(every).alias("r"))
-    rows = rows.select("map", F.col("r.sample_idx").alias("sample_idx"), "chromosome", "stretch", *[F.col(f"r.{n}").alias(n) for n in parts])
+    markers = stored(markers.select("map", "chromosome", "coordinate", "snp_name", "genotypes"), "switch-markers")  # read twice
+    rows = marker_stretches(markers, size, width)
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    of = lambda c: markers.schema[c].dataType.simpleString()
+    schema = f"map {kind('map')}, sample_idx int, chromosome {kind('chromosome')}, stretch {kind('stretch')}, part int, state string, n_markers bigint, first_coordinate {of('coordinate')}, last_coordinate {of('coordinate')}, first_snp {of('snp_name')}, last_snp {of('snp_name')}"
+    rows = rows.mapInArrow(_stretch_runs, schema)
     w = Window.partitionBy(*_SAMPLE).orderBy("stretch", "part")
     prior = {f"left_{name}": F.lag(of).over(w) for name, of in (("coordinate", "last_coordinate"), ("snp", "last_snp"), ("state", "state"))}
     rows = rows.withColumns(prior).withColumn("opens", F.when(F.col("left_state") == F.col("state"), 0).otherwise(1))
