@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import allele_balance, n_a, n_b, sample_id, whole
 from ..params import CleaningParams
+from ..sources.shared import stored
 
 KEYS = ["map", "chromosome", "coordinate", "snp_name"]
 
@@ -103,13 +104,14 @@ def isolated_flips(markers: DataFrame) -> DataFrame:
 def staged(markers: DataFrame, p: CleaningParams = CleaningParams()) -> tuple[DataFrame, DataFrame]:
     """(deduplicated markers with ``stage`` missing, balance, flip or final; kept samples per map).
 
-    The flip rate is over the markers that the filters before it leave.
+    The flip rate is over the markers that the filters before it leave. What is read several times is stored.
     """
-    dedup = deduplicate(markers)
-    kept = kept_samples(sample_missingness(dedup), p)
+    dedup = stored(deduplicate(markers), "deduplicated")
+    kept = stored(kept_samples(sample_missingness(dedup), p), "kept")
     rows = marker_metrics(dedup, kept)
     balanced = F.coalesce(F.col("balance").between(p.min_balance, p.max_balance), F.lit(False))
     rows = rows.withColumn("stage", F.when(F.col("missingness") > p.max_marker_missing, "missing").when(~balanced, "balance"))
+    rows = stored(rows, "metrics")
     left = isolated_flips(rows.filter("stage is null"))
     left = left.withColumn("stage", F.when(F.col("flip_rate") > p.max_isolated_flip, "flip").otherwise("final"))
     gone = rows.filter("stage is not null").withColumn("flip_rate", F.lit(None).cast("double"))

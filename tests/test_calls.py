@@ -165,6 +165,23 @@ def test_runs_over_seams(spark):
     assert got == want
 
 
+def test_markers_are_computed_once(spark):
+    """Runs and cleaning read their input once, whatever it costs."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.createDataFrame([("m", i, 1, 10 * i, f"S{i:02d}", "ABBA-ABAB"[i % 3 :] + "AB") for i in range(40)], SCHEMA)
+    rows = rows.withColumn("genotypes", F.udf(noted, "string").asNondeterministic()("genotypes"))
+    assert switches.runs(rows).count() and seen.value == 40
+    genotypes.clean(rows).collect()
+    assert seen.value == 80
+
+
 def test_marey(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 9, "b"), (1, 9_000_000, "a"), (2, 4, "a")], "chromosome int, event_bp long, sample_id string")
     got = sorted((r["chromosome"], r["rank"], r["event_bp"], r["cumulative"]) for r in marey.marey_curve(df, width=8).collect())
