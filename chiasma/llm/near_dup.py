@@ -10,12 +10,13 @@ not compared: of pairs with a share s of their shingles in common (in all that e
 s ** 2 or somewhat less, so at s = 0.6 all but 0.01 % are found, at 0.5 all but 0.3 %, at 0.4 all but 3 %, at 0.3 all
 but 15 %. One word in 20 edited leaves s = 0.6, one in ten s = 0.4.
 
-Equal texts are one node from the start, and different texts with one ``doc_id`` are different nodes. Within a key all pairs are never listed, as their number grows with the square
-of a hot key. Every member is compared with the key's centre, the text with the smallest hash; a member that is then in no
-class with it with two other members; and the members that still are in none with each other's first, a second centre.
-So a key costs an alignment to four a member. Two members are in one class when one chain of such links joins them, in
-this or in any other of the keys that they share: a similar pair is missed only where each of its keys is one of so many
-unlike texts. A centre is sent to one task for each ``PART`` of its members, so a hot one is dealt over many tasks.
+Equal texts are one node from the start, and different texts with one ``doc_id`` are different nodes. Every member of a
+key is compared with the key's centre, the text with the smallest hash, and those then in no class with it with the first
+of them, a second centre. What is left is compared in full: of a key whose members still are in several classes every pair
+from two classes is looked at, in blocks of ``BLOCK`` by ``BLOCK`` members dealt over tasks. Their counts of words in ``COUNTS``
+cells bound from above how many words both have, so a pair that the bound rules out cannot pass; all others are aligned. So of the
+pairs that share a key none that passes is left in two classes. A centre is sent to one task for each ``PART`` of its
+members, so a hot one is dealt over many tasks.
 
 Defined results: null text counts as empty; texts without words are equal only if they are the same; a very long text
 is sketched alone, in memory in proportion to it; rows with a null ``doc_id`` take the class of their text if it has
@@ -41,6 +42,11 @@ ORDERED = 2
 SIMILARITY = 0.8
 #: Members of a centre that go to one task together.
 PART = 256
+#: Members to a side of a block of pairs, and cells of the word counts that rule pairs out.
+BLOCK = 512
+COUNTS = 128
+#: Slots of a sieve's bitmap, which is 8 MB at most.
+SLOTS = 1 << 26
 _CHARS, _TEXTS, _CELLS = 500_000, 500, 500_000
 _STEPS = [np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xAAF54A3D5A1B1C61, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 _SALTS = mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * _STEPS[1])
@@ -172,10 +178,22 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key binary, band_keys array<long>")
 
 
+def _sieved(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows`` without most of those whose ``name`` is not in ``wanted``: a bitmap of hashes goes to every task, so what
+    a join would drop is not shuffled for it."""
+    slot = F.pmod(F.xxhash64(name), F.lit(SLOTS))
+    bits = wanted.select(slot.alias("_slot")).select("_slot", F.bitmap_bucket_number("_slot").alias("_bucket")).repartition("_bucket")
+    bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("_bucket"))
+    return met.filter(F.get(F.array(*[byte.bitwiseAND(1 << k) for k in range(8)]), (at % 8).cast("int")) > 0).select(*rows.columns)
+
+
 def _sequences(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id (the text's key) and sh, the words (binary, 64-bit little-endian), of the texts in ``ids``; one row per text."""
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.unhex(F.md5("text")).alias("id"), "text")
-    rows = rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    rows = _sieved(rows, ids, "id").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,18 +275,28 @@ def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     base = stored(sketches(docs), "near-dup-sketches")
     texts = base.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.any_value("band_keys").alias("band_keys")).filter("doc_id is not null")
     texts = stored(texts.withColumnRenamed("text_key", "id"), "near-dup-texts")
-    members = texts.select("id", F.explode("band_keys").alias("key"))
-    draw = F.xxhash64("id", "key")
-    centres = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.min_by("id", draw).alias("p"), F.max_by("id", draw).alias("q"))
-    members = stored(members.join(centres.filter("n > 1").drop("n"), "key").select("id", "a", "p", "q").distinct(), "near-dup-members")
+    members = texts.select("id", F.explode(F.array_distinct("band_keys")).alias("key"))
+    shared = stored(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "near-dup-keys")
+    members = stored(_sieved(members, shared, "key").join(shared, "key", "left_semi"), "near-dup-members")
+    # keys with the same members are one group
+    groups = members.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    groups = groups.select("key", "a", F.xxhash64("a", "n", "x").alias("group"))
+    members = stored(members.join(groups, "key").select("group", "a", "id").distinct(), "near-dup-groups")
     pairs = stored(members.filter("a <> id").select("a", F.col("id").alias("b")).distinct(), "near-dup-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sequences = stored(_sequences(docs, ids), "near-dup-sequences")
     roots = stored(components(stored(verified(pairs, sequences, least), "near-dup-stars")), "near-dup-roots")
-    for others in (_others, _again):
-        more = stored(verified(stored(others(pairs, members, roots), "near-dup-others"), sequences, least), "near-dup-more")
-        if not more.isEmpty():
-            roots = stored(components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more)), "near-dup-roots")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        more = stored(verified(pairs, sequences, least), "near-dup-more")
+        return roots if more.isEmpty() else stored(components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more)), "near-dup-roots")
+
+    roots = linked(stored(_again(members, roots), "near-dup-again"))
+    rest = stored(_rest(_apart(members, roots), sequences, least), "near-dup-rest")
+    if not rest.isEmpty():
+        # each text with the least of those it may pass with, so a family costs a pair a text; then all that are apart
+        roots = linked(stored(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-dup-least"))
+        roots = linked(stored(_split(rest, roots), "near-dup-last"))
     own = stored(texts.select("id", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "near-dup-rooted")
     least_of = own.groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("m"))
     of = own.join(least_of, "root").select(F.col("id").alias("text_key"), F.col("doc_id").alias("id"), F.col("m.doc_id").alias("class_id"), (F.col("m.id") == F.col("id")).alias("first"))
@@ -293,22 +321,86 @@ def _split(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.filter("_ra <> _rb").select("a", "b")
 
 
-def _others(pairs: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of a member that is in no class with one of its centres and two other members of each of its keys."""
-    loose = _split(pairs, roots).select(F.col("b").alias("id")).distinct()
-    found = members.join(loose, "id", "left_semi").select("id", F.explode(F.array("p", "q")).alias("y")).filter("id <> y").distinct()
-    found = _rooted(_rooted(found, roots, "id", "_rx"), roots, "y", "_ry").filter("_rx <> _ry")
-    return found.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+def _again(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of a group's members that are in no class with its centre and a second centre, the first of them."""
+    rows = _rooted(_rooted(members, roots, "a", "_ra"), roots, "id", "_rx").filter("_ra <> _rx").select("group", "id")
+    second = rows.groupBy("group").agg(F.min("id").alias("y"))
+    found = rows.join(second, "group").filter("id <> y").select(F.col("y").alias("a"), F.col("id").alias("b")).distinct()
+    return _split(found, roots)
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """group, id and root of all members of the groups that are in several classes."""
+    rows = stored(_rooted(members.select("group", "id"), roots, "id", "root"), "near-dup-apart")
+    several = rows.groupBy("group").agg(F.count("*").alias("n"), F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y")
+    return rows.join(several.select("group", "n"), "group")
 
 
-def _again(pairs: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of the members that are in no class with a centre and a second centre, the first of them."""
-    loose = _split(pairs, roots).select(F.col("b").alias("id")).distinct()
-    own = members.join(loose, "id", "left_semi")
-    second = own.groupBy("a", "p", "q").agg(F.min("id").alias("y"))
-    found = own.join(second, ["a", "p", "q"]).filter("id <> y").select("id", "y").distinct()
-    found = _rooted(_rooted(found, roots, "id", "_rx"), roots, "y", "_ry").filter("_rx <> _ry")
-    return found.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+def _counts(sequences: DataFrame) -> DataFrame:
+    """id, the number of words, and how many fall into each of ``COUNTS`` cells (binary, 16-bit)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(1)]
+            cells = [np.bincount((mixed(w) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS).clip(0, 0xFFFF).astype("<u2").tobytes() for w in own]
+            yield pa.record_batch([batch.column(0), pa.array([len(w) for w in own], pa.int64()), pa.array(cells, pa.binary())], ["id", "words", "cells"])
+
+    return sequences.select("id", "sh").mapInArrow(run, "id binary, words long, cells binary")
+
+
+def may_pass(words: np.ndarray, cells: np.ndarray, n: int, own: np.ndarray, least: float) -> np.ndarray:
+    """Which texts, of so many ``words`` and of such ``cells``, the bound does not rule out beside one of ``n`` and ``own``."""
+    ok = np.minimum(words, n) >= least * np.maximum(words, n) - 1e-9
+    at = np.flatnonzero(ok & (np.maximum(words, n) <= 0xFFFF))  # longer ones may have cells that are not counted to the end
+    common = np.minimum(cells[at], own).sum(axis=1, dtype=np.int64)
+    ok[at] = common >= least * (words[at] + n - common) - 1e-9
+    return ok
+
+
+def _rest(apart: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
+    """All pairs (a, b), a < b, of members of one group and of two classes that ``may_pass``."""
+    rows = apart.join(_counts(sequences), "id").withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("group", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "root", "words", "cells")
+    rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "part")
+
+    def pairs(block: list[dict]) -> Iterator[tuple[bytes, bytes]]:
+        own = [r["id"] for r in block]
+        classes: dict[bytes, int] = {}
+        root = np.array([classes.setdefault(r["root"], len(classes)) for r in block])
+        if len(classes) == 1:
+            return
+        words = np.array([r["words"] for r in block])
+        cells = np.frombuffer(b"".join(r["cells"] for r in block), "<u2").reshape(-1, COUNTS)
+        part = np.array([r["part"] for r in block])
+        cross = part[0] != part[-1] or block[0]["i"] != block[0]["j"]
+        for x in range(len(block)):
+            # within a part each pair once; between two the second part's members only
+            at = np.flatnonzero((root != root[x]) & (part > part[x] if cross else np.arange(len(block)) > x))
+            for y in at[may_pass(words[at], cells[at], words[x], cells[x], least)].tolist():
+                yield (own[x], own[y]) if own[x] < own[y] else (own[y], own[x])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[dict] = []
+        at = None
+        out: list[tuple[bytes, bytes]] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if at != (row["group"], row["i"], row["j"]):
+                    if block:
+                        out += pairs(block)
+                    block, at = [], (row["group"], row["i"], row["j"])
+                block.append(row)
+            if out:
+                yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
+                out = []
+        if block:
+            out += pairs(block)
+        if out:
+            yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -129,6 +129,37 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
+def test_all_pairs_of_a_key_are_compared(make, monkeypatch):
+    """Pairs of similar texts, each unlike all others, that share one key: no centre links them."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(0, 80, 2):
+        own = words(rng, 60)
+        rows += [(i, " ".join(own), "en", "s"), (i + 1, " ".join([*own[:30], "edited", *own[31:]]), "en", "s")]
+    sketches = near_dup.sketches
+    monkeypatch.setattr(near_dup, "sketches", lambda docs: sketches(docs).withColumn("band_keys", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(near_dup, "BLOCK", 16, raising=False)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_dup_classes(make(rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(80)} == brute(rows)
+
+
+def test_the_bound_rules_out_no_passing_pair():
+    rng = np.random.default_rng(4)
+    cells = lambda w: np.bincount((near_dup.mixed(w) % np.uint64(near_dup.COUNTS)).astype(np.int64), minlength=near_dup.COUNTS).clip(0, 0xFFFF).astype(np.uint16)
+    met = 0
+    for _ in range(300):
+        a = rng.integers(0, 80, rng.integers(1, 90)).astype(np.uint64)
+        b = np.array([x if rng.random() < 0.93 else rng.integers(0, 80) for x in a if rng.random() < 0.96] or [1], np.uint64)
+        passes = near_dup.similarity(a, b) > 0
+        met += passes
+        assert near_dup.may_pass(np.array([len(b)]), cells(b)[None], len(a), cells(a), 0.8)[0] or not passes
+    assert met > 100
+    long = np.concatenate([np.zeros(70_000, np.uint64), np.arange(100, dtype=np.uint64)])
+    assert near_dup.may_pass(np.array([len(long)]), cells(long)[None], len(long), cells(long), 0.8)[0]
+
+
 def test_keys_depend_on_the_text_alone():
     rng = random.Random(5)
     texts = [" ".join(words(rng, n)) for n in (1, 4, 5, 6, 300)] + ["", "x y z " * 40]
