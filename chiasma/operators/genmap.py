@@ -7,7 +7,7 @@ Fritsch and Butland).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
@@ -63,26 +63,51 @@ def pieces(knots: DataFrame, size: int = KNOTS, width: int = WIDTH) -> DataFrame
     return rows.filter("_own and w_end is not null").drop("_own")
 
 
-def interpolate(points: DataFrame, knots: DataFrame, size: int = KNOTS, width: int = WIDTH) -> DataFrame:
-    """``cm`` at each point (chrom, bp and others); points outside the knots get none. The last knot is inside."""
+def _events(knots: DataFrame, size: int, width: int) -> DataFrame:
+    """The pieces as events of an as-of join, stored."""
     names = ("w_start", "w_end", "y0", "y1", "d0", "d1", "last")
-    events = stored(pieces(knots, size, width).select("chrom", F.col("w_start").alias("at"), F.struct(*names).alias("event")), "pieces")
-    p = {n: F.col(f"event.{n}") for n in names}
-    bp = F.col("point.bp")
-    rows = latest(points, events, ["chrom"], "bp", width).filter((bp < p["w_end"]) | (p["last"] & (bp == p["w_end"])))
+    return stored(pieces(knots, size, width).select("chrom", F.col("w_start").alias("at"), F.struct(*names).alias("event")), "pieces")
+
+
+def _inside(bp: Column) -> Column:
+    """Whether a position lies in the row's piece; the last knot does."""
+    w_start, w_end = F.col("event.w_start"), F.col("event.w_end")
+    return F.coalesce((bp >= w_start) & ((bp < w_end) | (F.col("event.last") & (bp == w_end))), F.lit(False))
+
+
+def _value(bp: Column) -> Column:
+    """cM at a position of the row's piece."""
+    p = {n: F.col(f"event.{n}") for n in ("w_start", "w_end", "y0", "y1", "d0", "d1")}
     h = (p["w_end"] - p["w_start"]).cast("double")
     t = (bp - p["w_start"]) / h
-    value = (1 + 2 * t) * (1 - t) * (1 - t) * p["y0"] + t * (1 - t) * (1 - t) * h * p["d0"] + t * t * (3 - 2 * t) * p["y1"] + t * t * (t - 1) * h * p["d1"]
-    return rows.select("point.*", value.alias("cm"))
+    return (1 + 2 * t) * (1 - t) * (1 - t) * p["y0"] + t * (1 - t) * (1 - t) * h * p["d0"] + t * t * (3 - 2 * t) * p["y1"] + t * t * (t - 1) * h * p["d1"]
 
 
-def annotate(intervals: DataFrame, knots: DataFrame) -> DataFrame:
-    """chrom, start, end, sample, marker, start_cM, end_cM, cM_per_Mb of each interval."""
-    rows = intervals.withColumn("_n", F.xxhash64("chrom", "start", "end", "sample", "marker"))
-    ends = rows.select("chrom", "start", "end", "sample", "marker", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("start").alias("bp")), F.struct(F.lit(1).alias("k"), F.col("end").alias("bp")))).alias("e"))
-    at = interpolate(ends.select("chrom", "start", "end", "sample", "marker", "e.k", "e.bp"), knots)
-    g = at.groupBy("chrom", "start", "end", "sample", "marker").agg(F.max(F.when(F.col("k") == 0, F.col("cm"))).alias("start_cM"), F.max(F.when(F.col("k") == 1, F.col("cm"))).alias("end_cM"))
-    return g.withColumn("cM_per_Mb", (F.col("end_cM") - F.col("start_cM")) / ((F.col("end") - F.col("start")) / 1e6))
+def interpolate(points: DataFrame, knots: DataFrame, size: int = KNOTS, width: int = WIDTH) -> DataFrame:
+    """``cm`` at each point (chrom, bp and others); points outside the knots get none. The last knot is inside."""
+    bp = F.col("point.bp")
+    rows = latest(points, _events(knots, size, width), ["chrom"], "bp", width).filter(_inside(bp))
+    return rows.select("point.*", _value(bp).alias("cm"))
+
+
+def annotate(intervals: DataFrame, knots: DataFrame, size: int = KNOTS, width: int = WIDTH) -> DataFrame:
+    """chrom, start, end, sample, marker, start_cM, end_cM, cM_per_Mb of each interval that starts or ends within the knots.
+
+    An interval is one row, looked up by its start; by its end only where that lies in another piece.
+    """
+    events = _events(knots, size, width)
+    columns = ["chrom", "start", "end", "sample", "marker"]
+    every = intervals.select(*columns).distinct()
+    at = lambda name, found: [F.when(found, _value(F.col(f"point.{name}"))).alias(f"{name}_cM"), found.alias(f"_{name}_in")]
+    ends_here = _inside(F.col("point.end"))
+    rows = latest(every.withColumn("_at", F.coalesce("start", "end")), events, ["chrom"], "_at", width)
+    rows = rows.select(*[f"point.{c}" for c in columns], *at("start", _inside(F.col("point.start"))), *at("end", ends_here))
+    rows = stored(rows, "annotated")
+    here = F.col("_end_in") | F.col("end").isNull()
+    beyond = rows.filter(~here).select(*columns, "start_cM", "_start_in")
+    beyond = latest(beyond, events, ["chrom"], "end", width).select("point.*", *at("end", ends_here))
+    rows = rows.filter(here).unionByName(beyond).filter("_start_in or _end_in").drop("_start_in", "_end_in")
+    return rows.withColumn("cM_per_Mb", (F.col("end_cM") - F.col("start_cM")) / ((F.col("end") - F.col("start")) / 1e6))
 
 
 def weighted_mean_rate(annotated: DataFrame) -> DataFrame:

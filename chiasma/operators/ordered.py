@@ -20,7 +20,9 @@ def stretched(df: DataFrame, keys: list[str], pos: Column, carry: dict[str, tupl
     one, ``all`` the largest value of the key; ``last`` and ``first`` of neighbours are had from structs with ``max``
     and ``next``.
     """
-    df = df.withColumn("_stretch", F.floor(pos / F.lit(width)))
+    # a struct with the keys, null ones too: join and window then need one partitioning by this column alone
+    number = F.floor(pos / F.lit(width))
+    df = df.withColumn("_stretch", F.when(number.isNotNull(), F.struct(number.alias("n"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])))
     parts = []
     for name, (kind, value) in carry.items():
         agg = {"max": F.max, "sum": F.sum, "next": F.min, "all": F.max}[kind]
@@ -32,11 +34,8 @@ def stretched(df: DataFrame, keys: list[str], pos: Column, carry: dict[str, tupl
     for name, (kind, _) in carry.items():
         value = {"max": lambda n: F.max(n).over(before), "sum": lambda n: F.coalesce(F.sum(n).over(before), F.lit(0)), "next": lambda n: F.min(n).over(after), "all": lambda n: F.max(n).over(every)}[kind](name)
         small = small.withColumn(f"_{name}", value)
-    small = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_stretch").alias("_s"), *[F.col(f"_{n}").alias(n) for n in carry])
-    on = F.col("_stretch") == F.col("_s")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(small, on).drop("_s", *[f"_k{i}" for i in range(len(keys))])
+    small = small.select("_stretch", *[F.col(f"_{n}").alias(n) for n in carry])
+    return df.join(small, "_stretch")
 
 
 def within(keys: list[str], *order) -> Window:

@@ -219,3 +219,40 @@ def test_points_and_lengths_in_stretches(spark):
     assert sampling.points(idx, annotation.filter("class = 'three_prime'")).count() == 0
     rows = spark.createDataFrame([(0, n) for n in (3, 3, 9, 40, 2000, 0)], "start long, end long")
     assert sorted(map(tuple, sampling.length_distribution(rows, width=8).collect())) == [(3, 0, 2), (9, 2, 3), (40, 3, 4), (2000, 4, 5)]
+
+
+def test_stretches_are_shuffled_once(spark):
+    """Join and window of a stretch share one partitioning; rows of a null key keep theirs."""
+    from pyspark.sql import functions as F
+
+    from chiasma.operators.ordered import stretched, within
+
+    rows = spark.createDataFrame([(None if i % 3 == 0 else "ab"[i % 2], 7 * i % 100) for i in range(100)], "k string, x long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = stretched(rows, ["k"], F.col("x"), {"before": ("sum", F.lit(1))}, 10)
+        got = got.withColumn("n", F.col("before") + F.row_number().over(within(["k"], "x")))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = sorted((r["k"] or "", r["x"], r["n"]) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want, seen = [], {}
+    for k, x in sorted((r["k"] or "", r["x"]) for r in rows.collect()):
+        seen[k] = seen.get(k, 0) + 1
+        want.append((k, x, seen[k]))
+    assert found == want
+    # rows for the join, and the small table's sums, running values and join
+    assert plan.count("Exchange hashpartitioning") == 4, plan
+
+
+def test_annotated_ends_in_other_pieces(spark):
+    """Intervals over several pieces, past the knots, backwards, twice, and with a null end."""
+    from chiasma.operators import genmap
+
+    knots = spark.createDataFrame([("1", b, c) for b, c in ((0, 0.0), (10, 1.0), (20, 5.0), (30, 5.5), (40, 9.0))], "chrom string, bp long, cm double")
+    ends = [(2, 5), (2, 25), (35, 60), (50, 60), (25, 3), (2, 5), (0, 40), (None, 7), (7, None), (60, 4)]
+    iv = spark.createDataFrame([("1", a, b, "s", "m") for a, b in ends], "chrom string, start long, end long, sample string, marker string")
+    points = spark.createDataFrame([("1", p) for p in range(70)], "chrom string, bp long")
+    cm = {r["bp"]: r["cm"] for r in genmap.interpolate(points, knots).collect()}
+    got = {(r["start"], r["end"]): (r["start_cM"], r["end_cM"]) for r in genmap.annotate(iv, knots).collect()}
+    assert got == {(a, b): (cm.get(a), cm.get(b)) for a, b in set(ends) if a in cm or b in cm}
