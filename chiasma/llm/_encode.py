@@ -23,7 +23,7 @@ _BYTE_LEVEL = re.compile(rf" ?[{_LETTERS}]+|{_CONTRACTIONS}| ?[0-9]+| ?[^\s0-9{_
 _WORD_LEVEL = re.compile(rf"[{_LETTERS}]+|{_CONTRACTIONS}|[0-9]|[^\s0-9{_LETTERS}]+")
 
 #: Entries of the memo's generations per Python worker, and the longest entry that outlives its batch.
-MEMO_ENTRIES = 60_000
+MEMO_ENTRIES = 240_000
 MEMO_CHARS = 64
 #: Characters and texts handled at once.
 BATCH_CHARS = 1_000_000

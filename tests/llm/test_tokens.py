@@ -110,3 +110,13 @@ def test_packing(corpus, odd, make):
                     at += n
         if rows:
             assert padding <= 1024 * 9 + 0.01 * sum(len(x) for own in ids.values() for x in own)
+
+
+def test_memo_keeps_the_words_of_a_large_batch():
+    """100,000 words after 100,000 others are both still known, so rarer words are not encoded anew each few batches."""
+    from chiasma.llm._encode import Memo
+
+    memo = Memo()
+    for part in range(2):
+        memo.update((f"{part} {i}", b"") for i in memo.missing({str(i) for i in range(100_000)}))
+    assert len(memo) == 200_000 and memo.missing({"x"}) == ["x"] and "0 5" in memo
