@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -30,29 +30,42 @@ BATCH_CHARS = 1_000_000
 BATCH_TEXTS = 2_000
 
 
-def _byte_letters() -> np.ndarray:
+def _byte_letters() -> dict[int, int]:
     """Of each byte the code point that stands for it in a byte-level vocabulary: itself if it shows, else 256 upwards."""
     shows = np.zeros(256, bool)
     for a, b in ((33, 126), (161, 172), (174, 255)):
         shows[a : b + 1] = True
-    return np.where(shows, np.arange(256), 255 + np.cumsum(~shows)).astype("<u2")
+    return dict(enumerate(np.where(shows, np.arange(256), 255 + np.cumsum(~shows)).tolist()))
 
 
 class Memo(dict):
-    """Of two generations: an entry that is not asked for during a whole one is forgotten."""
+    """What ``of`` makes of each key, in two generations: an entry that is not asked for during a whole one is forgotten."""
 
-    def __init__(self, limit: int = MEMO_ENTRIES):
+    def __init__(self, of: Callable[[str], bytes] | None = None, limit: int = MEMO_ENTRIES):
         super().__init__()
-        self.limit, self._before = limit, {}
+        self.of, self.limit, self._before = of, limit, {}
 
-    def missing(self, wanted: set[str]) -> list[str]:
-        """Those of ``wanted``, none of which is in the younger generation, that are in neither; the others move to it."""
+    def _recalled(self, key: str) -> bytes | None:
+        """What the older generation has, moved to the younger."""
         if len(self) > self.limit:
             self._before = dict(self)
             self.clear()
-        known = wanted.intersection(self._before)
-        self.update((k, self._before[k]) for k in known)
-        return list(wanted.difference(known))
+        found = self._before.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted``, none of which is in the younger generation, that are in neither; the others move to it."""
+        return [k for k in wanted if self._recalled(k) is None]
+
+    def __missing__(self, key: str) -> bytes:
+        found = self._recalled(key)
+        if found is None:
+            found = self.of(key)
+            if len(key) <= MEMO_CHARS:
+                self[key] = found
+        return found
 
 
 class Encoder:
@@ -75,43 +88,27 @@ class Encoder:
             self._split, self._lower = _WORD_LEVEL, True
         self._special = [t["content"] for t in spec.get("added_tokens", [])]
         self._model, self._letters = self._tokenizer.model, _byte_letters()
-        self._letters[0] = 0  # between pre-tokens, none of which holds it
         self._as_bytes = [i.to_bytes(4, "little") for i in range(self._tokenizer.get_vocab_size())]
-        self._memo = Memo()
+        self._memo = Memo(self._pre_token)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, "<u4").tobytes() for x in found]
 
-    def _pre_tokens(self, new: list[str]) -> Iterator[bytes]:
-        """Ids of each pre-token from the library's model, which takes them in the letters of a byte-level vocabulary."""
-        if new:
-            letters = self._letters[np.frombuffer("\0".join(new).encode(), np.uint8)].tobytes().decode("utf-16-le").split("\0")
-            of, ids = self._model.tokenize, self._as_bytes
-            for x in letters:
-                yield b"".join([ids[t.id] for t in of(x)])
+    def _pre_token(self, word: str) -> bytes:
+        """Ids of a pre-token from the library's model, which takes it in the letters of a byte-level vocabulary."""
+        letters = word if word.isascii() and word.isalnum() else word.encode().decode("latin-1").translate(self._letters)
+        ids = self._as_bytes
+        return b"".join([ids[t.id] for t in self._model.tokenize(letters)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        odd, words, new, memo = [], {}, set(), self._memo
+        odd, of = [], self._memo.__getitem__
         for i, text in enumerate(texts):
             if self._split is None or not _SAFE.fullmatch(text) or any(s in text for s in self._special):
                 odd.append(i)
-                continue
-            own = self._split.findall(text.lower() if self._lower else text)
-            found = list(map(memo.get, own))
-            if None in found:
-                words[i] = own, found
-                new.update([w for w, ids in zip(own, found, strict=True) if ids is None])
             else:
-                out[i] = b"".join(found)
-        fresh = memo.missing(new)
-        memo.update(zip(fresh, self._pre_tokens(fresh), strict=True))
-        for i, (own, found) in words.items():
-            out[i] = b"".join([memo[w] if ids is None else ids for w, ids in zip(own, found, strict=True)])
-        for word in fresh:
-            if len(word) > MEMO_CHARS:
-                del memo[word]
+                out[i] = b"".join(map(of, self._split.findall(text.lower() if self._lower else text)))
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         return out

@@ -120,3 +120,17 @@ def test_memo_keeps_the_words_of_a_large_batch():
     for part in range(2):
         memo.update((f"{part} {i}", b"") for i in memo.missing({str(i) for i in range(100_000)}))
     assert len(memo) == 200_000 and memo.missing({"x"}) == ["x"] and "0 5" in memo
+
+
+def test_memo_asks_once_and_forgets_within_its_limit():
+    """A pre-token is looked up once, as a missing entry is made by the look-up itself; ids stay the library's while it forgets."""
+    from chiasma.llm._encode import Encoder, Memo
+
+    asked = []
+    memo = Memo(lambda w: asked.append(w) or w.encode(), 3)
+    assert b"".join(map(memo.__getitem__, ["a", "b", "a", "x" * 65, "b"])) == b"aba" + b"x" * 65 + b"b"
+    assert asked == ["a", "b", "x" * 65] and "x" * 65 not in memo
+    enc = Encoder(tokenizer_file("byte_bpe_50k.json"))
+    enc._memo = Memo(enc._pre_token, 3)
+    texts = ["one two  three\n\n four's 1234 naïve ünï -- " * 3, " tail  ", "", "one"]
+    assert enc.encode(texts) == enc._whole(texts) and len(enc._memo) <= 4
