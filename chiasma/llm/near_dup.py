@@ -11,12 +11,13 @@ s ** 2 or somewhat less, so at s = 0.6 all but 0.01 % are found, at 0.5 all but
 but 15 %. One word in 20 edited leaves s = 0.6, one in ten s = 0.4.
 
 Equal texts are one node from the start, and different texts with one ``doc_id`` are different nodes. Every member of a
-key is compared with the key's centre, the text with the smallest hash, and those then in no class with it with the first
-of them, a second centre. What is left is compared in full: of a key whose members still are in several classes every pair
-from two classes is looked at, in blocks of ``BLOCK`` by ``BLOCK`` members dealt over tasks. Their counts of words in ``COUNTS``
-cells bound from above how many words both have, so a pair that the bound rules out cannot pass; all others are aligned. So of the
-pairs that share a key none that passes is left in two classes. A centre is sent to one task for each ``PART`` of its
-members, so a hot one is dealt over many tasks.
+key is compared with the key's centre, the text with the smallest hash. What is left is compared in full: of a key whose other
+members still are in several classes every pair from two classes is looked at, in blocks of ``BLOCK`` by ``BLOCK`` members dealt
+over tasks. Their counts of words in ``COUNTS`` cells bound from above how many words both have, so a pair that the bound rules
+out cannot pass; all others are aligned, but for those that the block's own links have brought into one class before. So of the
+pairs that share a key none that passes is left in two classes, and pairs are rows nowhere: a block gives the links that join
+classes, fewer than it has members. A centre is sent to one task for each ``PART`` of its members, so a hot one is dealt over
+many tasks.
 
 Defined results: null text counts as empty; texts without words are equal only if they are the same; a very long text
 is sketched alone, in memory in proportion to it; rows with a null ``doc_id`` take the class of their text if it has
@@ -42,8 +43,9 @@ ORDERED = 2
 SIMILARITY = 0.8
 #: Members of a centre that go to one task together.
 PART = 256
-#: Members to a side of a block of pairs, and cells of the word counts that rule pairs out.
+#: Members to a side of a block of pairs, bytes of their texts or so, and cells of the word counts that rule pairs out.
 BLOCK = 512
+BLOCK_BYTES = 1 << 24
 COUNTS = 128
 #: Slots of a sieve's bitmap, which is 8 MB at most.
 SLOTS = 1 << 26
@@ -163,25 +165,25 @@ def alone(sh: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (md5 of the text, null as empty) and band_keys."""
+    """doc_id, text_key (md5 of the text, null as empty), size (its bytes) and band_keys."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), "text")
+    rows = rows.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), F.octet_length("text").cast("long").alias("size"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in in_batches(batch.column(2).to_pylist(), _CHARS, _TEXTS):
+            for first, texts in in_batches(batch.column(3).to_pylist(), _CHARS, _TEXTS):
                 own = batch.slice(first, len(texts))
                 found = pa.array(keys(*shingles(*words(texts))), pa.list_(pa.int64()))
-                yield pa.record_batch([own.column(0), own.column(1), found], ["doc_id", "text_key", "band_keys"])
+                yield pa.record_batch([*own.columns[:3], found], ["doc_id", "text_key", "size", "band_keys"])
 
-    return rows.mapInArrow(run, "doc_id long, text_key binary, band_keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key binary, size long, band_keys array<long>")
 
 
-def _sieved(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
-    """``rows`` without most of those whose ``name`` is not in ``wanted``: a bitmap of hashes goes to every task, so what
+def _sieved(rows: DataFrame, wanted: DataFrame, *names: str) -> DataFrame:
+    """``rows`` without most of those whose ``names`` are not in ``wanted``: a bitmap of hashes goes to every task, so what
     a join would drop is not shuffled for it."""
-    slot = F.pmod(F.xxhash64(name), F.lit(SLOTS))
+    slot = F.pmod(F.xxhash64(*names), F.lit(SLOTS))
     bits = wanted.select(slot.alias("_slot")).select("_slot", F.bitmap_bucket_number("_slot").alias("_bucket")).repartition("_bucket")
     bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
     at = F.bitmap_bit_position(slot)
@@ -191,9 +193,13 @@ def _sieved(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
 
 
 def _sequences(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id (the text's key) and sh, the words (binary, 64-bit little-endian), of the texts in ``ids``; one row per text."""
-    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.unhex(F.md5("text")).alias("id"), "text")
-    rows = _sieved(rows, ids, "id").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    """id (the text's key) and sh, the words (binary, 64-bit little-endian), of the texts in ``ids``; one row per text.
+
+    ``ids`` has the doc_id of one document of each text, so the others' texts are not shuffled.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select(F.unhex(F.md5("text")).alias("id"), "doc_id", "text")
+    rows = _sieved(rows, ids, "id", "doc_id").join(ids, ["id", "doc_id"], "left_semi").select("id", "text").dropDuplicates(["id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,30 +279,21 @@ def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     Texts are the nodes, so two texts with one doc_id are two.
     """
     base = stored(sketches(docs), "near-dup-sketches")
-    texts = base.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.any_value("band_keys").alias("band_keys")).filter("doc_id is not null")
+    texts = base.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.any_value("band_keys").alias("band_keys"), F.any_value("size").alias("size")).filter("doc_id is not null")
     texts = stored(texts.withColumnRenamed("text_key", "id"), "near-dup-texts")
-    members = texts.select("id", F.explode(F.array_distinct("band_keys")).alias("key"))
+    members = texts.select("id", "doc_id", "size", F.explode(F.array_distinct("band_keys")).alias("key"))
     shared = stored(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "near-dup-keys")
     members = stored(_sieved(members, shared, "key").join(shared, "key", "left_semi"), "near-dup-members")
     # keys with the same members are one group
     groups = members.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
     groups = groups.select("key", "a", F.xxhash64("a", "n", "x").alias("group"))
-    members = stored(members.join(groups, "key").select("group", "a", "id").distinct(), "near-dup-groups")
+    members = stored(members.join(groups, "key").select("group", "a", "id", "doc_id", "size").distinct(), "near-dup-groups")
+    sequences = stored(_sequences(docs, members.select("id", "doc_id").distinct()), "near-dup-sequences")
     pairs = stored(members.filter("a <> id").select("a", F.col("id").alias("b")).distinct(), "near-dup-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sequences = stored(_sequences(docs, ids), "near-dup-sequences")
     roots = stored(components(stored(verified(pairs, sequences, least), "near-dup-stars")), "near-dup-roots")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        more = stored(verified(pairs, sequences, least), "near-dup-more")
-        return roots if more.isEmpty() else stored(components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more)), "near-dup-roots")
-
-    roots = linked(stored(_again(members, roots), "near-dup-again"))
-    rest = stored(_rest(_apart(members, roots), sequences, least), "near-dup-rest")
-    if not rest.isEmpty():
-        # each text with the least of those it may pass with, so a family costs a pair a text; then all that are apart
-        roots = linked(stored(rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "near-dup-least"))
-        roots = linked(stored(_split(rest, roots), "near-dup-last"))
+    more = stored(_rest(stored(_apart(members, roots), "near-dup-apart"), sequences, least), "near-dup-rest")
+    if not more.isEmpty():
+        roots = stored(components(roots.select(F.col("root").alias("a"), F.col("id").alias("b")).union(more)), "near-dup-roots")
     own = stored(texts.select("id", "doc_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "near-dup-rooted")
     least_of = own.groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("m"))
     of = own.join(least_of, "root").select(F.col("id").alias("text_key"), F.col("doc_id").alias("id"), F.col("m.doc_id").alias("class_id"), (F.col("m.id") == F.col("id")).alias("first"))
@@ -315,37 +312,19 @@ def _rooted(rows: DataFrame, roots: DataFrame, name: str, root: str) -> DataFram
     return rows.join(own, name, "left").withColumn(root, F.coalesce(root, name))
 
 
-def _split(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs of centre and member that are in different classes."""
-    rows = _rooted(_rooted(pairs, roots, "a", "_ra"), roots, "b", "_rb")
-    return rows.filter("_ra <> _rb").select("a", "b")
-
-
-def _again(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of a group's members that are in no class with its centre and a second centre, the first of them."""
-    rows = _rooted(_rooted(members, roots, "a", "_ra"), roots, "id", "_rx").filter("_ra <> _rx").select("group", "id")
-    second = rows.groupBy("group").agg(F.min("id").alias("y"))
-    found = rows.join(second, "group").filter("id <> y").select(F.col("y").alias("a"), F.col("id").alias("b")).distinct()
-    return _split(found, roots)
-
-
 def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """group, id and root of all members of the groups that are in several classes."""
-    rows = stored(_rooted(members.select("group", "id"), roots, "id", "root"), "near-dup-apart")
-    several = rows.groupBy("group").agg(F.count("*").alias("n"), F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y")
-    return rows.join(several.select("group", "n"), "group")
+    """id, root and groups (each with its number of parts) of the members that are no centre, of groups whose such members
+    are in several classes. Parts have ``BLOCK`` members and ``BLOCK_BYTES`` of text or so."""
+    rows = _rooted(members.filter("a <> id").select("group", "id", "size"), roots, "id", "root")
+    parts = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_BYTES))).cast("long")
+    several = rows.groupBy("group").agg(parts.alias("parts"), F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y")
+    rows = rows.join(several.select("group", "parts"), "group")
+    return rows.groupBy("id").agg(F.any_value("root").alias("root"), F.collect_list(F.struct("group", "parts")).alias("groups"))
 
 
-def _counts(sequences: DataFrame) -> DataFrame:
-    """id, the number of words, and how many fall into each of ``COUNTS`` cells (binary, 16-bit)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(1)]
-            cells = [np.bincount((mixed(w) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS).clip(0, 0xFFFF).astype("<u2").tobytes() for w in own]
-            yield pa.record_batch([batch.column(0), pa.array([len(w) for w in own], pa.int64()), pa.array(cells, pa.binary())], ["id", "words", "cells"])
-
-    return sequences.select("id", "sh").mapInArrow(run, "id binary, words long, cells binary")
+def cells(words: np.ndarray) -> np.ndarray:
+    """How many of a text's words fall into each of ``COUNTS`` cells."""
+    return np.bincount((mixed(words) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS).clip(0, 0xFFFF).astype(np.uint16)
 
 
 def may_pass(words: np.ndarray, cells: np.ndarray, n: int, own: np.ndarray, least: float) -> np.ndarray:
@@ -357,50 +336,69 @@ def may_pass(words: np.ndarray, cells: np.ndarray, n: int, own: np.ndarray, leas
     return ok
 
 
+def block_links(group: int, block: list[dict], least: float) -> list[tuple[bytes, bytes]]:
+    """Links that join all classes of a block between which some pair aligns: of members of one part, or of two parts each.
+
+    A pair that shares several groups is left to the smallest of them.
+    """
+    classes: dict[bytes, int] = {}
+    of = np.array([classes.setdefault(r["root"], len(classes)) for r in block])
+    if len(classes) == 1:
+        return []
+    part = np.array([r["part"] for r in block])
+    cross = block[0]["i"] != block[0]["j"]
+    own = [np.frombuffer(r["sh"], "<u8") for r in block]
+    groups = [set(r["groups"]) for r in block]
+    many = len(block) > 16
+    size = np.array([len(w) for w in own])
+    counts = np.array([cells(w) for w in own]) if many else None
+    sorted_: list[np.ndarray | None] = [None] * len(block)
+    out = []
+    for x in range(len(block)):
+        # within a part each pair once; between two the second part's members only
+        at = np.flatnonzero((of != of[x]) & (part > part[x] if cross else np.arange(len(block)) > x))
+        if many:
+            at = at[may_pass(size[at], counts[at], size[x], counts[x], least)]
+        for y in at.tolist():
+            if of[y] == of[x] or min(size[x], size[y]) < least * max(size[x], size[y]):
+                continue
+            if min(groups[x] & groups[y]) != group:
+                continue
+            for k in (x, y):
+                if sorted_[k] is None:
+                    sorted_[k] = alone(own[k])
+            common = len(np.intersect1d(sorted_[x], sorted_[y], assume_unique=True))
+            if similarity(own[x], own[y], least, common) > 0:
+                out.append((block[x]["id"], block[y]["id"]))
+                of[of == of[y]] = of[x]
+    return out
+
+
 def _rest(apart: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
-    """All pairs (a, b), a < b, of members of one group and of two classes that ``may_pass``."""
-    rows = apart.join(_counts(sequences), "id").withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("group", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "root", "words", "cells")
+    """Links (a, b) between the classes of members of one group, by all pairs of members from two classes."""
+    rows = apart.join(sequences, "id").select("id", "root", "sh", F.col("groups.group").alias("groups"), F.explode("groups").alias("g"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("g.parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g.parts") - 1)))
+    rows = rows.select(F.col("g.group").alias("group"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "root", "groups", "sh")
     rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "part")
 
-    def pairs(block: list[dict]) -> Iterator[tuple[bytes, bytes]]:
-        own = [r["id"] for r in block]
-        classes: dict[bytes, int] = {}
-        root = np.array([classes.setdefault(r["root"], len(classes)) for r in block])
-        if len(classes) == 1:
-            return
-        words = np.array([r["words"] for r in block])
-        cells = np.frombuffer(b"".join(r["cells"] for r in block), "<u2").reshape(-1, COUNTS)
-        part = np.array([r["part"] for r in block])
-        cross = part[0] != part[-1] or block[0]["i"] != block[0]["j"]
-        for x in range(len(block)):
-            # within a part each pair once; between two the second part's members only
-            at = np.flatnonzero((root != root[x]) & (part > part[x] if cross else np.arange(len(block)) > x))
-            for y in at[may_pass(words[at], cells[at], words[x], cells[x], least)].tolist():
-                yield (own[x], own[y]) if own[x] < own[y] else (own[y], own[x])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[dict] = []
         at = None
-        out: list[tuple[bytes, bytes]] = []
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
                 if at != (row["group"], row["i"], row["j"]):
                     if block:
-                        out += pairs(block)
+                        out += block_links(at[0], block, least)
                     block, at = [], (row["group"], row["i"], row["j"])
                 block.append(row)
             if out:
                 yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
-                out = []
-        if block:
-            out += pairs(block)
-        if out:
+        if block and (out := block_links(at[0], block, least)):
             yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
