@@ -182,7 +182,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def _sieved(rows: DataFrame, wanted: DataFrame, *names: str) -> DataFrame:
     """``rows`` without most of those whose ``names`` are not in ``wanted``: a bitmap of hashes goes to every task, so what
-    a join would drop is not shuffled for it."""
+    a join would drop is not shuffled for it. That join has to be an inner one: Spark moves a semi-join below the sieve."""
     slot = F.pmod(F.xxhash64(*names), F.lit(SLOTS))
     bits = wanted.select(slot.alias("_slot")).select("_slot", F.bitmap_bucket_number("_slot").alias("_bucket")).repartition("_bucket")
     bits = bits.groupBy("_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))
@@ -199,7 +199,7 @@ def _sequences(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select(F.unhex(F.md5("text")).alias("id"), "doc_id", "text")
-    rows = _sieved(rows, ids, "id", "doc_id").join(ids, ["id", "doc_id"], "left_semi").select("id", "text").dropDuplicates(["id"])
+    rows = _sieved(rows, ids, "id", "doc_id").join(ids, ["id", "doc_id"]).dropDuplicates(["id", "doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +283,7 @@ def _classes(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     texts = stored(texts.withColumnRenamed("text_key", "id"), "near-dup-texts")
     members = texts.select("id", "doc_id", "size", F.explode(F.array_distinct("band_keys")).alias("key"))
     shared = stored(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "near-dup-keys")
-    members = stored(_sieved(members, shared, "key").join(shared, "key", "left_semi"), "near-dup-members")
+    members = stored(_sieved(members, shared, "key").join(shared, "key"), "near-dup-members")
     # keys with the same members are one group
     groups = members.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"))
     groups = groups.select("key", "a", F.xxhash64("a", "n", "x").alias("group"))
@@ -376,7 +376,7 @@ def block_links(group: int, block: list[dict], least: float) -> list[tuple[bytes
 
 def _rest(apart: DataFrame, sequences: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between the classes of members of one group, by all pairs of members from two classes."""
-    rows = apart.join(sequences, "id").select("id", "root", "sh", F.col("groups.group").alias("groups"), F.explode("groups").alias("g"))
+    rows = apart.join(_sieved(sequences, apart, "id"), "id").select("id", "root", "sh", F.col("groups.group").alias("groups"), F.explode("groups").alias("g"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("g.parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g.parts") - 1)))
     rows = rows.select(F.col("g.group").alias("group"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "root", "groups", "sh")
