@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -51,6 +51,7 @@ LEAST_LEVEL = 100
 _CHARS = 700_000
 _ONE = 1 << 20
 _NONE = np.int64(0x7FFFFFFFFFFFFFFF)
+_SHIFTS = np.arange(HASHES, dtype=np.uint64)[:, None] * np.uint64(12)
 
 
 @cache
@@ -67,10 +68,12 @@ def levels(x: np.ndarray) -> np.ndarray:
     if n < WINDOW:
         return np.zeros(0, np.int64)
     order = np.argsort(x, kind="stable")
-    place = x[order].astype(np.int64) * (n + WINDOW) + order
+    kind = np.int32 if 256 * (n + WINDOW) < 1 << 31 else np.int64
+    place = x[order].astype(kind) * kind(n + WINDOW) + order.astype(kind)
     behind, ahead = np.ones(n, np.uint8), np.ones(n, np.uint8)  # equal bytes in the window that ends, or begins, here
+    gap, close = np.empty(n, kind), np.empty(n, bool)
     for k in range(1, WINDOW):
-        near = place[k:] - place[:-k] < WINDOW
+        near = np.less(np.subtract(place[k:], place[:-k], out=gap[k:]), WINDOW, out=close[k:])
         if not near.any():
             break
         behind[k:] += near
@@ -153,16 +156,53 @@ def lowest(h: np.ndarray) -> np.ndarray:
 def features(texts: list[str], rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each text the 64-bit hashes of its popular windows in order of first occurrence, and of its lowest short ones."""
     x, starts = joined_bytes(texts)
+    return _features(x, starts, levels(x), short_hashes(x), rank)
+
+
+def features_of_run(texts: list[str], changed: list[tuple[str, str]], rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The features of ``texts`` and then of the changed ones, each of which is a beginning of the text of its number and
+    one of the next text. What windows within either come to is taken from those texts; the windows over the joint are computed.
+    """
+    x, starts = joined_bytes(texts)
+    y, joints = joined_bytes([t for pair in changed for t in pair])
+    level, short = levels(x), short_hashes(x)
+    found = _features(x, starts, level, short, rank)
+    carried = (_carried(f, own, width, starts, y, joints) for f, own, width in ((levels, level, WINDOW), (short_hashes, short, SHORT)))
+    return found + _features(y, joints[::2], *carried, rank)
+
+
+def _carried(f: Callable[[np.ndarray], np.ndarray], own: np.ndarray, width: int, starts: np.ndarray, y: np.ndarray, joints: np.ndarray) -> np.ndarray:
+    """``f`` of the windows of ``y`` that lie within one changed text, from ``own``, which it is of the texts' windows; 0 for others."""
+    out = np.zeros(max(0, len(y) - width + 1), own.dtype)
+    over, n = [], width - 1
+    begins, at = starts.tolist(), joints.tolist()
+    for i in range(len(at) // 2):
+        a, joint, b = at[2 * i : 2 * i + 3]
+        for where, length, source in ((a, joint - a, begins[i]), (joint, b - joint, begins[i + 1])):
+            if length > n:
+                out[where : where + length - n] = own[source : source + length - n]
+        if min(joint + n, b) - max(a, joint - n) > n:
+            over.append((max(a, joint - n), min(joint + n, b)))
+    if over:
+        got = f(np.concatenate([y[a:b] for a, b in over]))
+        k = 0
+        for a, b in over:
+            out[a : b - n] = got[k : k + b - a - n]
+            k += b - a
+    return out
+
+
+def _features(x: np.ndarray, starts: np.ndarray, level: np.ndarray, short: np.ndarray, rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of texts' bytes and what their windows come to."""
     n = len(x)
     none = np.zeros(0, np.uint64)
-    own = [(none, none)] * len(texts)
+    own = [(none, none)] * (len(starts) - 1)
     if not n:
         return own
     hashed = span_hashes(x)
-    short = short_hashes(x)
     key = np.full(max(0, n - WINDOW + 1), _NONE)
     if len(key):
-        r = rank[levels(x)]
+        r = rank[level]
         ok = _inside(starts, n) & (r >= 0)
         key[ok] = (r[ok] << 32) | np.flatnonzero(ok)
     low, span = key, 1
@@ -176,7 +216,7 @@ def features(texts: list[str], rank: np.ndarray) -> list[tuple[np.ndarray, np.nd
     best = low[for_run & (low != _NONE)] & np.int64(0xFFFFFFFF)
     chosen = np.flatnonzero(np.bincount(best, minlength=1) >= POPULAR)
     cut = np.searchsorted(chosen, starts)
-    for i in range(len(texts)):
+    for i in range(len(own)):
         a, b = int(starts[i]), int(starts[i + 1])
         at = chosen[cut[i] : cut[i + 1]]
         h = hashed(at, at + WINDOW) if len(at) else none
@@ -193,10 +233,9 @@ def chain(feature: np.ndarray) -> np.ndarray:
     """Bloom filters of a text's features, one row each."""
     n = -(-len(feature) // FILTER_FEATURES)
     bits = np.zeros((n, FILTER_BYTES * 8), np.uint8)
-    row = np.arange(len(feature)) // FILTER_FEATURES
     width = FILTER_BYTES * 8
-    for k in range(HASHES):
-        bits[row, ((feature >> np.uint64(12 * k)) % np.uint64(width)).astype(np.int64)] = 1
+    row = np.arange(len(feature)) // FILTER_FEATURES * width
+    bits.ravel()[row + ((feature >> _SHIFTS) & np.uint64(width - 1)).view(np.int64)] = 1
     return np.packbits(bits, axis=1)
 
 
@@ -227,6 +266,9 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     """Of two chains, 0 to 1."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    if len(a) == len(b) == 1:  # the same in whole numbers
+        return _overlap_of_one(int.from_bytes(a.tobytes()), int.from_bytes(b.tobytes()))
+    a, b = a.view(np.uint64), b.view(np.uint64)
     na, nb = np.bitwise_count(a).sum(axis=1).astype(float), np.bitwise_count(b).sum(axis=1).astype(float)
     both = np.array([np.bitwise_count(a[i] & b).sum(axis=1) for i in range(len(a))], float)
     most = np.minimum(na[:, None], nb[None, :])
@@ -238,10 +280,22 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return float(one if len(a) < len(b) else other if len(b) < len(a) else (one + other) / 2)
 
 
+def _overlap_of_one(a: int, b: int) -> float:
+    na, nb, both = float(a.bit_count()), float(b.bit_count()), float((a & b).bit_count())
+    chance = na * nb / (FILTER_BYTES * 8)
+    score = min(1.0, max(0.0, (both - chance) / max(min(na, nb) - chance, 1e-9)))
+    return (score * na / na + score * nb / nb) / 2
+
+
+def halves(text: str, after: str) -> tuple[str, str]:
+    """What stays of the text, and as much of the next one's beginning as its last half (rounded down) was."""
+    n = len(text)
+    return text[: n - n // 2], after[: n // 2]
+
+
 def edited(text: str, after: str) -> str:
     """The last half of the text (rounded down) replaced by as much of the next one's beginning."""
-    n = len(text)
-    return text[: n - n // 2] + after[: n // 2]
+    return "".join(halves(text, after))
 
 
 SCHEMA = "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -255,8 +309,9 @@ def fingerprints(docs: DataFrame, counts: np.ndarray | None = None, with_text: b
     def rows_of(run: list[tuple]) -> list[tuple]:
         """Of (doc_id, text) rows in order, all but the last."""
         texts = [t for _, t in run]
-        changed = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
-        made = [Print.of(f) for f in features(texts + changed, rank)]
+        parts = [halves(a, b) for a, b in zip(texts, texts[1:], strict=False)]
+        made = [Print.of(f) for f in features_of_run(texts, parts, rank)]
+        changed = ["".join(p) for p in parts]
         out = []
         for i, (doc_id, text) in enumerate(run[:-1]):
             own, after, other = made[i], made[i + 1], made[len(run) + i]

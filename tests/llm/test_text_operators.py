@@ -439,3 +439,18 @@ def test_licences_wrapped(make):
 def test_licence_hints_cover_every_sentence():
     words = licences.hints(licences.SENTENCES)
     assert len(words) < 12 and all(set(words) & set(licences.normalised(s).split()) for s in licences.SENTENCES.values())
+
+
+def test_fingerprint_computes_the_windows_of_edited_texts_once(monkeypatch):
+    """Features of edited texts are those of the whole, though only windows over their joints are computed anew."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdeé €\U0001f600\ud800 ") for _ in range(n)) for n in (0, 1, 7, 8, 9, 63, 64, 65, 130, 0, 5000, 128, 3, 900, 20_000, 127)]
+    parts = [fingerprint.halves(a, b) for a, b in zip(texts, texts[1:], strict=False)]
+    changed = [fingerprint.edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
+    rank = fingerprint.ranks(np.bincount(fingerprint.levels(fingerprint.joined_bytes(texts)[0]), minlength=1001))
+    want, seen, levels = fingerprint.features(texts + changed, rank), [], fingerprint.levels
+    monkeypatch.setattr(fingerprint, "levels", lambda x: (seen.append(len(x)), levels(x))[1])
+    got = fingerprint.features_of_run(texts, parts, rank)
+    assert len(got) == len(want) and all(np.array_equal(a, b) for f, g in zip(got, want, strict=True) for a, b in zip(f, g, strict=True))
+    assert any(len(f[0]) for f in got[len(texts) :])
+    assert sum(seen) <= len(fingerprint.joined_bytes(texts)[0]) + 126 * len(parts)
