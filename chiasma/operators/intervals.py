@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import stored
-from .ordered import WIDTH, stretched, within
+from .ordered import WIDTH, carried, placed, stretched, within
 
 #: Positions to a bucket of the joins.
 BUCKET = 1 << 16
@@ -24,36 +26,41 @@ def merge_intervals(iv: DataFrame, keys: list[str] = ["chrom"], width: int = WID
     return counted.withColumn("_n", number).groupBy(*keys, "_n").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_n")
 
 
-def coverage_segments(iv: DataFrame, classes: list[str], width: int = WIDTH) -> DataFrame:
-    """Elementary segments per chrom with the number of intervals of each class over them.
+def state_runs(iv: DataFrame, classes: list[str], state: Callable[[dict[str, Column]], Column], width: int = WIDTH) -> DataFrame:
+    """Runs of positions with one state, as long as they can be: class (the state), chrom, start, end.
 
-    ``iv``: chrom, start, end, class. One row per distinct endpoint is ordered, whatever the number of intervals.
+    ``iv``: chrom, start, end, class; it is read twice. ``state``: from the numbers of intervals of each class over a
+    position, a text, or null for none. Ends are shuffled once, to their stretch, and only changes of state leave it; what
+    lies on the seams of stretches, two rows a stretch at most, is merged.
     """
     edge = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))))
-    edges = iv.filter("end > start").select("chrom", "class", edge.alias("e")).groupBy("chrom", F.col("e.pos").alias("pos"))
-    edges = edges.agg(*[F.sum(F.when(F.col("class") == c, F.col("e.d")).otherwise(0)).alias(f"d_{c}") for c in classes])
-    carry = {f"c_{c}": ("sum", F.col(f"d_{c}")) for c in classes} | {"after": ("next", F.col("pos"))}
-    rows = stretched(stored(edges, "edges"), ["chrom"], F.col("pos"), carry, width)
+    edges = iv.filter("end > start").select("chrom", "class", edge.alias("e"))
+    edges = edges.select("chrom", F.col("e.pos").alias("pos"), *[F.when(F.col("class") == c, F.col("e.d")).otherwise(0).alias(f"d_{c}") for c in classes])
+    edges = placed(edges, ["chrom"], F.col("pos"), width)
+    before = carried(edges, ["chrom"], {f"c_{c}": ("sum", F.col(f"d_{c}")) for c in classes} | {"after": ("next", F.col("pos"))})
+    rows = edges.repartition("_stretch").groupBy("chrom", "_stretch", "pos").agg(*[F.sum(f"d_{c}").alias(f"d_{c}") for c in classes]).join(before, "_stretch")
     w = within(["chrom"], "pos")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    end = F.coalesce(F.lead("pos").over(w), F.col("after"))
-    rows = rows.select("chrom", F.col("pos").alias("start"), end.alias("end"), *[(F.col(f"c_{c}") + F.sum(f"d_{c}").over(upto)).alias(f"n_{c}") for c in classes])
-    return rows.filter("end is not null")
+    over = {f"n_{c}": F.col(f"c_{c}") + F.sum(f"d_{c}").over(upto) for c in classes}
+    rows = rows.withColumns(over | {"first": F.lag("pos").over(w).isNull()})
+    now, was = state({c: F.col(f"n_{c}") for c in classes}), state({c: F.col(f"n_{c}") - F.col(f"d_{c}") for c in classes})
+    rows = rows.select("chrom", "_stretch", "pos", "after", "first", now.alias("class"), now.eqNullSafe(was).alias("same")).filter("first or not same")
+    follows = F.lead("pos").over(w)
+    rows = rows.select("class", "chrom", F.col("pos").alias("start"), F.coalesce(follows, "after").alias("end"), (F.col("same") | follows.isNull()).alias("seam"))
+    rows = stored(rows.filter("class is not null and end is not null"), "runs")
+    return rows.filter("not seam").drop("seam").unionByName(merge_intervals(rows.filter("seam").drop("seam"), ["class", "chrom"], width))
 
 
 def subtract_intervals(base: DataFrame, minus: DataFrame, width: int = WIDTH) -> DataFrame:
     """The parts of ``base`` that no interval of ``minus`` covers, merged."""
     both = base.select("chrom", "start", "end", F.lit("base").alias("class")).unionByName(minus.select("chrom", "start", "end", F.lit("minus").alias("class")))
-    alone = coverage_segments(both, ["base", "minus"], width).filter("n_base > 0 and n_minus = 0")
-    return merge_intervals(stored(alone, "segments"), width=width)
+    return state_runs(both, ["base", "minus"], lambda n: F.when((n["base"] > 0) & (n["minus"] == 0), "base"), width).drop("class")
 
 
 def exclusive_partitions(iv: DataFrame, classes: list[str], width: int = WIDTH) -> DataFrame:
     """Per class, the parts that no other class covers: class, chrom, start, end."""
-    seg = coverage_segments(iv, classes, width)
-    alone = F.array_compact(F.array(*[F.when((F.col(f"n_{c}") > 0) & sum((F.col(f"n_{o}") for o in classes if o != c), F.lit(0)).eqNullSafe(0), F.lit(c)) for c in classes]))
-    rows = seg.select("chrom", "start", "end", F.explode(alone).alias("class"))
-    return merge_intervals(stored(rows, "segments"), ["class", "chrom"], width)
+    alone = lambda n, c: (n[c] > 0) & (sum((n[o] for o in classes if o != c), F.lit(0)) == 0)
+    return state_runs(iv, classes, lambda n: F.coalesce(*[F.when(alone(n, c), c) for c in classes]), width)
 
 
 def clip(iv: DataFrame, low: Column | int, high: Column | int) -> DataFrame:

@@ -20,9 +20,21 @@ def stretched(df: DataFrame, keys: list[str], pos: Column, carry: dict[str, tupl
     one, ``all`` the largest value of the key; ``last`` and ``first`` of neighbours are had from structs with ``max``
     and ``next``.
     """
-    # a struct with the keys, null ones too: join and window then need one partitioning by this column alone
+    df = placed(df, keys, pos, width)
+    return df.join(carried(df, keys, carry), "_stretch")
+
+
+def placed(df: DataFrame, keys: list[str], pos: Column, width: int = WIDTH) -> DataFrame:
+    """``df`` with ``_stretch``, null where ``pos`` is.
+
+    It is a struct with the keys, null ones too: join and window then need one partitioning by this column alone.
+    """
     number = F.floor(pos / F.lit(width))
-    df = df.withColumn("_stretch", F.when(number.isNotNull(), F.struct(number.alias("n"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])))
+    return df.withColumn("_stretch", F.when(number.isNotNull(), F.struct(number.alias("n"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])))
+
+
+def carried(df: DataFrame, keys: list[str], carry: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``_stretch`` and the values of ``carry``, one row a stretch of placed rows (see ``stretched``)."""
     parts = []
     for name, (kind, value) in carry.items():
         agg = {"max": F.max, "sum": F.sum, "next": F.min, "all": F.max}[kind]
@@ -34,8 +46,7 @@ def stretched(df: DataFrame, keys: list[str], pos: Column, carry: dict[str, tupl
     for name, (kind, _) in carry.items():
         value = {"max": lambda n: F.max(n).over(before), "sum": lambda n: F.coalesce(F.sum(n).over(before), F.lit(0)), "next": lambda n: F.min(n).over(after), "all": lambda n: F.max(n).over(every)}[kind](name)
         small = small.withColumn(f"_{name}", value)
-    small = small.select("_stretch", *[F.col(f"_{n}").alias(n) for n in carry])
-    return df.join(small, "_stretch")
+    return small.select("_stretch", *[F.col(f"_{n}").alias(n) for n in carry])
 
 
 def within(keys: list[str], *order) -> Window:

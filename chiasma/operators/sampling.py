@@ -108,7 +108,8 @@ def points(idx: DataFrame, annotation: DataFrame, seed: int = 25, width: int = W
 
     ``annotation``: class, chrom, start, end. All classes are one table and one look-up. A class without bases has no rows.
     """
-    table = cumulative(annotation.select("class", "chrom", "start", "end").withColumn("span", F.col("end") - F.col("start")), ["class"], "span", width)
+    annotation = stored(annotation.select("class", "chrom", "start", "end"), "annotation")  # read for sums and for rows
+    table = cumulative(annotation.withColumn("span", F.col("end") - F.col("start")), ["class"], "span", width)
     table = stored(table.select("class", "chrom", "start", "lo", "hi"), "cumulative")  # read for its totals and for the look-up
     kinds = "class string, _total bigint, _rows bigint"
     found = _totals(table, "class")
