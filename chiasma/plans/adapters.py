@@ -13,10 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a few bytes that become long ones, dealt out first: a file of millions of them may be read by one task."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))), key)
+
+
 def markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genotype strings of 32 individuals per part, with missing, fixed and flipped characters."""
     k = F.col("p_partkey")
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("map"), F.md5(k.cast("string").cast("binary")).alias("h"), F.expr("(p_partkey div 60) * 240000 + 100000").alias("coordinate"))
+    p = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
+    p = p.select("p_partkey", F.col("p_brand").alias("map"), F.md5(k.cast("string").cast("binary")).alias("h"), F.expr("(p_partkey div 60) * 240000 + 100000").alias("coordinate"))
 
     def char(j):
         x = F.substring(F.col("h"), j + 1, F.lit(1))

@@ -4,8 +4,11 @@ import math
 import os
 import random
 
+from pyspark.sql import functions as F
+
 from chiasma.operators import genotypes, hmm, marey, switches
 from chiasma.params import CleaningParams, HmmParams
+from chiasma.plans import adapters
 
 SCHEMA = "map string, input_ord long, chromosome int, coordinate long, snp_name string, genotypes string"
 
@@ -186,3 +189,8 @@ def test_marey(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 9, "b"), (1, 9_000_000, "a"), (2, 4, "a")], "chromosome int, event_bp long, sample_id string")
     got = sorted((r["chromosome"], r["rank"], r["event_bp"], r["cumulative"]) for r in marey.marey_curve(df, width=8).collect())
     assert got == [(1, 1, 5, 0.5), (1, 2, 9, 1.0), (1, 3, 9_000_000, 1.5), (2, 1, 4, 1.0)]
+
+
+def test_markers_are_made_by_more_than_the_task_that_reads_their_file(spark):
+    rows = adapters.markers(spark, "/root/testdata/sf0.01")
+    assert rows.filter("length(genotypes) > 0").select(F.spark_partition_id().alias("task")).distinct().count() > 1
